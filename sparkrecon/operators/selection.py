@@ -21,7 +21,8 @@ def parse_selection(raw: Column, catalogue: list[str] | None = None) -> Column:
     names = [n.lower() for n in (catalogue or CATALOGUE)]
     known = F.array(*[F.lit(n) for n in names])
     text = F.trim(raw)
-    count = F.least(F.greatest(text.try_cast("int"), F.lit(1)), F.lit(len(names)))
+    number = text.try_cast("int")
+    count = F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(1)), F.lit(len(names))))
     listed = F.filter(F.transform(F.split(text, ","), lambda n: F.lower(F.trim(n))), lambda n: n != "")
     return F.when(count.isNotNull(), F.slice(known, F.lit(1), count)).otherwise(listed)
 

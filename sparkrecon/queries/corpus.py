@@ -1 +1,237 @@
+"""Text corpus jobs over documents, and over source files written from the part table.
+
+Every part becomes one source file. Parts of size 30 and less hold two units (a subroutine
+with a continued header and a typed function), sizes 31 to 40 one unit without arguments
+or END, larger sizes no unit at all.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkrecon.operators import corpus as C
+from sparkrecon.operators import graph as G
+from sparkrecon.queries.registry import registrar
+
 QUERIES: dict = {}
+query = registrar(QUERIES)
+
+
+def source_files(t):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    implicit = (
+        F.when(size <= 10, "      IMPLICIT NONE\n").when(size <= 20, "      IMPLICIT REAL (I-K, Z)\n").otherwise("")
+    )
+    two_units = F.concat(
+        F.lit("*     part "), F.col("p_name"), F.lit("\n      SUBROUTINE P"), k,
+        F.lit("(N,ALPHA,\n     $   XV,INCX)\n"), implicit,
+        F.lit("      INTEGER N,INCX\n      DOUBLE PRECISION XV(INCX,*) ! CALL HIDDEN(N)\nC     CALL IGNORED(N)\n\n"),
+        F.lit("      call P"), F.floor(k / 2), F.lit("(N,ALPHA)\n      WRITE(*,*) 'a!b' ! note\n      END\n"),
+        F.lit("      INTEGER FUNCTION F"), k, F.lit("(A, B)\n      F"), k, F.lit(" = SQRT(A) + P"), F.floor(k / 3),
+        F.lit("(B)\n      end function\n"),
+    )
+    bare = F.concat(F.lit("      SUBROUTINE Q"), k, F.lit("\n      RETURN\n"))
+    none = F.lit("      CALL P5(1)\n      X = MAX(1, 2)\n")
+    return t.part.select(
+        F.concat(F.lit("src/part_"), k, F.lit(".f")).alias("doc"),
+        F.when(size <= 30, two_units).when(size <= 40, bare).otherwise(none).alias("text"),
+    )
+
+
+# What the files above hold, stated per unit: source text, name, kind, type, arguments.
+IMPLICIT = """CASE WHEN p_size <= 10 THEN '      IMPLICIT NONE\n' WHEN p_size <= 20 THEN '      IMPLICIT REAL (I-K, Z)\n' ELSE '' END"""
+UNITS = f"""(SELECT 'src/part_' || p_partkey || '.f' AS doc, 0 AS unit, p_partkey AS k, p_size, 'P' || p_partkey AS name,
+      'subroutine' AS kind, NULL AS return_type, 'N,ALPHA,XV,INCX' AS args,
+      '      SUBROUTINE P' || p_partkey || '(N,ALPHA,\n     $   XV,INCX)\n' || {IMPLICIT} ||
+      '      INTEGER N,INCX\n      DOUBLE PRECISION XV(INCX,*) ! CALL HIDDEN(N)\nC     CALL IGNORED(N)\n\n      call P' ||
+      p_partkey // 2 || '(N,ALPHA)\n      WRITE(*,*) ''a!b'' ! note\n      END' AS source FROM part WHERE p_size <= 30
+    UNION ALL SELECT 'src/part_' || p_partkey || '.f', 1, p_partkey, p_size, 'F' || p_partkey, 'function', 'INTEGER', 'A,B',
+      '      INTEGER FUNCTION F' || p_partkey || '(A, B)\n      F' || p_partkey || ' = SQRT(A) + P' || p_partkey // 3 ||
+      '(B)\n      end function' FROM part WHERE p_size <= 30
+    UNION ALL SELECT 'src/part_' || p_partkey || '.f', 0, p_partkey, p_size, 'Q' || p_partkey, 'subroutine', NULL, '',
+      '      SUBROUTINE Q' || p_partkey || '\n      RETURN' FROM part WHERE p_size BETWEEN 31 AND 40
+    UNION ALL SELECT 'src/part_' || p_partkey || '.f', 0, p_partkey, p_size, 'PART_' || p_partkey, 'subroutine', NULL, '',
+      '      CALL P5(1)\n      X = MAX(1, 2)' FROM part WHERE p_size > 40)"""
+
+
+def _sql_text(sql: str) -> str:
+    """Line breaks inside SQL string literals as chr(10)."""
+    out, inside = [], False
+    for ch in sql:
+        if ch == "'":
+            inside = not inside
+        out.append("' || chr(10) || '" if inside and ch == "\n" else ch)
+    return "".join(out)
+
+
+DOC_LINES = "(SELECT doc_id, unnest(range(1, len(l) + 1)) AS ln, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d)"
+
+
+@query("line_table", f"SELECT doc_id, CAST(ln AS INTEGER) AS ln, line FROM {DOC_LINES}")
+def line_table(t):
+    return C.line_table(t.documents.select("doc_id", "text"))
+
+
+# Document lines starting with C are comments, and an exclamation mark is put in by hand.
+@query(
+    "strip_comments",
+    rf"""SELECT doc_id, ln, CASE WHEN contains(line, '!')
+            AND (length(b) - length(replace(b, '''', ''))) % 2 = 0 AND (length(b) - length(replace(b, '"', ''))) % 2 = 0
+            THEN regexp_replace(b, '\s+$', '') ELSE line END AS line
+         FROM (SELECT doc_id, CAST(ln AS INTEGER) AS ln, line, string_split(line, '!')[1] AS b
+               FROM (SELECT doc_id, ln, replace(replace(line, '. ', ' ! '), 'it', '''') AS line FROM {DOC_LINES}) m
+               WHERE substr(line, 1, 1) NOT IN ('C', 'c', '*', '!') AND regexp_matches(line, '\S')) s""",
+)
+def strip_comments(t):
+    lines = C.line_table(t.documents.select("doc_id", "text"))
+    marked = F.replace(F.replace("line", F.lit(". "), F.lit(" ! ")), F.lit("it"), F.lit("'"))
+    return C.strip_comments(lines.withColumn("line", marked))
+
+
+@query("segment_units", None)
+def segment_units(t):
+    return C.units(source_files(t)).select("doc", "unit", "source")
+
+
+@query("whole_file_fallback", None)
+def whole_file_fallback(t):
+    return C.unit_header(C.units(source_files(t)).filter("whole")).select("doc", "unit", "name", "source")
+
+
+@query("unit_header", None)
+def unit_header(t):
+    return C.unit_header(C.units(source_files(t))).select(
+        "doc", "unit", "name", "kind", "return_type", F.array_join("args", ",").alias("args"), "line_count"
+    )
+
+
+@query(
+    "chunk",
+    f"""SELECT doc_id, (ln - 1) // 5 AS piece, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY ln) AS text
+        FROM {DOC_LINES} GROUP BY 1, 2""",
+)
+def chunk(t):
+    lines = C.line_table(t.documents.select("doc_id", "text")).withColumn("pos", F.col("ln") - 1)
+    return C.chunk(lines, ["doc_id"], "pos", 5)
+
+
+@query("declarations", None)
+def declarations(t):
+    found = C.declarations(C.unit_header(C.units(source_files(t))))
+    return found.withColumn("dims", F.array_join("dims", ","))
+
+
+@query("implicit_types", None)
+def implicit_types(t):
+    return C.implicit_types(C.units(source_files(t)))
+
+
+@query("call_edges", None)
+def call_edges(t):
+    return C.call_edges(C.unit_header(C.units(source_files(t))))
+
+
+@query("unit_stats", None)
+def unit_stats(t):
+    return C.unit_stats(C.units(source_files(t)))
+
+
+EDGES = """(SELECT 'P' || k AS src, 'XV' AS dst FROM {0} u WHERE unit = 0 AND p_size <= 30
+    UNION SELECT 'P' || k, 'P' || k // 2 FROM {0} u WHERE unit = 0 AND p_size <= 30 AND k // 2 <> k
+    UNION SELECT 'F' || k, 'P' || k // 3 FROM {0} u WHERE unit = 1
+    UNION SELECT name, 'P5' FROM {0} u WHERE p_size > 40)"""
+
+
+def _set(name: str, sql: str) -> None:
+    QUERIES[name] = (QUERIES[name][0], sql)
+
+
+UNITS = _sql_text(UNITS)
+EDGES = EDGES.format(UNITS)
+_set("segment_units", f"SELECT doc, unit, source FROM {UNITS} u")
+_set("whole_file_fallback", f"SELECT doc, unit, name, source FROM {UNITS} u WHERE p_size > 40")
+_set(
+    "unit_header",
+    f"""SELECT doc, unit, name, kind, return_type, args, CAST(len(string_split(source, chr(10))) AS INTEGER) AS line_count
+        FROM {UNITS} u""",
+)
+_set(
+    "unit_stats",
+    f"""SELECT doc, unit, CAST(len(string_split(source, chr(10))) AS INTEGER) AS n_lines,
+          CAST(length(source) AS INTEGER) AS n_chars FROM {UNITS} u""",
+)
+_set(
+    "declarations",
+    f"""SELECT doc, unit, arg_ord, arg, ftype, dims FROM {UNITS} u JOIN (VALUES
+          (0, 0, 'N', 'INTEGER', ''), (0, 1, 'ALPHA', 'DOUBLE PRECISION', ''), (0, 2, 'XV', 'DOUBLE PRECISION', 'INCX,*'),
+          (0, 3, 'INCX', 'INTEGER', ''), (1, 0, 'A', 'DOUBLE PRECISION', ''), (1, 1, 'B', 'DOUBLE PRECISION', ''))
+          AS d(unit, arg_ord, arg, ftype, dims) USING (unit) WHERE p_size <= 30""",
+)
+_set(
+    "implicit_types",
+    f"""SELECT doc, unit, chr(CAST(c AS INTEGER)) AS letter, CASE WHEN unit = 0 AND p_size BETWEEN 11 AND 20 AND chr(CAST(c AS INTEGER)) IN ('I', 'J', 'K', 'Z')
+            THEN 'REAL' WHEN chr(CAST(c AS INTEGER)) BETWEEN 'I' AND 'N' THEN 'INTEGER' ELSE 'REAL' END AS ftype
+        FROM {UNITS} u, range(65, 91) r(c) WHERE NOT (unit = 0 AND p_size <= 10)""",
+)
+_set("call_edges", f"SELECT src, dst FROM {EDGES} e")
+
+
+@query("known_edges", f"SELECT src, dst FROM {EDGES} e WHERE dst IN (SELECT name FROM {UNITS} u)")
+def known_edges(t):
+    headed = C.unit_header(C.units(source_files(t)))
+    return C.known_edges(C.call_edges(headed), headed)
+
+
+# --- graph ----------------------------------------------------------------------------
+
+
+def part_tree(t):
+    """Every part needs the part of half its number; nations form a ring, regions need it."""
+    parts = t.part.select(
+        F.concat(F.lit("P"), "p_partkey").alias("src"), F.concat(F.lit("P"), F.floor(F.col("p_partkey") / 2)).alias("dst")
+    )
+    ring = t.nation.select(
+        F.concat(F.lit("N"), "n_nationkey").alias("src"),
+        F.concat(F.lit("N"), (F.col("n_nationkey") + 1) % 25).alias("dst"),
+    )
+    regions = t.region.select(
+        F.concat(F.lit("R"), "r_regionkey").alias("src"), F.concat(F.lit("N"), "r_regionkey").alias("dst")
+    )
+    edges = parts.unionByName(ring).unionByName(regions)
+    return edges, edges.select(F.col("src").alias("node"))
+
+
+@query(
+    "topo_levels",
+    """SELECT 'P' || p_partkey AS node, CAST(CASE p_partkey WHEN 0 THEN 0 ELSE length(bin(p_partkey)) END AS INTEGER) AS level FROM part
+       UNION ALL SELECT 'N' || n_nationkey, NULL FROM nation UNION ALL SELECT 'R' || r_regionkey, NULL FROM region""",
+)
+def topo_levels(t):
+    return G.topo_levels(*part_tree(t))
+
+
+PRIORITIES = "(SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F')"
+
+
+def priorities(t):
+    edges = t.orders.filter(F.col("o_orderstatus") == "F").select(
+        F.col("o_custkey").alias("src"), F.col("o_orderpriority").alias("dst")
+    )
+    return edges, t.customer.select(F.col("c_custkey").alias("node"))
+
+
+@query(
+    "adjacency",
+    f"SELECT c_custkey AS node, o_orderpriority AS callee FROM customer LEFT JOIN {PRIORITIES} p ON c_custkey = o_custkey",
+)
+def adjacency(t):
+    return G.adjacency(*priorities(t))
+
+
+@query(
+    "render_adjacency",
+    f"""SELECT c_custkey AS node, coalesce(string_agg(o_orderpriority, ', ' ORDER BY o_orderpriority), '(leaf)') AS callees
+        FROM customer LEFT JOIN {PRIORITIES} p ON c_custkey = o_custkey GROUP BY 1""",
+)
+def render_adjacency(t):
+    return G.render_adjacency(*priorities(t))
