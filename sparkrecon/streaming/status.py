@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1_000) -> DataFrame:
-    """Stream of the Parquet files below ``path``, or of the one file it names."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """Stream of the Parquet files below the folder ``path``, or of the one file it names."""
+    # As a pattern the path may name a file as well; a plain path must be a folder.
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(pattern)
 
 
 def latest_status(stream: DataFrame, key: str, ts: str, tie: str, msg: str) -> DataFrame:
