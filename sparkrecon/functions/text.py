@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: what ends a line.
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+# What ends a line besides the line feed.
+ODD_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+OTHER_BREAKS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 # Keyword rules in order (tag, keywords, present or absent), and the tag that
 # fills up a short list.
@@ -26,11 +30,31 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _uniform(text: Column) -> Column:
+    """Line feeds as the only line ends. Most texts have no others and skip the pattern."""
+    odd = reduce(lambda a, b: a | b, [text.contains(c) for c in ODD_BREAKS])
+    return F.when(odd, F.regexp_replace(text, OTHER_BREAKS, "\n")).otherwise(text)
+
+
+def _chomped(text: Column) -> Column:
+    ends = F.endswith(text, F.lit("\n"))
+    return F.when(ends, F.left(text, F.char_length(text) - 1)).otherwise(text)
+
+
+def plain_text(text: Column) -> Column:
+    """Text with line feeds as its only line ends and none after the last line."""
+    return bound(_uniform(text), _chomped)
+
+
 def lines_of(text: Column) -> Column:
     """Array of lines; a final line break does not start another line."""
-    parts = F.split(text, LINE_BREAK)
-    ends_open = F.element_at(parts, -1) == ""
-    return F.when(ends_open, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    none = F.array().cast("array<string>")
+    return bound(_uniform(text), lambda t: F.when(t == "", none).otherwise(F.split(_chomped(t), "\n")))
 
 
 def truncate_ellipsis(c: Column, n: int) -> Column:
@@ -62,9 +86,8 @@ def rule_tags(
         for word in words:
             found = found | upper.contains(word)
         hits.append(F.when(found if wanted else ~found, F.lit(tag)))
-    tags = F.array_compact(F.array(*hits))
-    filled = F.when(F.size(tags) < cap, F.array_append(tags, F.lit(generic))).otherwise(tags)
-    return F.slice(filled, 1, cap)
+    tags = F.concat(F.array_compact(F.array(*hits)), F.array(F.lit(generic)))
+    return F.slice(tags, 1, cap)
 
 
 def escape_html(c: Column) -> Column:

@@ -11,24 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.functions.text import lines_of
+from sparkrecon.functions.text import lines_of, plain_text
 from sparkrecon.plans.joins import lookup_join
 
 # Patterns of fixed-form source text. Column 6 marks a continuation.
 COMMENT = r"^[Cc*!]"
+BLANK = r"[^\S\n]"
 RETURN_TYPES = (
-    r"DOUBLE\s+PRECISION|REAL(?:\s*\*\s*\d+)?|INTEGER(?:\s*\*\s*\d+)?|LOGICAL"
-    r"|CHARACTER(?:\s*\*\s*\d+)?|COMPLEX(?:\s*\*\s*\d+)?"
-)
-HEADER = rf"(?i)^\s{{0,6}}(?:({RETURN_TYPES})\s+)?(?:RECURSIVE\s+)?(SUBROUTINE|FUNCTION)\s+(\w+)\s*\("
-HEADER_BARE = r"(?i)^\s{0,6}(?:RECURSIVE\s+)?(SUBROUTINE|FUNCTION)\s+(\w+)\s*$"
-INDENT = r"[^\S\n]{0,6}"
-GAP = r"[^\S\n]+"
-END_LINE = rf"(?im)^({INDENT}END(?:{GAP}(?:SUBROUTINE|FUNCTION)\b[^\n]*|[^\S\n]*))(?:\n|\z)"
-FROM_HEADER = (
-    rf"(?im)^{INDENT}(?:(?:{RETURN_TYPES.replace(chr(92) + 's', '[^' + chr(92) + 'S' + chr(92) + 'n]')}){GAP})?"
-    rf"(?:RECURSIVE{GAP})?(?:SUBROUTINE|FUNCTION){GAP}\w+[^\S\n]*(?:\(|$)(?s:.*)"
+    rf"DOUBLE{BLANK}+PRECISION|REAL(?:{BLANK}*\*{BLANK}*\d+)?|INTEGER(?:{BLANK}*\*{BLANK}*\d+)?|LOGICAL"
+    rf"|CHARACTER(?:{BLANK}*\*{BLANK}*\d+)?|COMPLEX(?:{BLANK}*\*{BLANK}*\d+)?"
 )
+UNIT_KIND = rf"(?:RECURSIVE{BLANK}+)?(SUBROUTINE|FUNCTION){BLANK}+(\w+){BLANK}*"
+HEADER = rf"(?im)^{BLANK}{{0,6}}(?:({RETURN_TYPES}){BLANK}+)?{UNIT_KIND}\("
+HEADER_BARE = rf"(?im)^{BLANK}{{0,6}}{UNIT_KIND}$"
+FROM_HEADER = rf"(?:{HEADER}|{HEADER_BARE})(?s:.*)"
+END_LINE = rf"(?im)^({BLANK}{{0,6}}END(?:{BLANK}+(?:SUBROUTINE|FUNCTION)\b[^\n]*|{BLANK}*))(?:\n|\z)"
 CONTINUED = r"\n {5}[^ \n]"
 CALL_STATEMENT = r"(?i)^\s+CALL\s+(\w+)\s*\("
 CALL_EXPRESSION = r"(?i)\b([A-Z]\w+)\s*\("
@@ -71,10 +68,6 @@ def is_blank(line: Column) -> Column:
     return ~line.rlike(r"\S")
 
 
-def is_header(line: Column) -> Column:
-    return line.rlike(HEADER) | line.rlike(HEADER_BARE)
-
-
 def code_part(line: Column) -> Column:
     """Line without a trailing comment: cut at the first ``!`` unless it is inside quotes."""
     before = F.substring_index(line, "!", 1)
@@ -117,24 +110,25 @@ def units(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     file without a unit that is not blank counts as one unit.
     """
     keep = keep or []
-    # Line ends are made uniform, which frees the carriage return as a segment mark.
-    plain = F.array_join(lines_of(F.col("text")), "\n")
-    segments = F.split(F.regexp_replace(plain, END_LINE, "$1\r"), "\r")
-    cut = F.transform(segments, lambda s: F.regexp_extract(s, FROM_HEADER, 0))
-    numbered = F.filter(
-        F.transform(cut, lambda s, n: F.struct(n.alias("unit"), s.alias("source"), F.lit(False).alias("whole"))),
-        lambda u: u["source"] != "",
+    # Uniform line ends free the carriage return as a segment mark.
+    plain = docs.select("doc", *keep, plain_text(F.col("text")).alias("_plain"))
+    cut = plain.withColumn(
+        "_units",
+        F.filter(
+            F.transform(
+                F.split(F.regexp_replace("_plain", END_LINE, "$1\r"), "\r"),
+                lambda s, n: F.struct(n.alias("unit"), F.regexp_extract(s, FROM_HEADER, 0).alias("source")),
+            ),
+            lambda u: u["source"] != "",
+        ),
     )
-    whole = F.array(F.struct(F.lit(0).alias("unit"), F.col("_plain").alias("source"), F.lit(True).alias("whole")))
-    found = (
-        docs.select("doc", *keep, numbered.alias("_units"), plain.alias("_plain"))
-        .withColumn(
-            "_units",
-            F.when((F.size("_units") == 0) & F.col("_plain").rlike(r"\S"), whole).otherwise(F.col("_units")),
-        )
-        .select("doc", *keep, F.explode("_units").alias("_u"))
+    whole = F.size("_units") == 0
+    only = F.array(F.struct(F.lit(0).alias("unit"), F.col("_plain").alias("source")))
+    return (
+        cut.filter(~whole | F.col("_plain").rlike(r"\S"))
+        .select("doc", *keep, whole.alias("whole"), F.explode(F.when(whole, only).otherwise(F.col("_units"))).alias("_u"))
+        .select("doc", *keep, "_u.unit", "_u.source", "whole")
     )
-    return found.select("doc", *keep, "_u.unit", "_u.source", "_u.whole")
 
 
 def file_stem(path: Column) -> Column:

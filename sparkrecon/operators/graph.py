@@ -2,50 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkrecon.plans.joins import lookup_join
-from sparkrecon.plans.lineage import scratch_path
+from sparkrecon.plans.joins import BROADCAST_ROWS, salt_many, salt_one, spread_of
+from sparkrecon.plans.lineage import checkpoint, scratch_path
 from sparkrecon.plans.prefix import ordered_concat
 
 
 def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, level)``: 0 needs nothing, otherwise one more than the highest need.
 
-    Members of a cycle, and nodes that need one, get a null level: they come last. Each
-    round settles the nodes whose needs are all settled and drops the edges to them, so the
-    working set shrinks; the number of rounds is the depth of the graph. Every round is
-    written below the shared folder: the plan stays short, each round reads tables of known
-    size, and a lost executor costs no earlier round.
+    Members of a cycle, and nodes that need one, get a null level: they come last. A node
+    keeps a count of unmet needs; each round takes one off for every need settled in the
+    round before, in a single aggregation, and a count of zero settles the node. The number
+    of rounds is the depth of the graph. Each round writes its open and newly settled nodes
+    below the shared folder, so the plan stays short and a lost executor costs one round.
+
+    The newly settled nodes are broadcast while their counted number allows it. Beyond that
+    they are joined, with the edges to very popular nodes spread over slots.
     """
     spark = edges.sparkSession
     folder = scratch_path(spark, "levels")
     names = nodes.select("node").distinct()
     links = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
-    known = names.select(F.col("node").alias("dst"))
-    open_edges = _stored(lookup_join(links, known, ["dst"], "left_semi").select("src", "dst"), f"{folder}/open-0")
-    waiting = open_edges.select(F.col("src").alias("node")).distinct()
+    hot = checkpoint(spread_of(links, ["dst"]))
+    known = salt_one(names.select(F.col("node").alias("dst")), ["dst"], hot)
+    inner = salt_many(links, ["dst"], hot).join(known, ["dst", "_slot"], "left_semi")
+    inner = inner.select("src", "dst", "_slot")
+    inner.write.parquet(f"{folder}/edges")
+    needs = spark.read.schema(inner.schema).parquet(f"{folder}/edges")
+
+    start = names.select("node", F.lit(0).alias("n")).unionByName(needs.select(F.col("src").alias("node"), F.lit(1).alias("n")))
+    shape = T.StructType(
+        [names.schema["node"], T.StructField("n", T.IntegerType()), T.StructField("level", T.IntegerType())]
+    )
     level = 0
-    frontier = _stored(names.join(waiting, "node", "left_anti"), f"{folder}/settled/level=0")
-    while not frontier.isEmpty():
+    size = _settle(start, level, folder)
+    while size > 0:
+        state = spark.read.schema(shape).parquet(f"{folder}/rounds/round={level}")
+        done = state.filter(F.col("level").isNotNull()).select(F.col("node").alias("dst"))
+        if size <= BROADCAST_ROWS:
+            met = needs.join(F.broadcast(done), "dst", "left_semi")
+        else:
+            met = needs.join(salt_one(done, ["dst"], hot), ["dst", "_slot"], "left_semi")
         level += 1
-        done = frontier.select(F.col("node").alias("dst"))
-        left = _stored(
-            lookup_join(open_edges, done, ["dst"], "left_anti").select("src", "dst"), f"{folder}/open-{level}"
+        size = _settle(
+            state.filter(F.col("level").isNull())
+            .select("node", "n")
+            .unionByName(met.select(F.col("src").alias("node"), F.lit(-1).alias("n"))),
+            level,
+            folder,
         )
-        before = open_edges.select(F.col("src").alias("node")).distinct()
-        after = left.select(F.col("src").alias("node")).distinct()
-        frontier = _stored(before.join(after, "node", "left_anti"), f"{folder}/settled/level={level}")
-        open_edges = left
-    settled = spark.read.parquet(f"{folder}/settled").select("node", F.col("level").cast("int").alias("level"))
-    cyclic = open_edges.select(F.col("src").alias("node"), F.lit(None).cast("int").alias("level")).distinct()
-    return settled.unionByName(cyclic)
+    everything = spark.read.schema(T.StructType([*shape, T.StructField("round", T.IntegerType())]))
+    final = F.col("level").isNotNull() | (F.col("round") == level)
+    return everything.parquet(f"{folder}/rounds").filter(final).select("node", "level")
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _settle(counts: DataFrame, level: int, folder: str) -> int:
+    """Add up need counts, write the round, and return how many nodes it settled."""
+    added = counts.groupBy("node").agg(F.sum("n").cast("int").alias("n"))
+    marked = added.withColumn("level", F.when(F.col("n") == 0, level))
+    seen = Observation()
+    observed = marked.observe(seen, F.count("level").alias("settled"))
+    observed.write.parquet(f"{folder}/rounds/round={level}")
+    return seen.get["settled"]
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:

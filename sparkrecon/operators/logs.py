@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.functions.text import lines_of
+from sparkrecon.functions.text import plain_text
 from sparkrecon.plans.joins import lookup_join
 from sparkrecon.plans.prefix import running
 
@@ -13,6 +13,9 @@ from sparkrecon.plans.prefix import running
 MODULE = r"src/(\w+)\.rs:"
 SKIPPED_MODULE = "lib"
 
+# Fixed value: a run of blank lines with the line ends around it.
+BLANK_LINES = r"(?:\A|\n)(?:[^\S\n]*\n)+|\n[^\S\n]*\z"
+
 POSITION_BLOCK = 65_536
 
 
@@ -28,11 +31,14 @@ def failing_modules(lines: DataFrame, pattern: str = MODULE, skip: str = SKIPPED
 
 def error_blocks_in_text(logs: DataFrame, needle: Column, text: str = "text") -> DataFrame:
     """Add ``blocks``: the blank-line-separated blocks that mention ``needle``, else the text."""
-    plain = F.array_join(lines_of(F.col(text)), "\n")
-    inner = F.regexp_replace(plain, r"^(?:[^\S\n]*\n)+|(?:\n[^\S\n]*)+$", "")
-    blocks = F.filter(F.split(inner, r"\n(?:[^\S\n]*\n)+"), lambda b: b.contains(needle))
-    return logs.withColumn(
-        "blocks", F.when(F.size(blocks) > 0, F.array_join(blocks, "\n\n")).otherwise(F.col(text))
+    blocks = F.filter(F.split(plain_text(F.col(text)), BLANK_LINES), lambda b: (b != "") & b.contains(needle))
+    return (
+        logs.withColumn("_blocks", blocks)
+        .withColumn(
+            "blocks",
+            F.when(F.size("_blocks") > 0, F.array_join("_blocks", "\n\n")).otherwise(F.col(text)),
+        )
+        .drop("_blocks")
     )
 
 

