@@ -46,16 +46,18 @@ RUNS = """(SELECT DISTINCT 'supplier_' || l_suppkey AS fn, 'line_' || l_linenumb
 
 def lines(t):
     """Prices with the supplier's nation, the shared input of both computations."""
-    return (
-        t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(
-            F.concat(F.lit("supplier_"), F.col("l_suppkey")).alias("fn"),
-            F.concat(F.lit("line_"), F.col("l_linenumber")).alias("case"),
-            F.col("l_orderkey").alias("pos"),
-            F.col("s_nationkey").alias("nation"),
-            F.col("l_linenumber").alias("line"),
-        )
-        .agg(F.max("l_extendedprice").alias("v"), F.max("l_tax").alias("tax"), F.max("l_discount").alias("disc"))
+    priced = t.lineitem.groupBy("l_suppkey", "l_linenumber", "l_orderkey").agg(
+        F.max("l_extendedprice").alias("v"), F.max("l_tax").alias("tax"), F.max("l_discount").alias("disc")
+    )
+    return priced.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.concat(F.lit("supplier_"), F.col("l_suppkey")).alias("fn"),
+        F.concat(F.lit("line_"), F.col("l_linenumber")).alias("case"),
+        F.col("l_orderkey").alias("pos"),
+        F.col("s_nationkey").alias("nation"),
+        F.col("l_linenumber").alias("line"),
+        "v",
+        "tax",
+        "disc",
     )
 
 
