@@ -29,13 +29,7 @@ END_LINE = rf"(?im)^({BLANK}{{0,6}}END(?:{BLANK}+(?:SUBROUTINE|FUNCTION)\b[^\n]*
 CONTINUED = r"\n {5}[^ \n]"
 CALL_STATEMENT = r"(?i)^\s+CALL\s+(\w+)\s*\("
 CALL_EXPRESSION = r"(?i)\b([A-Z]\w+)\s*\("
-DECLARATION_TYPES = [
-    ("DOUBLE PRECISION", r"^DOUBLE\s+PRECISION\s+(.*)"),
-    ("REAL", r"^REAL\s+(.*)"),
-    ("INTEGER", r"^INTEGER\s+(.*)"),
-    ("CHARACTER", r"^CHARACTER(?:\s*\*\s*1?)?\s+(.*)"),
-    ("LOGICAL", r"^LOGICAL\s+(.*)"),
-]
+DECLARATION = r"^(?:(DOUBLE\s+PRECISION|REAL|INTEGER|LOGICAL)|(CHARACTER)(?:\s*\*\s*1?)?)\s+(.*)"
 IMPLICIT_RULE = r"(?i)IMPLICIT\s+(\w+(?:\s+PRECISION)?)\s*\(([^)]+)\)"
 IMPLICIT_NONE = r"(?i)^\s*IMPLICIT\s+NONE"
 CHUNK_LINES = 200
@@ -122,13 +116,14 @@ def units(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             lambda u: u["source"] != "",
         ),
     )
+    # No filter, and no explode of a plain column: Spark would push a test of the worked-out
+    # array below the projections and cut every text again for it.
     whole = F.size("_units") == 0
     only = F.array(F.struct(F.lit(0).alias("unit"), F.col("_plain").alias("source")))
-    return (
-        cut.filter(~whole | F.col("_plain").rlike(r"\S"))
-        .select("doc", *keep, whole.alias("whole"), F.explode(F.when(whole, only).otherwise(F.col("_units"))).alias("_u"))
-        .select("doc", *keep, "_u.unit", "_u.source", "whole")
-    )
+    fallback = F.when(F.col("_plain").rlike(r"\S"), only).otherwise(F.slice(only, 1, 0))
+    return cut.select(
+        "doc", *keep, whole.alias("whole"), F.explode(F.when(whole, fallback).otherwise(F.col("_units"))).alias("_u")
+    ).select("doc", *keep, "_u.unit", "_u.source", "whole")
 
 
 def file_stem(path: Column) -> Column:
@@ -188,18 +183,19 @@ def declarations(headed: DataFrame) -> DataFrame:
     A later declaration replaces an earlier one; an argument without any is a scalar of
     type DOUBLE PRECISION. All of it happens inside the row of a unit's arguments.
     """
-    line = F.upper(F.trim(F.substring_index("line", "!", 1)))
-    ftype, items = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, pattern in reversed(DECLARATION_TYPES):
-        hit = F.col("_code").rlike(pattern)
-        ftype = F.when(hit, F.lit(name)).otherwise(ftype)
-        items = F.when(hit, F.regexp_extract("_code", pattern, 1)).otherwise(items)
+    code = F.upper(F.trim(F.substring_index("line", "!", 1)))
+    ftype = F.concat(F.regexp_extract("_code", DECLARATION, 1), F.regexp_extract("_code", DECLARATION, 2))
     declared = (
         unit_lines(headed)
         .filter(~is_comment(F.col("line")))
-        .select(*UNIT, "pos", line.alias("_code"))
-        .select(*UNIT, "pos", ftype.alias("ftype"), items.alias("_items"))
-        .filter(F.col("ftype").isNotNull())
+        .select(*UNIT, "pos", code.alias("_code"))
+        .filter(F.col("_code").rlike(DECLARATION))
+        .select(
+            *UNIT,
+            "pos",
+            F.regexp_replace(ftype, r"\s+", " ").alias("ftype"),
+            F.regexp_extract("_code", DECLARATION, 3).alias("_items"),
+        )
         .select(
             *UNIT,
             "pos",
@@ -232,7 +228,7 @@ def declarations(headed: DataFrame) -> DataFrame:
         )
     )
     last = declared.groupBy(*UNIT, "arg").agg(F.max("_decl").alias("_decl"))
-    wanted = headed.select(*UNIT, F.posexplode("args").alias("arg_ord", "arg")).withColumn("arg", F.upper("arg"))
+    wanted = headed.select(*UNIT, F.posexplode(F.transform("args", lambda a: F.upper(a))).alias("arg_ord", "arg"))
     return wanted.join(last, [*UNIT, "arg"], "left").select(
         *UNIT,
         "arg_ord",
@@ -281,9 +277,10 @@ def call_edges(headed: DataFrame) -> DataFrame:
 
     Comments do not count as calls and a unit does not call itself.
     """
-    code = F.filter(lines_of(F.col("source")), lambda x: ~x.rlike(COMMENT) & x.rlike(r"\S"))
-    named = headed.select(F.col("name").alias("src"), F.explode(code).alias("line")).withColumn(
-        "line", code_part(F.col("line"))
+    named = (
+        headed.select(F.col("name").alias("src"), F.explode(lines_of(F.col("source"))).alias("line"))
+        .filter(F.col("line").contains("(") & ~is_comment(F.col("line")))
+        .withColumn("line", code_part(F.col("line")))
     )
     expressions = F.filter(
         F.transform(F.regexp_extract_all("line", F.lit(CALL_EXPRESSION), F.lit(1)), lambda n: F.upper(n)),
@@ -292,7 +289,7 @@ def call_edges(headed: DataFrame) -> DataFrame:
     statement = F.array(F.upper(F.regexp_extract("line", CALL_STATEMENT, 1)))
     return (
         named.select("src", F.explode(F.concat(expressions, statement)).alias("dst"))
-        .filter((F.col("dst") != "") & (F.col("dst") != F.col("src")))
+        .filter((F.col("dst") != "") & ~F.col("dst").eqNullSafe(F.col("src")))
         .distinct()
     )
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.functions.text import lines_of, strip_ws
+from sparkrecon.functions.text import bound, lines_of, strip_ws
 from sparkrecon.plans.joins import lookup_join
 
 
@@ -32,13 +32,14 @@ def read_values(spark: SparkSession, path: str, glob: str | None = None) -> Data
 def parse_values(files: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, pos, v)`` from texts with one number per line; see :func:`read_values`."""
     trimmed = F.filter(F.transform(lines_of(F.col(text)), strip_ws), lambda x: x != "")
-    numbers = F.transform(trimmed, lambda x: x.try_cast("double"))
-    void = F.exists(numbers, lambda n: n.isNull())
-    return (
-        files.select(key, F.when(void, F.array(F.lit(None).cast("double"))).otherwise(numbers).alias("_n"), void.alias("_void"))
-        .select(key, "_void", F.posexplode("_n").alias("pos", "v"))
-        .select(key, F.when(~F.col("_void"), F.col("pos")).alias("pos"), "v")
-    )
+    parsed = F.transform(trimmed, lambda x: x.try_cast("double"))
+    nothing = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("double").alias("v")))
+
+    def numbered(numbers: Column) -> Column:
+        rows = F.transform(numbers, lambda v, n: F.struct(n.cast("int").alias("pos"), v.alias("v")))
+        return F.when(F.exists(numbers, lambda v: v.isNull()), nothing).otherwise(rows)
+
+    return files.select(key, F.explode(bound(parsed, numbered)).alias("_n")).select(key, "_n.pos", "_n.v")
 
 
 def write_values(df: DataFrame, path: str, keys: list[str], lines_per_file: int = 5_000_000) -> None:
