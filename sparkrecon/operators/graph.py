@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkrecon.plans.joins import BROADCAST_ROWS, salt_many, salt_one, spread_of
+from sparkrecon.plans.joins import BROADCAST_ROWS, lookup_join, salt_many, salt_one, spread_of
 from sparkrecon.plans.lineage import checkpoint, scratch_path
 from sparkrecon.plans.prefix import ordered_concat
 
@@ -71,9 +71,16 @@ def _settle(counts: DataFrame, level: int, folder: str) -> int:
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, callees)`` rows with one callee each; null for a node that calls nothing."""
+    """``(node, callee)`` rows with one callee each; null for a node that calls nothing.
+
+    Callers are looked up and leaves added on their own, so a node with very many callees
+    is never gathered on the many side of an outer join.
+    """
+    names = nodes.select("node").distinct()
     pairs = edges.select(F.col("src").alias("node"), F.col("dst").alias("callee")).distinct()
-    return nodes.select("node").distinct().join(pairs, "node", "left")
+    leaves = names.join(pairs.select("node").distinct(), "node", "left_anti")
+    none = F.lit(None).cast(pairs.schema["callee"].dataType)
+    return lookup_join(pairs, names, ["node"], "left_semi").unionByName(leaves.withColumn("callee", none))
 
 
 def render_adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -327,9 +327,12 @@ def coo_to_colmajor(a: DataFrame, lda: int, ncols: int, keys: list[str]) -> Data
     """Many small matrices, one flat column-major array each; absent entries become zero.
 
     An array holds ``lda * ncols`` numbers, which bounds the rows collected per key. For
-    one large matrix use :func:`coo_positions`, which collects nothing.
+    one large matrix use :func:`coo_positions`, which collects nothing. An entry outside
+    the shape is an error.
     """
-    cells = coo_positions(a, lda, keys).filter((F.col("p") >= 0) & (F.col("p") < lda * ncols))
+    inside = F.col("i").between(1, lda) & F.col("j").between(1, ncols)
+    checked = F.when(inside, F.col("v")).otherwise(F.raise_error("entry outside the matrix").cast("double"))
+    cells = coo_positions(a.withColumn("v", checked), lda, keys)
     single = cells.groupBy(*keys, "p").agg(F.sum("v").alias("v"))
     rows = single.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("m"))
     slots = F.sequence(F.lit(0).cast("long"), F.lit(lda * ncols - 1).cast("long"))

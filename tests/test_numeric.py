@@ -176,3 +176,9 @@ def test_colmajor_round_trip(spark):
     assert coo.filter("i = 2 and j = 3").first()["v"] == 5
     back = M.coo_to_colmajor(coo.filter("v <> 3"), 2, 3, ["id"]).first()["arr"]
     assert back == [0, 1, 2, 0, 4, 5]
+
+
+def test_entry_outside_the_shape_is_an_error(spark):
+    df = spark.createDataFrame([("m", 3, 1, 1.0)], "id string, i long, j long, v double")
+    with pytest.raises(Exception, match="outside the matrix"):
+        M.coo_to_colmajor(df, 2, 3, ["id"]).collect()
