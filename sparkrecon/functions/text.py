@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 ODD_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 OTHER_BREAKS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
+# An opening and a closing code fence with the line end next to it.
+FENCE_OPEN = r"(?m)^```(?:rust)?\s*\n?"
+FENCE_CLOSE = r"(?m)\n?```\s*$"
+
 # Keyword rules in order (tag, keywords, present or absent), and the tag that
 # fills up a short list.
 SOURCE_RULES = [
@@ -64,8 +68,8 @@ def truncate_ellipsis(c: Column, n: int) -> Column:
 
 def strip_fences(c: Column) -> Column:
     """Remove code-fence lines around and inside a text."""
-    opened = F.regexp_replace(strip_ws(c), r"(?m)^```(?:rust)?\s*\n?", "")
-    closed = F.regexp_replace(strip_ws(opened), r"(?m)\n?```\s*$", "")
+    opened = F.regexp_replace(strip_ws(c), FENCE_OPEN, "")
+    closed = F.regexp_replace(strip_ws(opened), FENCE_CLOSE, "")
     return strip_ws(closed)
 
 

@@ -14,8 +14,8 @@ from sparkrecon.plans.prefix import ordered_concat
 def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, level)``: 0 needs nothing, otherwise one more than the highest need.
 
-    Members of a cycle, and nodes that need one, get a null level: they come last. A node
-    keeps a count of unmet needs; each round takes one off for every need settled in the
+    Every ``src`` is a node; edges to other names do not count. Members of a cycle, and nodes
+    that need one, get a null level: they come last. A node keeps a count of unmet needs; each round takes one off for every need settled in the
     round before, in a single aggregation, and a count of zero settles the node. The number
     of rounds is the depth of the graph. Each round writes its open and newly settled nodes
     below the shared folder, so the plan stays short and a lost executor costs one round.
@@ -34,7 +34,8 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     inner.write.parquet(f"{folder}/edges")
     needs = spark.read.schema(inner.schema).parquet(f"{folder}/edges")
 
-    start = names.select("node", F.lit(0).alias("n")).unionByName(needs.select(F.col("src").alias("node"), F.lit(1).alias("n")))
+    unmet = needs.select(F.col("src").alias("node"), F.lit(1).alias("n"))
+    start = names.select("node", F.lit(0).alias("n")).unionByName(unmet)
     shape = T.StructType(
         [names.schema["node"], T.StructField("n", T.IntegerType()), T.StructField("level", T.IntegerType())]
     )
