@@ -15,10 +15,11 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, level)``: 0 needs nothing, otherwise one more than the highest need.
 
     Every ``src`` is a node; edges to other names do not count. Members of a cycle, and nodes
-    that need one, get a null level: they come last. A node keeps a count of unmet needs; each round takes one off for every need settled in the
-    round before, in a single aggregation, and a count of zero settles the node. The number
-    of rounds is the depth of the graph. Each round writes its open and newly settled nodes
-    below the shared folder, so the plan stays short and a lost executor costs one round.
+    that need one, get a null level: they come last. A node keeps a count of unmet needs; each
+    round takes one off for every need settled in the round before, in a single aggregation,
+    and a count of zero settles the node. The number of rounds is the depth of the graph. Each
+    round writes its open and newly settled nodes below the shared folder, so the plan stays
+    short and a lost executor costs one round.
 
     The newly settled nodes are broadcast while their counted number allows it. Beyond that
     they are joined, with the edges to very popular nodes spread over slots.
