@@ -91,7 +91,7 @@ class Ids:
 
 
 def document_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """doc_id, row key, piece, start, length, ids_crc32: one row per piece of each document."""
+    """doc_id, piece, start, length, ids_crc32: one row per piece of each document."""
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches):
@@ -102,14 +102,13 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH)
             out: list[tuple] = []
             for part in chunks(batch):
                 texts = [t or "" for t in column(part, "text").to_pylist()]
-                done += zip(column(part, "doc_id").to_pylist(), known.encode(texts))
-            for doc, ids in done:
-                ids += end
-                n = len(ids) // 4
-                begin, stop, k = 0, n % length or length, 0
-                while begin < n:
-                    out.append((doc, k, begin, stop - begin, zlib.crc32(ids[4 * begin : 4 * stop])))
-                    begin, stop, k = stop, stop + length, k + 1
+                for doc, ids in zip(column(part, "doc_id").to_pylist(), known.encode(texts)):
+                    ids += end
+                    n = len(ids) // 4
+                    begin, stop, k = 0, n % length or length, 0
+                    while begin < n:
+                        out.append((doc, k, begin, stop - begin, zlib.crc32(ids[4 * begin : 4 * stop])))
+                        begin, stop, k = stop, stop + length, k + 1
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             cells = list(zip(*out)) or [[]] * 5
@@ -175,7 +174,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) ->
         key.alias("_key"),
     )
 
-    def run(keys, table: pa.Table) -> pa.Table:
+    def run(keys, table):
         table = table.sort_by([(c, "ascending") for c in ("_key", "doc_id", "piece", "ids_crc32", "length")])
         bins, offsets = best_fit(table.column("length").to_pylist(), length, open_bins)
         base = keys[0].as_py() << 32

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import crf, packing, rules, token_counts
+from sparkrecon.llm import crf, licenses, mixing, ngram_join, order_minhash, packing, pii, rules, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, folder, "documents"))
+
+
 def op2_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = crf.train(docs, _table(spark, folder, "labels").filter(~held_out()))
@@ -37,6 +41,11 @@ def op3_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.host_rules(_table(spark, folder, "documents"))
 
 
+def op4_cube_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(_table(spark, folder, "documents"), _tokenizer_file("byte_bpe_50k.json"))
 
@@ -45,5 +54,30 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), _tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_crf, op3_host_rules, op5_best_fit_packing, op6_token_counts)}
+def op8_pii_votes(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, folder, "documents"))
+
+
+def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.edited_neighbours(_table(spark, folder, "documents"))
+
+
+def op10_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_quality_crf,
+        op3_host_rules,
+        op4_cube_mix,
+        op5_best_fit_packing,
+        op6_token_counts,
+        op8_pii_votes,
+        op9_order_minhash,
+        op10_license_rules,
+    )
+}
 ORACLES: dict[str, str] = {}
