@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrecon.llm.words import chunks, column, texts_of
@@ -198,28 +198,29 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
-def _row_number_key(docs: DataFrame, order: list[Column]) -> DataFrame:
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(*order)
-    return docs.withColumn("_nth", F.row_number().over(same))
+def _nth(order: list[Column]) -> Column:
+    """Number of a row among those with its id, source and size."""
+    return F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(*order))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it (none, once or more)."""
+    """``docs`` with each row repeated as often as the mix takes it (none, once or more).
+
+    Rows meet their number of copies by id, source, size and, among rows that agree in these, by number.
+    """
     names = docs.columns
-    taken = mix(docs).select("doc_id", "source", "size", "copies")
-    taken = _row_number_key(taken, [F.col("copies")]).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_nth").alias("_k"), "copies"
+    taken = mix(docs).select("doc_id", "source", F.col("size").alias("__size"), "copies")
+    taken = taken.withColumn("__k", _nth([F.col("copies")])).select(
+        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__size").alias("__z"), "__k", F.col("copies").alias("__copies")
     )
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    sized = docs.withColumn("size", F.coalesce(words, F.lit(0)).cast("long"))
-    keyed = _row_number_key(sized, [F.col("text"), F.col("lang"), F.col("n_chars")])
+    keyed = docs.withColumn("__size", F.coalesce(words, F.lit(0)).cast("long"))
+    keyed = keyed.withColumn("__nth", _nth([F.col("text")]))
     on = (
-        F.col("doc_id").eqNullSafe(F.col("_d"))
-        & F.col("source").eqNullSafe(F.col("_s"))
-        & (F.col("size") == F.col("_z"))
-        & (F.col("_nth") == F.col("_k"))
+        F.col("doc_id").eqNullSafe(F.col("__d"))
+        & F.col("source").eqNullSafe(F.col("__s"))
+        & (F.col("__size") == F.col("__z"))
+        & (F.col("__nth") == F.col("__k"))
     )
-    joined = keyed.join(taken.filter("copies > 0"), on)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    joined = keyed.join(taken.filter("__copies > 0"), on)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)

@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrecon.llm import crf, licenses, mixing, ngram_join, order_minhash, packing, pii, rules, token_counts
+from sparkrecon.llm import (
+    crf,
+    licenses,
+    mixing,
+    ngram_join,
+    order_minhash,
+    packing,
+    pii,
+    rules,
+    substring_dedup,
+    token_counts,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _tokenizer_file(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -47,11 +58,15 @@ def op4_cube_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.packed_documents(_table(spark, folder, "documents"), _tokenizer_file("byte_bpe_50k.json"))
+    return packing.packed_documents(_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, folder, "documents"), _tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.token_counts(_table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.without_repeats(_table(spark, folder, "documents"))
 
 
 def op8_pii_votes(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,6 +90,7 @@ QUERIES = {
         op4_cube_mix,
         op5_best_fit_packing,
         op6_token_counts,
+        op7_substring_dedup,
         op8_pii_votes,
         op9_order_minhash,
         op10_license_rules,
