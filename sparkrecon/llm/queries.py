@@ -17,6 +17,7 @@ from sparkrecon.llm import (
     substring_dedup,
     token_counts,
 )
+from sparkrecon.llm.oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -96,4 +97,3 @@ QUERIES = {
         op10_license_rules,
     )
 }
-ORACLES: dict[str, str] = {}
