@@ -39,6 +39,6 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_a_twin():
-    from __spark_entry__ import oracle_sql, queries
+    from sparkrecon.queries import all_oracles, all_queries
 
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
