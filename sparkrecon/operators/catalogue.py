@@ -13,7 +13,6 @@ LEVEL_2 = (
 ).split()
 LEVEL_3 = "dgemm dsymm dsyr2k dsyrk dtrmm dtrsm".split()
 CATALOGUE = LEVEL_1 + LEVEL_2 + LEVEL_3
-SAMPLE = "dgemm dgemv ddot dscal daxpy dnrm2 dcopy dger dsymm dtrsm".split()
 
 # Every name that counts as level 1 or level 2; any other name is level 3.
 KNOWN_LEVEL_1 = (

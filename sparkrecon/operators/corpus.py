@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.functions.text import lines_of, plain_text
+from sparkrecon.functions.text import strip_ws, lines_of, plain_text
 from sparkrecon.plans.joins import lookup_join
 
 # Patterns of fixed-form source text. Column 6 marks a continuation.
@@ -181,9 +181,9 @@ def declarations(headed: DataFrame) -> DataFrame:
     """Type and dimensions of every argument: ``(doc, unit, arg_ord, arg, ftype, dims)``.
 
     A later declaration replaces an earlier one; an argument without any is a scalar of
-    type DOUBLE PRECISION. All of it happens inside the row of a unit's arguments.
+    type DOUBLE PRECISION. Declared items are shuffled by unit and argument, not whole lines.
     """
-    code = F.upper(F.trim(F.substring_index("line", "!", 1)))
+    code = F.upper(strip_ws(F.substring_index("line", "!", 1)))
     ftype = F.concat(F.regexp_extract("_code", DECLARATION, 1), F.regexp_extract("_code", DECLARATION, 2))
     declared = (
         unit_lines(headed)
@@ -204,7 +204,7 @@ def declarations(headed: DataFrame) -> DataFrame:
                 F.regexp_extract_all("_items", F.lit(r"((?:[^,()]|\([^()]*\))+)"), F.lit(1))
             ).alias("item_ord", "_item"),
         )
-        .withColumn("_item", F.trim("_item"))
+        .withColumn("_item", strip_ws(F.col("_item")))
         .select(
             *UNIT,
             "pos",
@@ -221,7 +221,7 @@ def declarations(headed: DataFrame) -> DataFrame:
                 F.col("pos"),
                 F.col("item_ord"),
                 F.col("ftype"),
-                F.when(F.col("_array") != "", F.transform(F.split("_dims", ","), lambda d: F.trim(d)))
+                F.when(F.col("_array") != "", F.transform(F.split("_dims", ","), strip_ws))
                 .otherwise(F.array().cast("array<string>"))
                 .alias("dims"),
             ).alias("_decl"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkrecon.plans.joins import BROADCAST_ROWS, lookup_join, salt_many, salt_one, spread_of
+from sparkrecon.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join, salt_many, salt_one, spread_of
 from sparkrecon.plans.lineage import checkpoint, scratch_path
 from sparkrecon.plans.prefix import ordered_concat
 
@@ -21,7 +21,7 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     round writes its open and newly settled nodes below the shared folder, so the plan stays
     short and a lost executor costs one round.
 
-    The newly settled nodes are broadcast while their counted number allows it. Beyond that
+    The newly settled nodes are broadcast while their counted number and bytes allow it. Beyond that
     they are joined, with the edges to very popular nodes spread over slots.
     """
     spark = edges.sparkSession
@@ -41,16 +41,16 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         [names.schema["node"], T.StructField("n", T.IntegerType()), T.StructField("level", T.IntegerType())]
     )
     level = 0
-    size = _settle(start, level, folder)
+    size, held = _settle(start, level, folder)
     while size > 0:
         state = spark.read.schema(shape).parquet(f"{folder}/rounds/round={level}")
         done = state.filter(F.col("level").isNotNull()).select(F.col("node").alias("dst"))
-        if size <= BROADCAST_ROWS:
+        if size <= BROADCAST_ROWS and held <= BROADCAST_BYTES:
             met = needs.join(F.broadcast(done), "dst", "left_semi")
         else:
             met = needs.join(salt_one(done, ["dst"], hot), ["dst", "_slot"], "left_semi")
         level += 1
-        size = _settle(
+        size, held = _settle(
             state.filter(F.col("level").isNull())
             .select("node", "n")
             .unionByName(met.select(F.col("src").alias("node"), F.lit(-1).alias("n"))),
@@ -62,14 +62,17 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return everything.parquet(f"{folder}/rounds").filter(final).select("node", "level")
 
 
-def _settle(counts: DataFrame, level: int, folder: str) -> int:
-    """Add up need counts, write the round, and return how many nodes it settled."""
+def _settle(counts: DataFrame, level: int, folder: str) -> tuple[int, int]:
+    """Add up need counts, write the round, and return how many nodes it settled and their bytes."""
     added = counts.groupBy("node").agg(F.sum("n").cast("int").alias("n"))
     marked = added.withColumn("level", F.when(F.col("n") == 0, level))
     seen = Observation()
-    observed = marked.observe(seen, F.count("level").alias("settled"))
+    width = F.when(F.col("level").isNotNull(), F.octet_length(F.col("node").cast("string")))
+    observed = marked.observe(
+        seen, F.count("level").alias("settled"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+    )
     observed.write.parquet(f"{folder}/rounds/round={level}")
-    return seen.get["settled"]
+    return seen.get["settled"], seen.get["bytes"]
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrecon.operators.vectors import _col
-from sparkrecon.plans.joins import BROADCAST_ROWS, HOT_ROWS, grid_join, is_small, skew_join
+from sparkrecon.plans.joins import grid_join, skew_join
 
 TILE = 256
 
@@ -63,20 +63,20 @@ def gemv(
     alpha: float = 1.0,
     beta: float = 0.0,
     trans: str = "N",
-    max_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """alpha*op(A)*x + beta*y as ``(k, v)``. ``y`` is not read when beta is zero.
 
-    A vector of checked size is broadcast, so A is read once and never moved whole; a larger
-    one is joined by column, with A's repeated coordinates added first and hot columns salted.
+    Spark broadcasts the vector when its size, estimated or measured while running, allows it, and
+    splits hot columns. ``hot_rows`` salts columns with more rows by hand, with A's repeated
+    coordinates added first.
     """
     parts = []
     if alpha != 0:
         rows = op(a, trans)
         vec = x.select(F.col("k").alias("j"), F.col("v").alias("w"))
-        if is_small(vec, max_rows):
-            joined = rows.join(F.broadcast(vec), "j")
+        if hot_rows is None:
+            joined = rows.join(vec, "j")
         else:
             joined = skew_join(coalesce_coo(rows), vec, ["j"], "inner", hot_rows)
         parts.append(
@@ -97,7 +97,7 @@ def gemm(
     beta: float = 0.0,
     ta: str = "N",
     tb: str = "N",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """alpha*op(A)*op(B) + beta*C. ``c`` is not read when beta is zero."""
     parts = []
@@ -110,17 +110,15 @@ def gemm(
     return _add(parts, ["i", "j"])
 
 
-def _products(a: DataFrame, b: DataFrame, hot_rows: int, triangle: str | None = None) -> DataFrame:
+def _products(a: DataFrame, b: DataFrame, hot_rows: int | None, triangle: str | None = None) -> DataFrame:
     """Partial products A(i,k)*B(k,j), not yet added up.
 
-    A factor of checked size is broadcast and the other one is read in place. Otherwise the
-    inner index is the shuffle key, repeated coordinates are added before the join, and an
-    inner index that is hot on either side is spread over a grid of tasks.
+    Spark broadcasts a factor when its size, estimated or measured while running, allows it,
+    and splits hot inner indices. With ``hot_rows`` repeated coordinates are added before the
+    join, and an inner index with more rows on either side is spread over a grid of tasks.
     """
-    if is_small(b):
-        joined = _left_factor(a).join(F.broadcast(_right_factor(coalesce_coo(b))), "k")
-    elif is_small(a):
-        joined = _right_factor(b).join(F.broadcast(_left_factor(coalesce_coo(a))), "k")
+    if hot_rows is None:
+        joined = _left_factor(a).join(_right_factor(b), "k")
     else:
         lefts, rights = _left_factor(coalesce_coo(a)), _right_factor(coalesce_coo(b))
         joined = grid_join(lefts, rights, ["k"], ["i"], ["j"], hot_rows)
@@ -153,7 +151,7 @@ def syrk(
     beta: float = 0.0,
     trans: str = "N",
     uplo: str = "U",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One triangle of alpha*op(A)*op(A)' + beta*C. The other half is never formed."""
     rows = op(a, trans)
@@ -175,7 +173,7 @@ def syr2k(
     beta: float = 0.0,
     trans: str = "N",
     uplo: str = "U",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One triangle of alpha*(op(A)*op(B)' + op(B)*op(A)') + beta*C."""
     ra, rb = op(a, trans), op(b, trans)
@@ -230,9 +228,12 @@ def gram(df: DataFrame, arr: str, width: int, alpha: float = 1.0, uplo: str = "U
 # --- outer products -------------------------------------------------------------------
 
 
-def _chunks(x: DataFrame, name: str) -> DataFrame:
-    """Vector as rows of at most TILE entries: ``(b<name>, <name>)``."""
+def _chunks(x: DataFrame, name: str, n: int | None = None) -> DataFrame:
+    """Vector as rows of at most TILE entries: ``(b<name>, <name>)``; a position outside [0, n) is an error."""
     single = x.groupBy("k").agg(F.sum("v").alias("v"))
+    if n is not None:
+        outside = F.raise_error("position outside the vector").cast("double")
+        single = single.withColumn("v", F.when(F.col("k").between(0, n - 1), F.col("v")).otherwise(outside))
     return single.groupBy(F.floor(F.col("k") / F.lit(TILE)).alias(f"b{name}")).agg(
         F.collect_list(F.struct("k", "v")).alias(name)
     )
@@ -253,9 +254,9 @@ def _outer(x: DataFrame, y: DataFrame, alpha: float, n: int, triangle: str | Non
     span = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(
         F.array().cast("array<bigint>")
     )
-    xs = _chunks(x, "x").withColumn("by", F.explode(span))
-    ys = _chunks(y, "y")
-    tiles = xs.join(F.broadcast(ys) if is_small(y) else ys, "by")
+    xs = _chunks(x, "x", n if triangle else None).withColumn("by", F.explode(span))
+    ys = _chunks(y, "y", n)
+    tiles = xs.join(ys, "by")
     cells = tiles.select(F.explode("x").alias("p"), "y").select("p", F.explode("y").alias("q"))
     out = cells.select(
         F.col("p.k").alias("i"),
@@ -333,13 +334,11 @@ def coo_to_colmajor(a: DataFrame, lda: int, ncols: int, keys: list[str]) -> Data
     inside = F.col("i").between(1, lda) & F.col("j").between(1, ncols)
     checked = F.when(inside, F.col("v")).otherwise(F.raise_error("entry outside the matrix").cast("double"))
     cells = coo_positions(a.withColumn("v", checked), lda, keys)
-    single = cells.groupBy(*keys, "p").agg(F.sum("v").alias("v"))
-    rows = single.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("m"))
     slots = F.sequence(F.lit(0).cast("long"), F.lit(lda * ncols - 1).cast("long"))
-    return rows.select(
-        *keys,
-        F.transform(slots, lambda p: F.coalesce(F.try_element_at(F.col("m"), p), F.lit(0.0))).alias("arr"),
-    )
+    zeros = a.select(*keys).distinct().select(*keys, F.explode(slots).alias("p"), F.lit(0.0).alias("v"))
+    single = cells.unionByName(zeros).groupBy(*keys, "p").agg(F.sum("v").alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("p", "v")))
+    return single.groupBy(*keys).agg(F.transform(ordered, lambda c: c["v"]).alias("arr"))
 
 
 def _triangle_size(r: Column) -> Column:
@@ -357,8 +356,14 @@ def _triangle_root(p: Column) -> Column:
 def packed_positions_to_coo(
     packed: DataFrame, n: int, uplo: str = "U", keep: list[str] | None = None
 ) -> DataFrame:
-    """Packed triangle ``(p, v)``, columns one after another, to 0-based coordinates."""
+    """Packed triangle ``(p, v)``, columns one after another, to 0-based coordinates.
+
+    A position outside the triangle is an error.
+    """
     keep = keep or []
+    inside = F.col("p").between(0, n * (n + 1) // 2 - 1)
+    outside = F.raise_error("packed position outside the triangle").cast("double")
+    packed = packed.withColumn("v", F.when(inside, F.col("v")).otherwise(outside))
     if uplo.upper() == "U":
         j = _triangle_root(F.col("p"))
         i = F.col("p") - _triangle_size(j)
@@ -371,10 +376,10 @@ def packed_positions_to_coo(
 
 
 def packed_to_coo(df: DataFrame, arr: str, n: int, uplo: str = "U", keep: list[str] | None = None) -> DataFrame:
-    """Packed-triangle array column to 0-based coordinates."""
+    """Packed-triangle array column to 0-based coordinates; a longer array is an error."""
     keep = keep or []
     cells = df.select(*keep, F.posexplode(arr).alias("p", "v")).withColumn("v", F.col("v").cast("double"))
-    return packed_positions_to_coo(cells.filter(F.col("p") < n * (n + 1) // 2), n, uplo, keep)
+    return packed_positions_to_coo(cells, n, uplo, keep)
 
 
 def coo_to_packed(a: DataFrame, n: int, uplo: str = "U") -> DataFrame:

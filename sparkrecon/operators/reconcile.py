@@ -22,9 +22,13 @@ KEYS = ["fn", "case", "pos"]
 
 
 def align(ref: DataFrame, cand: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``keys, ref, cand, n_ref, n_cand``: both values per position, null where absent."""
+    """``keys, ref, cand, n_ref, n_cand``: both values per position, null where absent.
+
+    A row without a position stands for a void output: it is no value at all.
+    """
     keys = keys or KEYS
     none = F.lit(None).cast("double")
+    ref, cand = (side.filter(F.col(keys[-1]).isNotNull()) for side in (ref, cand))
     left = ref.select(*keys, F.col("v").alias("ref"), none.alias("cand"), F.lit(1).alias("r"), F.lit(0).alias("c"))
     right = cand.select(*keys, none.alias("ref"), F.col("v").alias("cand"), F.lit(0).alias("r"), F.lit(1).alias("c"))
     return (
@@ -43,7 +47,8 @@ def case_errors(aligned: DataFrame, tol: float = TOLERANCE, keys: list[str] | No
     """Per case: lengths, pairing status, largest and mean absolute error, ok.
 
     Errors are null unless the sides have the same length and pair up completely. NaN is
-    larger than any number, so a NaN makes the case fail.
+    larger than any number, so a NaN makes the case fail; so does a null at a real position
+    (``n_null`` counts those positions).
     """
     keys = keys or ["fn", "case"]
     err = F.abs(F.col("cand") - F.col("ref"))
@@ -51,6 +56,7 @@ def case_errors(aligned: DataFrame, tol: float = TOLERANCE, keys: list[str] | No
         F.sum("n_ref").alias("n_ref"),
         F.sum("n_cand").alias("n_cand"),
         F.sum(F.when((F.col("n_ref") == 1) & (F.col("n_cand") == 1), 1).otherwise(0)).alias("n_pair"),
+        F.sum(F.when((F.col("n_ref") > 0) & (F.col("n_cand") > 0) & err.isNull(), 1).otherwise(0)).alias("n_null"),
         F.max(err).alias("_max"),
         F.avg(err).alias("_mean"),
     )
@@ -71,7 +77,8 @@ def case_errors(aligned: DataFrame, tol: float = TOLERANCE, keys: list[str] | No
         "status",
         F.when(compared, F.col("_max")).alias("max_err"),
         F.when(compared, F.col("_mean")).alias("mean_err"),
-        F.when(compared, F.col("_max") <= tol).alias("ok"),
+        F.when(compared, F.col("n_null")).alias("n_null"),
+        F.when(compared, F.coalesce((F.col("_max") <= tol) & (F.col("n_null") == 0), F.lit(False))).alias("ok"),
     )
 
 
@@ -108,7 +115,7 @@ def scenario_verdict(cases: DataFrame, runs: DataFrame, tol: float = TOLERANCE)
 
     Unlike :func:`function_verdict`, a length mismatch fails here.
     """
-    seen = cases.select("fn", "case", "n_ref", "n_cand", "max_err", "mean_err", "status")
+    seen = cases.select("fn", "case", "n_ref", "n_cand", "max_err", "mean_err", "n_null", "status")
     joined = runs.join(seen, ["fn", "case"], "left")
     n_ref, n_cand = (F.coalesce(F.col(c), F.lit(0)) for c in ("n_ref", "n_cand"))
     ref_ran = F.coalesce(F.col("ref_ran"), F.lit(False))
@@ -118,7 +125,7 @@ def scenario_verdict(cases: DataFrame, runs: DataFrame, tol: float = TOLERANCE)
         .when((n_ref == 0) & ((~cand_ran) | (n_cand == 0)), "PASS_NO_OUTPUT")
         .when(~cand_ran, "SOFT_PASS")
         .when((n_ref != n_cand) | (F.col("status") != "COMPARED"), "FAIL_LENGTH")
-        .when(F.col("max_err") <= tol, "PASS")
+        .when((F.col("max_err") <= tol) & (F.col("n_null") == 0), "PASS")
         .otherwise("FAIL")
     )
     judged = state.isin("PASS", "FAIL")
@@ -149,6 +156,7 @@ def coverage(refs: DataFrame, cands: DataFrame, key: str = "fn") -> DataFrame:
 def reference_health(expected: DataFrame, ref: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Expected cases for which the reference side produced nothing."""
     keys = keys or ["fn", "case"]
+    ref = ref.filter(F.col("pos").isNotNull()) if "pos" in ref.columns else ref
     return lookup_join(expected.select(*keys).distinct(), ref.select(*keys).distinct(), keys, "left_anti")
 
 

@@ -93,8 +93,9 @@ def flatten_messages(conversions: DataFrame) -> DataFrame:
         F.coalesce("error", F.lit("")) != "",
         F.array(_message("note", F.lit(None).cast("int"), F.col("error"))),
     ).otherwise(F.expr("array()"))
-    warnings = F.transform("warnings", lambda w: _message("warning", F.lit(None).cast("int"), w))
-    errors = F.transform("compiler_errors", lambda e, n: _message("compiler_error", n + 1, e))
+    nothing = F.array().cast("array<string>")  # a null list must not lose the others
+    warnings = F.transform(F.coalesce("warnings", nothing), lambda w: _message("warning", F.lit(None).cast("int"), w))
+    errors = F.transform(F.coalesce("compiler_errors", nothing), lambda e, n: _message("compiler_error", n + 1, e))
     return conversions.select("fn", F.explode(F.concat(warnings, errors, note)).alias("_m")).select(
         "fn", "_m.kind", "_m.round", "_m.message"
     )

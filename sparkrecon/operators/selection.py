@@ -21,8 +21,12 @@ def parse_selection(raw: Column, catalogue: list[str] | None = None) -> Column:
     names = [n.lower() for n in (catalogue or CATALOGUE)]
     known = F.array(*[F.lit(n) for n in names])
     text = F.trim(raw)
-    number = text.try_cast("int")
-    count = F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(1)), F.lit(len(names))))
+    # of any length: digits beyond nine are more than any catalogue holds
+    digits = F.regexp_replace(F.regexp_extract(text, r"^[+-]?([0-9]+)$", 1), "^0+(?=[0-9])", "")
+    positive = F.when(F.length(digits) > 9, F.lit(len(names))).otherwise(
+        F.least(F.greatest(digits.try_cast("int"), F.lit(1)), F.lit(len(names)))
+    )
+    count = F.when(digits != "", F.when(text.startswith("-"), F.lit(1)).otherwise(positive))
     listed = F.filter(F.transform(F.split(text, ","), lambda n: F.lower(F.trim(n))), lambda n: n != "")
     return F.when(count.isNotNull(), F.slice(known, F.lit(1), count)).otherwise(listed)
 

@@ -70,10 +70,14 @@ def norm_of(*values: Column) -> Column:
         1.0,
     )
     with_large = F.sqrt(large + middle * NORM_LARGE_SCALE * NORM_LARGE_SCALE) / NORM_LARGE_SCALE
+    # ordinary and small parts may matter together: combine them by the larger one
+    ordinary, tiny = F.sqrt(middle), F.sqrt(small) / NORM_SMALL_SCALE
+    more, less = F.greatest(ordinary, tiny), F.least(ordinary, tiny)
     return (
         F.when(large > 0, with_large)
-        .when(middle > 0, F.sqrt(middle))
-        .otherwise(F.sqrt(small) / NORM_SMALL_SCALE)
+        .when((middle > 0) & (small > 0), more * F.sqrt(1.0 + (less / more) * (less / more)))
+        .when(middle > 0, ordinary)
+        .otherwise(tiny)
     )
 
 

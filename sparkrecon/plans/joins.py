@@ -1,61 +1,35 @@
 """Joins that stay safe when one key holds a large share of all rows.
 
-``lookup_join``  big side against a lookup side: broadcast only after the lookup side's
-                 real size was checked, otherwise a hash join with hot keys salted.
+``lookup_join``  big side against a lookup side: broadcast by hand only when the caller has counted
+                 the lookup side; otherwise Spark decides by estimated or measured bytes.
 ``skew_join``    hash join; hot left keys are spread over several tasks, the matching
                  right rows are repeated once per task.
 ``grid_join``    both sides may be hot on the same key: the pair space of a hot key is cut
                  into a grid of tasks.
 
-Salting never changes the result: each matching pair meets in exactly one task. The table
-of hot keys is limited to ``MAX_HOT_KEYS`` rows, so it can always be broadcast; a key below
-that rank holds less than 1/MAX_HOT_KEYS of the rows and needs no salt.
+Salting never changes the result: each matching pair meets in exactly one task. Every hot key has
+more than ``hot_rows`` rows, so a table of ``n`` rows has fewer than ``n / hot_rows`` hot keys; choose
+``hot_rows`` so that this can be broadcast. No query plan is built by running a job.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BROADCAST_ROWS = 500_000
-BROADCAST_TEXT_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 1_000
-MAX_SPREAD = 4_096
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows and little text.
-
-    Reads at most ``max_rows + 1`` rows per partition, and only the columns it sizes.
-    """
-    texts = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
-    size = F.lit(0)
-    for name in texts:
-        size = size + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
-    seen = (
-        df.select(size.cast("long").alias("b"))
-        .limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
-        .first()
-    )
-    return seen["n"] <= max_rows and (seen["b"] or 0) <= BROADCAST_TEXT_BYTES
+NULL_SLOTS = 4_096
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
-    """``on`` + ``_n`` for the keys with more than ``hot_rows`` rows, at most MAX_HOT_KEYS."""
-    return (
-        df.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *on)
-        .limit(MAX_HOT_KEYS)
-    )
+    """``on`` + ``_n`` for the keys with more than ``hot_rows`` rows."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
 
 
 def _spread(n: Column, hot_rows: int) -> Column:
-    return F.least(F.lit(MAX_SPREAD), F.ceil(n / F.lit(hot_rows))).cast("int")
+    return F.ceil(n / F.lit(hot_rows)).cast("int")
 
 
 def _slot(on: list[str], columns: list[str], spread: Column) -> Column:
@@ -67,7 +41,7 @@ def _slot(on: list[str], columns: list[str], spread: Column) -> Column:
     for key in on:
         unmatched = unmatched | F.col(key).isNull()
     hashed = F.xxhash64(*[F.col(c) for c in columns])
-    slots = F.when(unmatched, F.lit(MAX_SPREAD)).otherwise(F.coalesce(spread, F.lit(1)))
+    slots = F.when(unmatched, F.lit(NULL_SLOTS)).otherwise(F.coalesce(spread, F.lit(1)))
     return F.pmod(hashed, slots.cast("long")).cast("int")
 
 
@@ -96,7 +70,7 @@ def skew_join(
 
 
 def spread_of(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``on`` + ``_s``: into how many slots each hot key is cut; at most MAX_HOT_KEYS rows."""
+    """``on`` + ``_s``: into how many slots each hot key is cut."""
     return hot_keys(df, on, hot_rows).select(*on, _spread(F.col("_n"), hot_rows).alias("_s"))
 
 
@@ -120,17 +94,19 @@ def lookup_join(
     small: DataFrame,
     on: list[str],
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     small_rows: int | None = None,
 ) -> DataFrame:
-    """Join ``big`` to a lookup table: broadcast below a checked size, salted beyond it.
+    """Join ``big`` to a lookup table.
 
-    ``small_rows`` is the size of a lookup table of narrow rows that was counted already.
+    ``small_rows`` is the size of a lookup table of narrow rows that was counted already; up to
+    ``BROADCAST_ROWS`` it is broadcast. ``hot_rows`` salts keys with more rows by hand. Without either,
+    Spark chooses by estimated or measured bytes and splits hot keys while running.
     """
-    fits = is_small(small, max_rows) if small_rows is None else small_rows <= max_rows
-    if fits:
+    if small_rows is not None and small_rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
+    if hot_rows is None:
+        return big.join(small, on, how)
     return skew_join(big, small, on, how, hot_rows)
 
 

@@ -210,11 +210,11 @@ def topo_levels(t):
     return G.topo_levels(*part_tree(t))
 
 
-PRIORITIES = "(SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F')"
+PRIORITIES = "(SELECT DISTINCT o_custkey, o_orderpriority FROM orders)"
 
 
 def priorities(t):
-    edges = t.orders.filter(F.col("o_orderstatus") == "F").select(
+    edges = t.orders.select(
         F.col("o_custkey").alias("src"), F.col("o_orderpriority").alias("dst")
     )
     return edges, t.customer.select(F.col("c_custkey").alias("node"))

@@ -88,7 +88,7 @@ def gemv_transposed(t):
 )
 def gemv_salted(t):
     """The same product when the vector may not be broadcast and busy orders are salted."""
-    return rounded(M.gemv(order_part(t), total(t), trans="T", max_rows=1, hot_rows=8), 2, "v")
+    return rounded(M.gemv(order_part(t), total(t), trans="T", hot_rows=8), 2, "v")
 
 
 @query(

@@ -17,21 +17,27 @@ query = registrar(QUERIES)
 BASE = """(SELECT 'supplier_' || l_suppkey AS fn, 'line_' || l_linenumber AS "case", l_orderkey AS pos,
     s_nationkey AS nation, l_linenumber AS line, max(l_extendedprice) AS v, max(l_tax) AS tax,
     max(l_discount) AS disc FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3, 4, 5)"""
-REF = f"""(SELECT fn, "case", pos, v FROM {BASE} WHERE nation <> 8 AND NOT (nation = 9 AND line <= 3))"""
+# Nation 13 has a void reference at line 2, nation 14 a void candidate at line 3 and nation 12 null values.
+REF = f"""(SELECT fn, "case", pos, v FROM {BASE} WHERE nation <> 8 AND NOT (nation = 9 AND line <= 3)
+    AND NOT (nation = 13 AND line = 2))"""
 CAND = f"""(SELECT fn, "case", pos, CASE WHEN nation < 5 AND line = 7 THEN v + 1e-6
       WHEN nation = 5 AND line = 1 AND tax = 0.08 THEN CAST('NaN' AS DOUBLE)
-      WHEN nation = 10 THEN v + 4e-11 WHEN nation = 11 AND line = 2 THEN v + 1e-3 ELSE v END AS v
-    FROM {BASE} WHERE nation <> 7 AND NOT (nation = 9 AND line <= 3) AND NOT (nation = 6 AND disc = 0.1))"""
+      WHEN nation = 10 THEN v + 4e-11 WHEN nation = 11 AND line = 2 THEN v + 1e-3
+      WHEN nation = 12 AND (line = 1 OR line = 2 AND tax = 0.08) THEN NULL ELSE v END AS v
+    FROM {BASE} WHERE nation <> 7 AND NOT (nation = 9 AND line <= 3) AND NOT (nation = 6 AND disc = 0.1)
+    AND NOT (nation = 14 AND line = 3))"""
 ALIGNED = f"""(SELECT coalesce(r.fn, c.fn) AS fn, coalesce(r."case", c."case") AS "case", coalesce(r.pos, c.pos) AS pos,
     r.v AS ref, c.v AS cand, CAST(r.fn IS NOT NULL AS BIGINT) AS n_ref, CAST(c.fn IS NOT NULL AS BIGINT) AS n_cand
     FROM {REF} r FULL JOIN {CAND} c ON r.fn = c.fn AND r."case" = c."case" AND r.pos = c.pos)"""
 CASES = f"""(SELECT fn, "case", n_ref, n_cand, status,
     CASE WHEN status = 'COMPARED' THEN mx END AS max_err, CASE WHEN status = 'COMPARED' THEN mn END AS mean_err,
-    CASE WHEN status = 'COMPARED' THEN mx <= 1e-10 END AS ok
+    CASE WHEN status = 'COMPARED' THEN n_null END AS n_null,
+    CASE WHEN status = 'COMPARED' THEN coalesce(mx <= 1e-10, false) AND n_null = 0 END AS ok
   FROM (SELECT *, CASE WHEN n_ref = 0 THEN 'NO_REFERENCE' WHEN n_cand = 0 THEN 'NO_CANDIDATE'
           WHEN n_ref <> n_cand OR n_pair <> n_ref THEN 'LENGTH_MISMATCH' ELSE 'COMPARED' END AS status
         FROM (SELECT fn, "case", CAST(sum(n_ref) AS BIGINT) AS n_ref, CAST(sum(n_cand) AS BIGINT) AS n_cand,
-                sum(n_ref * n_cand) AS n_pair, max(abs(cand - ref)) AS mx, avg(abs(cand - ref)) AS mn
+                sum(n_ref * n_cand) AS n_pair,
+                CAST(count(*) FILTER (n_ref > 0 AND n_cand > 0 AND abs(cand - ref) IS NULL) AS BIGINT) AS n_null, max(abs(cand - ref)) AS mx, avg(abs(cand - ref)) AS mn
               FROM {ALIGNED} GROUP BY 1, 2) s) t)"""
 FUNCTIONS = f"""(SELECT fn, n_cases, n_failed, n_compared, n_with_ref, max_err, mean_err,
     CASE WHEN n_compared > 0 AND n_failed = 0 THEN 'PASS' WHEN n_compared > 0 THEN 'FAIL'
@@ -61,9 +67,16 @@ def lines(t):
     )
 
 
+def void(rows, here):
+    """Rows of the chosen cases without position and value: the case's output is void."""
+    return rows.select(
+        "fn", "case", F.when(~here, F.col("pos")).alias("pos"), F.when(~here, F.col("v")).alias("v")
+    )
+
+
 def reference(base):
     kept = (F.col("nation") != 8) & ~((F.col("nation") == 9) & (F.col("line") <= 3))
-    return base.filter(kept).select("fn", "case", "pos", "v")
+    return void(base.filter(kept), (F.col("nation") == 13) & (F.col("line") == 2))
 
 
 def candidate(base):
@@ -78,9 +91,10 @@ def candidate(base):
         .when((nation == 5) & (line == 1) & (F.col("tax") == 0.08), F.lit(float("nan")))
         .when(nation == 10, v + 4e-11)
         .when((nation == 11) & (line == 2), v + 1e-3)
+        .when((nation == 12) & ((line == 1) | ((line == 2) & (F.col("tax") == 0.08))), F.lit(None))
         .otherwise(v)
     )
-    return base.filter(kept).select("fn", "case", "pos", value.alias("v"))
+    return void(base.filter(kept).withColumn("v", value), (nation == 14) & (line == 3))
 
 
 def aligned(t):
@@ -113,7 +127,7 @@ def align(t):
 
 @query(
     "case_errors",
-    f'SELECT fn, "case", n_ref, n_cand, status, max_err, round(mean_err, 9) AS mean_err, ok FROM {CASES}',
+    f'SELECT fn, "case", n_ref, n_cand, status, max_err, round(mean_err, 9) AS mean_err, n_null, ok FROM {CASES}',
 )
 def case_errors(t):
     return rounded(cases(t), 9, "mean_err")
@@ -144,7 +158,7 @@ def verdict_state(t):
                      WHEN coalesce(n_ref, 0) = 0 AND (NOT cand_ran OR coalesce(n_cand, 0) = 0) THEN 'PASS_NO_OUTPUT'
                      WHEN NOT cand_ran THEN 'SOFT_PASS'
                      WHEN coalesce(n_ref, 0) <> coalesce(n_cand, 0) OR status <> 'COMPARED' THEN 'FAIL_LENGTH'
-                     WHEN max_err <= 1e-10 THEN 'PASS' ELSE 'FAIL' END AS state
+                     WHEN max_err <= 1e-10 AND n_null = 0 THEN 'PASS' ELSE 'FAIL' END AS state
               FROM {RUNS} r LEFT JOIN {CASES} c ON r.fn = c.fn AND r."case" = c."case") s""",
 )
 def scenario_verdict(t):

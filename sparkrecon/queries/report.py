@@ -14,12 +14,12 @@ QUERIES: dict = {}
 query = registrar(QUERIES)
 
 # Accuracy results: function = supplier, strategy from the line number. Lines without tax
-# were not measured.
+# were not measured. Errors follow the first order, so results are mixed over the whole table.
 ACC = """(SELECT 'Fn_' || l_suppkey AS fn, l_linenumber % 3 + 1 AS strategy, min(l_orderkey) AS ord,
-    max(l_quantity) < 50 AS passed, CASE WHEN min(l_discount) = 0 THEN NULL ELSE max(l_tax) * 1e-9 END AS max_abs_error,
-    CASE WHEN min(l_discount) = 0 THEN NULL ELSE min(l_tax) * 1e-9 END AS mean_abs_error,
+    count(*) % 3 > 0 AS passed, CASE WHEN min(l_orderkey) % 4 = 0 THEN NULL ELSE (min(l_orderkey) % 9) * 1e-10 END AS max_abs_error,
+    CASE WHEN min(l_orderkey) % 4 = 0 THEN NULL ELSE (min(l_orderkey) % 9) * 1e-11 END AS mean_abs_error,
     count(*) AS num_test_cases, count(*) FILTER (l_quantity = 50) AS failed_cases
-  FROM lineitem WHERE l_shipdate >= DATE '2000-06-01' GROUP BY 1, 2)"""
+  FROM lineitem GROUP BY 1, 2)"""
 # Timing results: function = user, strategy from the user number.
 BENCH = """(SELECT 'fn_' || user_id AS fn, user_id % 3 + 1 AS strategy, min(event_id) AS ord,
     max(value) FILTER (event_type = 'click') AS base_ms, max(value) FILTER (event_type = 'view' AND value > 100) AS cand_ms,
@@ -30,15 +30,14 @@ EXHAUSTED = "(SELECT DISTINCT 'FN_' || c_custkey AS fn FROM customer WHERE c_nat
 
 
 def acc(t):
-    rows = t.lineitem.filter(F.col("l_shipdate") >= F.lit("2000-06-01").cast("date"))
-    unmeasured = F.min("l_discount") == 0
-    return rows.groupBy(
+    unmeasured = F.min("l_orderkey") % 4 == 0
+    return t.lineitem.groupBy(
         F.concat(F.lit("Fn_"), "l_suppkey").alias("fn"), (F.col("l_linenumber") % 3 + 1).alias("strategy")
     ).agg(
         F.min("l_orderkey").alias("ord"),
-        (F.max("l_quantity") < 50).alias("passed"),
-        F.when(~unmeasured, F.max("l_tax") * 1e-9).alias("max_abs_error"),
-        F.when(~unmeasured, F.min("l_tax") * 1e-9).alias("mean_abs_error"),
+        (F.count(F.lit(1)) % 3 > 0).alias("passed"),
+        F.when(~unmeasured, (F.min("l_orderkey") % 9) * 1e-10).alias("max_abs_error"),
+        F.when(~unmeasured, (F.min("l_orderkey") % 9) * 1e-11).alias("mean_abs_error"),
         F.count(F.lit(1)).alias("num_test_cases"),
         F.count(F.when(F.col("l_quantity") == 50, 1)).alias("failed_cases"),
     )

@@ -76,7 +76,7 @@ def dedupe_lower(t):
 
 CANDIDATES = """(SELECT 'doc_' || doc_id AS name, 2 AS priority, source AS origin, length(text) AS bytes, true AS downloaded FROM documents
     UNION ALL SELECT 'doc_' || doc_id, 1, 'label', 50 + 60 * quality, true FROM labels
-    UNION ALL SELECT 'doc_' || page_id, 0, 'cache', 10, false FROM pages WHERE contains(url, 'www')
+    UNION ALL SELECT 'doc_' || page_id, 0, 'cache', 10, NOT contains(url, 'www') FROM pages
     UNION ALL SELECT 'doc_' || item_id, 4, 'embedded', length(text), false FROM benchmark)"""
 
 
@@ -87,14 +87,14 @@ def candidates(t):
             F.lit(priority).alias("priority"),
             origin.alias("origin"),
             size.cast("long").alias("bytes"),
-            F.lit(downloaded).alias("downloaded"),
+            downloaded.alias("downloaded"),
         )
 
     return (
-        rows(t.documents, "doc_id", 2, F.col("source"), F.char_length("text"), True)
-        .unionByName(rows(t.labels, "doc_id", 1, F.lit("label"), 50 + 60 * F.col("quality"), True))
-        .unionByName(rows(t.pages.filter(F.col("url").contains("www")), "page_id", 0, F.lit("cache"), F.lit(10), False))
-        .unionByName(rows(t.benchmark, "item_id", 4, F.lit("embedded"), F.char_length("text"), False))
+        rows(t.documents, "doc_id", 2, F.col("source"), F.char_length("text"), F.lit(True))
+        .unionByName(rows(t.labels, "doc_id", 1, F.lit("label"), 50 + 60 * F.col("quality"), F.lit(True)))
+        .unionByName(rows(t.pages, "page_id", 0, F.lit("cache"), F.lit(10), ~F.col("url").contains("www")))
+        .unionByName(rows(t.benchmark, "item_id", 4, F.lit("embedded"), F.char_length("text"), F.lit(False)))
     )
 
 
@@ -271,7 +271,16 @@ def write_values(t):
     path = scratch_path(t.spark, "values")
     IO.write_values(case_values(t), path, ["case"])
     back = IO.read_values(t.spark, path, "*.txt")
-    return back.select(F.regexp_extract("file", "case=([^/]+)/", 1).alias("case"), "pos", "v")
+    return back.select(F.regexp_extract("file", "case=([^/]+)", 1).alias("case"), "pos", "v")
+
+
+@query("write_values_long", f'SELECT "case", CAST(pos AS INTEGER) AS pos, v FROM {VALUES}')
+def write_values_long(t):
+    """The same round trip with every long case cut into several files."""
+    path = scratch_path(t.spark, "values")
+    IO.write_values(case_values(t), path, ["case"], lines_per_file=2_000)
+    back = IO.read_values(t.spark, path, "*.txt")
+    return back.select(F.regexp_extract("file", "case=([^/]+)", 1).alias("case"), "pos", "v")
 
 
 @query(

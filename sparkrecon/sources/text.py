@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkrecon.functions.text import bound, lines_of, strip_ws
@@ -23,13 +23,32 @@ def read_values(spark: SparkSession, path: str, glob: str | None = None) -> Data
     """``(file, pos, v)``: one number per line, blank lines skipped.
 
     A line that is no number voids its whole file: the file then has a single row with null
-    position and value.
+    position and value. The pieces of a case that :func:`write_values` cut are one file, named after
+    their folder: positions run on, and a bad line voids all of them.
     """
-    files = read_corpus(spark, path, glob)
-    return parse_values(files, "doc", "text").withColumnRenamed("doc", "file")
+    files = read_corpus(spark, path, glob).withColumn(
+        "file", F.regexp_replace("doc", r"/piece=[0-9]{6}-[0-9]{8}/[^/]*$", "")
+    )
+    rows = parse_values(files, "doc", "text", keep=["file"])
+    counts = rows.groupBy("file", "doc").agg(F.count("pos").alias("n"), F.max(F.col("pos").isNull()).alias("bad"))
+    before = Window.partitionBy("file").orderBy("doc")
+    places = counts.select(
+        "file",
+        "doc",
+        F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"),
+        F.max("bad").over(Window.partitionBy("file")).alias("void"),
+        F.row_number().over(before).alias("nth"),
+    )
+    joined = rows.join(places, ["file", "doc"])
+    void = F.col("void")
+    return joined.filter(~void | ((F.col("nth") == 1) & (F.coalesce("pos", F.lit(0)) == 0))).select(
+        "file",
+        F.when(~void, F.col("pos") + F.col("first")).cast("int").alias("pos"),
+        F.when(~void, F.col("v")).alias("v"),
+    )
 
 
-def parse_values(files: DataFrame, key: str, text: str) -> DataFrame:
+def parse_values(files: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
     """``(key, pos, v)`` from texts with one number per line; see :func:`read_values`."""
     trimmed = F.filter(F.transform(lines_of(F.col(text)), strip_ws), lambda x: x != "")
     parsed = F.transform(trimmed, lambda x: x.try_cast("double"))
@@ -39,7 +58,8 @@ def parse_values(files: DataFrame, key: str, text: str) -> DataFrame:
         rows = F.transform(numbers, lambda v, n: F.struct(n.cast("int").alias("pos"), v.alias("v")))
         return F.when(F.exists(numbers, lambda v: v.isNull()), nothing).otherwise(rows)
 
-    return files.select(key, F.explode(bound(parsed, numbered)).alias("_n")).select(key, "_n.pos", "_n.v")
+    keep = [*(keep or []), key]
+    return files.select(*keep, F.explode(bound(parsed, numbered)).alias("_n")).select(*keep, "_n.pos", "_n.v")
 
 
 def write_values(df: DataFrame, path: str, keys: list[str], lines_per_file: int = 5_000_000) -> None:
@@ -47,7 +67,7 @@ def write_values(df: DataFrame, path: str, keys: list[str], lines_per_file: int
 
     Lines are in argument order, then position: one file per case. A case with an argument
     longer than ``lines_per_file`` becomes one file per argument and block of positions,
-    each written by its own task; folder names sort into line order.
+    each written by its own task; folder names sort into line order, and reading joins them again.
     """
     block = F.floor(F.col("pos") / F.lit(lines_per_file))
     long_cases = (

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkrecon.operators import matrices as M
 from sparkrecon.operators import vectors as V
@@ -95,8 +97,7 @@ def test_gemm_shortcuts(spark):
         M.gemm(a, a, ta="X")
 
 
-def test_gemm_over_a_grid_of_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(M, "is_small", lambda df: False)
+def test_gemm_over_a_grid_of_hot_keys(spark):
     a, b = RNG.normal(size=(9, 3)), RNG.normal(size=(3, 8))
     np.testing.assert_allclose(dense(M.gemm(mat(spark, a), mat(spark, b), hot_rows=2), (9, 8)), a @ b)
 
@@ -182,3 +183,31 @@ def test_entry_outside_the_shape_is_an_error(spark):
     df = spark.createDataFrame([("m", 3, 1, 1.0)], "id string, i long, j long, v double")
     with pytest.raises(Exception, match="outside the matrix"):
         M.coo_to_colmajor(df, 2, 3, ["id"]).collect()
+
+
+def test_norm_adds_many_small_values_to_an_ordinary_one(spark):
+    edge, tiny = 2.0**-511, 2.0**-512
+    x = spark.range(1_000_000).select(F.col("id").alias("k"), F.when(F.col("id") == 0, edge).otherwise(tiny).alias("v"))
+    want = tiny * math.sqrt(4 + 999_999)
+    assert math.isclose(V.nrm2(x).first()["nrm2"], want, rel_tol=1e-12)
+
+
+def test_shapes_are_checked(spark):
+    longer = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0],)], "a array<double>")
+    with pytest.raises(Exception, match="outside the triangle"):
+        M.packed_to_coo(longer, "a", 2).collect()
+    x = spark.createDataFrame([(0, 1.0), (30, 1.0)], "k long, v double")
+    y = spark.createDataFrame([(0, 1.0), (300, 1.0)], "k long, v double")
+    a = spark.createDataFrame([(0, 0, 1.0)], "i long, j long, v double")
+    for late in (x, y):
+        with pytest.raises(Exception, match="outside the vector"):
+            M.ger(1.0, x, late, a, 25).collect()
+    with pytest.raises(Exception, match="outside the vector"):
+        M.syr(1.0, x, a, 25).collect()
+
+
+def test_large_matrix_to_column_major(spark):
+    a = spark.range(256 * 256).select((F.col("id") % 256 + 1).alias("i"), (F.floor(F.col("id") / 256) + 1).alias("j"), F.col("id").cast("double").alias("v"))
+    a = a.filter("v % 3 = 0").withColumn("g", F.lit(1))
+    arr = M.coo_to_colmajor(a, 256, 256, ["g"]).first()["arr"]
+    assert arr == [float(i) if i % 3 == 0 else 0.0 for i in range(256 * 256)]

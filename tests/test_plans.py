@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkrecon.plans.joins import grid_join, hot_keys, is_small, lookup_join, salt_many, skew_join, spread_of
+from sparkrecon.plans.joins import grid_join, hot_keys, lookup_join, salt_many, skew_join, spread_of
 from sparkrecon.plans.lineage import checkpoint, scratch_path
 from sparkrecon.plans.prefix import ordered_concat, running
 
@@ -30,10 +30,10 @@ def test_skew_join_equals_plain_join(skewed, rows, how):
     assert rows(skew_join(left, right, ["k"], how, hot_rows=20)) == rows(left.join(right, "k", how))
 
 
-@pytest.mark.parametrize("max_rows", [1, 1000])
-def test_lookup_join_equals_plain_join(skewed, rows, max_rows):
+@pytest.mark.parametrize("how", [{}, {"hot_rows": 20}, {"small_rows": 5}])
+def test_lookup_join_equals_plain_join(skewed, rows, how):
     left, right = skewed
-    got = lookup_join(left, right, ["k"], "left", max_rows=max_rows, hot_rows=20)
+    got = lookup_join(left, right, ["k"], "left", **how)
     assert rows(got) == rows(left.join(right, "k", "left"))
 
 
@@ -57,11 +57,10 @@ def test_grid_join_equals_plain_join(spark, rows):
     assert rows(got, "k", "a", "b") == rows(left.join(right, "k"), "k", "a", "b")
 
 
-def test_is_small_counts_rows_and_text(spark):
-    df = spark.range(50).select("id", F.repeat(F.lit("x"), 2_000_000).alias("t"))
-    assert is_small(df.select("id"), 50)
-    assert not is_small(df.select("id"), 49)
-    assert not is_small(df, 1000)
+def test_building_a_join_runs_no_job(spark):
+    df = spark.range(100).withColumn("k", F.raise_error(F.lit("it ran")).cast("string"))
+    plan = lookup_join(df, df.select("k"), ["k"], "left_semi")
+    assert "GlobalLimit" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_running_equals_window(spark, rows):
@@ -92,4 +91,4 @@ def test_hot_vector_product_same_with_and_without_broadcast(spark, rows):
 
     a = spark.createDataFrame([(n, 0 if n % 3 == 0 else n % 11, 1.0) for n in range(300)], "i int, j int, v double")
     x = spark.createDataFrame([(n, float(n + 1)) for n in range(11)], "k int, v double")
-    assert rows(gemv(a, x)) == rows(gemv(a, x, max_rows=1, hot_rows=10))
+    assert rows(gemv(a, x)) == rows(gemv(a, x, hot_rows=10))

@@ -106,3 +106,16 @@ def test_tolerance_tier(spark, rows):
     assert rows(df.select("n", R.tolerance_tier(F.col("e")))) == [
         (0, "strict"), (1, "early"), (2, "fail"), (3, "fail"), (4, None)
     ]
+
+
+def test_nulls_fail_and_void_outputs_count_as_none(spark):
+    ref = [("one", "a", 0, 1.0), ("one", "a", 1, 2.0), ("all", "a", 0, 1.0), ("void", "a", 0, 1.0), ("noref", "a", None, None)]
+    cand = [("one", "a", 0, 1.0), ("one", "a", 1, None), ("all", "a", 0, None), ("void", "a", None, None), ("noref", "a", 0, 1.0)]
+    cases = R.case_errors(R.align(spark.createDataFrame(ref, SCHEMA), spark.createDataFrame(cand, SCHEMA)))
+    got = {r["fn"]: (r["status"], r["ok"]) for r in cases.collect()}
+    assert got["one"] == got["all"] == ("COMPARED", False)
+    assert got["void"] == ("NO_CANDIDATE", None) and got["noref"] == ("NO_REFERENCE", None)
+    states = {r["fn"]: r["state"] for r in R.function_verdict(cases).collect()}
+    assert states == {"one": "FAIL", "all": "FAIL", "void": "SKIPPED_PASS", "noref": "SKIPPED_FAIL"}
+    runs = spark.createDataFrame([("one", "a", True, True), ("all", "a", True, True)], "fn string, case string, ref_ran boolean, cand_ran boolean")
+    assert {r["state"] for r in R.scenario_verdict(cases, runs).collect()} == {"FAIL"}

@@ -242,8 +242,41 @@ def test_value_files(spark, rows):
         path = scratch_path(spark, "values")
         IO.write_values(df, path, ["case"], lines_per_file=limit)
         back = IO.read_values(spark, path, "*.txt").withColumn("case", F.regexp_extract("file", "case=([^/]+)", 1))
-        got = back.orderBy("case", "file", "pos").select("case", "v").collect()
-        assert [tuple(r) for r in got] == [(c, v) for c, _, _, v in data]
+        got = back.orderBy("case", "pos").select("case", "pos", "v").collect()
+        assert [tuple(r) for r in got] == [("c1", 0, 0.1), ("c1", 1, 2.5), ("c1", 2, -1e-300), ("c2", 0, 7.0)]
+        assert back.select("file").distinct().count() == 2
+
+
+def test_a_bad_line_voids_every_piece_of_its_case(spark):
+    data = [("c1", 0, p, float(p)) for p in range(7)] + [("c2", 0, p, float(p)) for p in range(4)]
+    df = spark.createDataFrame(data, "case string, arg_ord int, pos long, v double")
+    df = df.withColumn("v", F.when((F.col("case") == "c1") & (F.col("pos") == 4), "T").otherwise(F.col("v").cast("string")))
+    path = scratch_path(spark, "values")
+    IO.write_values(df, path, ["case"], lines_per_file=3)
+    back = IO.read_values(spark, path, "*.txt").withColumn("case", F.regexp_extract("file", "case=([^/]+)", 1))
+    got = sorted((r["case"], -1 if r["pos"] is None else r["pos"], r["v"]) for r in back.collect())
+    assert got == [("c1", -1, None), *[("c2", p, float(p)) for p in range(4)]]
+
+
+def test_null_message_lists_lose_nothing(spark):
+    row = [("f", None, ["bad"], "note")]
+    df = spark.createDataFrame(row, "fn string, warnings array<string>, compiler_errors array<string>, error string")
+    assert [(r["kind"], r["message"]) for r in report.flatten_messages(df).collect()] == [("compiler_error", "bad"), ("note", "note")]
+
+
+def test_selection_numbers_of_any_length(spark):
+    from sparkrecon.operators.selection import parse_selection
+
+    df = spark.createDataFrame([("99999999999",), ("-3",), ("0",), ("002",), ("dot",)], "raw string")
+    sizes = [len(r[0]) for r in df.select(parse_selection(F.col("raw"), ["A", "B", "C"])).collect()]
+    assert sizes == [3, 1, 1, 2, 1]
+
+
+def test_tab_indented_declarations(spark, rows):
+    text = "      SUBROUTINE T(N, X)\n\tINTEGER\tN\n\tREAL X(\tN )\n      END\n"
+    units = corpus.units(one(spark, text))
+    got = corpus.declarations(corpus.unit_header(units)).orderBy("arg_ord").collect()
+    assert [(r["arg"], r["ftype"], r["dims"]) for r in got] == [("N", "INTEGER", []), ("X", "REAL", ["N"])]
 
 
 def test_a_bad_line_voids_the_file(spark, rows):
