@@ -110,6 +110,52 @@ def gemm(
     return _add(parts, ["i", "j"])
 
 
+def keyed_gemv(cases: DataFrame, a: DataFrame, x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+    """alpha*op(A)*x + beta*y for many cases in one plan, as ``(keys, k, v)``.
+
+    ``cases`` has one row per case: keys, alpha, beta, trans. The others are tables of matrices and
+    vectors with the same keys. A case with alpha zero does not read A, with beta zero not y.
+    """
+    scale = cases.filter("alpha <> 0").select(*keys, "alpha", "trans")
+    rows = a.join(scale, keys).select(
+        *keys, *_flagged("trans", "k", "j"), (F.col("alpha") * F.col("v")).alias("v")
+    )
+    products = rows.join(x.select(*keys, F.col("k").alias("j"), F.col("v").alias("w")), [*keys, "j"])
+    kept = y.join(cases.filter("beta <> 0").select(*keys, "beta"), keys)
+    parts = [
+        products.select(*keys, "k", (F.col("v") * F.col("w")).alias("v")),
+        kept.select(*keys, "k", (F.col("beta") * F.col("v")).alias("v")),
+    ]
+    return _add(parts, [*keys, "k"])
+
+
+def keyed_gemm(cases: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame, keys: list[str]) -> DataFrame:
+    """alpha*op(A)*op(B) + beta*C for many cases in one plan, as ``(keys, i, j, v)``.
+
+    ``cases`` has one row per case: keys, alpha, beta, ta, tb; see :func:`keyed_gemv`.
+    """
+    scale = cases.filter("alpha <> 0")
+    lefts = a.join(scale.select(*keys, "alpha", "ta"), keys).select(
+        *keys, *_flagged("ta", "i", "k"), (F.col("alpha") * F.col("v")).alias("va")
+    )
+    rights = b.join(scale.select(*keys, "tb"), keys).select(*keys, *_flagged("tb", "k", "j"), F.col("v").alias("vb"))
+    kept = c.join(cases.filter("beta <> 0").select(*keys, "beta"), keys)
+    parts = [
+        lefts.join(rights, [*keys, "k"]).select(*keys, "i", "j", (F.col("va") * F.col("vb")).alias("v")),
+        kept.select(*keys, "i", "j", (F.col("beta") * F.col("v")).alias("v")),
+    ]
+    return _add(parts, [*keys, "i", "j"])
+
+
+def _flagged(flag: str, row: str, col: str) -> list[Column]:
+    """Row and column index of op(A), where the flag is a column: N, T or C in either case."""
+    plain = F.upper(flag) == "N"
+    return [
+        F.when(plain, F.col("i")).otherwise(F.col("j")).alias(row),
+        F.when(plain, F.col("j")).otherwise(F.col("i")).alias(col),
+    ]
+
+
 def _products(a: DataFrame, b: DataFrame, hot_rows: int | None, triangle: str | None = None) -> DataFrame:
     """Partial products A(i,k)*B(k,j), not yet added up.
 

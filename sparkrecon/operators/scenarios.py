@@ -128,9 +128,13 @@ def position_hash(seed: Column, arg: Column, pos: Column) -> Column:
     def folded(c: Column) -> Column:
         return F.pmod(c.cast("long"), prime)
 
-    mixed = (folded(seed) * HASH_A + folded(arg) * HASH_B + folded(pos) * HASH_C + 1) % prime
-    squared = (mixed * (mixed % HASH_FOLD + 1)) % prime
-    return (squared * HASH_A) % prime
+    def stirred(h: Column) -> Column:
+        return ((h * (h % HASH_FOLD + 1)) % prime * HASH_A) % prime
+
+    # seed and argument choose a multiplier of their own, so no two walk the same sequence
+    own = stirred((folded(seed) * HASH_A + folded(arg) * HASH_B + 1) % prime)
+    place = folded(pos)
+    return stirred((own * (place % HASH_FOLD + 1) + place * HASH_C + own) % prime)
 
 
 def uniform(seed: Column, arg: Column, pos: Column, low: float, high: float) -> Column:

@@ -129,6 +129,66 @@ def gemm_sparse(t):
     return M.gemm(who, order_part(t), ta="T", hot_rows=8)
 
 
+# Many small matrices at once: one case per line number, with its own factors and flags.
+CASE_A = """(SELECT l_linenumber AS g, l_orderkey % 40 AS i, l_partkey % 30 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"""
+CASE_X = "(SELECT l_linenumber AS g, l_suppkey % 40 AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+CASES = """(SELECT DISTINCT l_linenumber AS g, (l_linenumber % 4)::DOUBLE AS alpha, (l_linenumber % 2)::DOUBLE AS beta,
+    CASE WHEN l_linenumber % 3 = 0 THEN 't' ELSE 'N' END AS ta, CASE WHEN l_linenumber % 5 = 0 THEN 'C' ELSE 'n' END AS tb
+  FROM lineitem)"""
+
+
+def case_table(t):
+    g = F.col("l_linenumber")
+    return t.lineitem.select(g.alias("g")).distinct().select(
+        "g",
+        (F.col("g") % 4).cast("double").alias("alpha"),
+        (F.col("g") % 2).cast("double").alias("beta"),
+        F.when(F.col("g") % 3 == 0, "t").otherwise("N").alias("ta"),
+        F.when(F.col("g") % 5 == 0, "C").otherwise("n").alias("tb"),
+    )
+
+
+def case_matrices(t):
+    cells = t.lineitem.select(
+        F.col("l_linenumber").alias("g"), (F.col("l_orderkey") % 40).alias("i"), (F.col("l_partkey") % 30).alias("j"), F.col("l_quantity").alias("v")
+    )
+    return cells.groupBy("g", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def case_vectors(t):
+    cells = t.lineitem.groupBy(F.col("l_linenumber").alias("g"), (F.col("l_suppkey") % 40).alias("k"))
+    return cells.agg(F.sum("l_quantity").alias("v"))
+
+
+@query(
+    "keyed_gemv",
+    f"""SELECT g, k, sum(v) AS v FROM (
+          SELECT c.g, CASE WHEN upper(ta) = 'N' THEN a.i ELSE a.j END AS k, alpha * a.v * x.v AS v
+          FROM {CASES} c JOIN {CASE_A} a ON a.g = c.g JOIN {CASE_X} x ON x.g = c.g AND x.k = CASE WHEN upper(ta) = 'N' THEN a.j ELSE a.i END
+          WHERE alpha <> 0
+          UNION ALL SELECT c.g, k, beta * v FROM {CASES} c JOIN {CASE_X} y ON y.g = c.g WHERE beta <> 0) s GROUP BY 1, 2""",
+)
+def keyed_gemv(t):
+    cases = case_table(t).withColumnRenamed("ta", "trans")
+    x = case_vectors(t)
+    return M.keyed_gemv(cases, case_matrices(t), x, x, ["g"])
+
+
+@query(
+    "keyed_gemm",
+    f"""SELECT g, i, j, sum(v) AS v FROM (
+          SELECT c.g, CASE WHEN upper(ta) = 'N' THEN a.i ELSE a.j END AS i, CASE WHEN upper(tb) = 'N' THEN b.j ELSE b.i END AS j,
+            alpha * a.v * b.v AS v
+          FROM {CASES} c JOIN {CASE_A} a ON a.g = c.g JOIN {CASE_A} b ON b.g = c.g
+            AND CASE WHEN upper(ta) = 'N' THEN a.j ELSE a.i END = CASE WHEN upper(tb) = 'N' THEN b.i ELSE b.j END
+          WHERE alpha <> 0
+          UNION ALL SELECT c.g, i, j, beta * v FROM {CASES} c JOIN {CASE_A} y ON y.g = c.g WHERE beta <> 0) s GROUP BY 1, 2, 3""",
+)
+def keyed_gemm(t):
+    a = case_matrices(t)
+    return M.keyed_gemm(case_table(t), a, a, a, ["g"])
+
+
 @query("transpose", f"SELECT j AS i, i AS j, v FROM {ORDER_PART}")
 def transpose(t):
     return M.transpose(M.coalesce_coo(order_part(t)))

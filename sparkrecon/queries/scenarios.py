@@ -175,8 +175,10 @@ P = S.HASH_PRIME
           UNION ALL SELECT c_custkey, 1, 'array', c_nationkey FROM customer
           UNION ALL SELECT c_custkey, 2, 'array', 2 * c_nationkey FROM customer),
         cells AS (SELECT c_custkey, arg_ord, kind, unnest(range(size)) AS pos FROM specs),
-        mixed AS (SELECT *, (c_custkey % {P} * {S.HASH_A} + arg_ord * {S.HASH_B} + pos % {P} * {S.HASH_C} + 1) % {P} AS h FROM cells),
-        squared AS (SELECT *, h * (h % {S.HASH_FOLD} + 1) % {P} * {S.HASH_A} % {P} AS g FROM mixed)
+        mixed AS (SELECT *, (c_custkey % {P} * {S.HASH_A} + arg_ord * {S.HASH_B} + 1) % {P} AS h FROM cells),
+        owned AS (SELECT *, h * (h % {S.HASH_FOLD} + 1) % {P} * {S.HASH_A} % {P} AS o FROM mixed),
+        placed AS (SELECT *, (o * (pos % {P} % {S.HASH_FOLD} + 1) + pos % {P} * {S.HASH_C} + o) % {P} AS q FROM owned),
+        squared AS (SELECT *, q * (q % {S.HASH_FOLD} + 1) % {P} * {S.HASH_A} % {P} AS g FROM placed)
         SELECT c_custkey, arg_ord, pos, CASE kind WHEN 'scalar' THEN 0.5::DOUBLE + 1.5::DOUBLE * (g::DOUBLE / {P}.0::DOUBLE)
                ELSE -1::DOUBLE + 2::DOUBLE * (g::DOUBLE / {P}.0::DOUBLE) END AS v FROM squared""",
 )
