@@ -8,12 +8,13 @@ sharded by content instead: every window picks its least ``GRAM``-word hash as i
 windows always meet in the shard of their anchor, and documents are streamed only against
 the shards they share an anchor with.
 
-1. Runs of windows with one anchor are listed; anchors of a single document are dropped.
-2. Segments (the words of a run) are cut for the rest. Equal segments are aggregated to the least id that
-   has them: a document with a larger id loses the whole segment.
-3. Anchors with several different segments may share windows between those. Their segments form
-   shards; each builds an automaton whose states carry the least id, and streams its segments for
-   the matching statistic, capped at the window.
+1. Runs of windows with one anchor are listed with a hash of their words, the segment; anchors of a
+   single document are dropped.
+2. Equal segments are aggregated to the least id that has them, its owner: a document with a larger
+   id loses the whole segment. No text moves up to here.
+3. Anchors with several different segments may share windows between those. The words of these segments are
+   cut from their owners and form shards; each builds an automaton whose states carry the least
+   id, and streams its segments for the matching statistic, capped at the window.
 4. An anchor with more than ``HOT`` different segments is not put into one shard: the windows of its segments are
    aggregated by their hash instead.
 
@@ -73,27 +74,33 @@ def anchor_runs(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
 
 
 def run_table(docs: DataFrame) -> DataFrame:
-    """anchor, doc_id, th, start, count of every run; words are counted from 0 in their document."""
+    """anchor, h1, doc_id, th, start, count of every run; words are counted from 0 in their document.
+
+    A segment is told by its anchor and ``h1``, 64 bits each.
+    """
 
     def run(batches):
         for batch in batches:
             for piece in chunks(batch):
                 x = texts_of(column(piece, "text"))
                 offsets = x.words()[2]
-                anchor, begin, count, row = anchor_runs(x.word_hashes(), offsets)
+                hashes = x.word_hashes()
+                anchor, begin, count, row = anchor_runs(hashes, offsets)
+                h1, _ = span_digests(hashes, begin, begin + count + WINDOW - 1)
                 rows = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor.view(np.int64), pa.int64()),
+                        pa.array(h1, pa.int64()),
                         column(piece, "doc_id").take(rows),
                         column(piece, "th").take(rows),
                         pa.array(begin - offsets[row], pa.int32()),
                         pa.array(count, pa.int32()),
                     ],
-                    ["anchor", "doc_id", "th", "start", "count"],
+                    ["anchor", "h1", "doc_id", "th", "start", "count"],
                 )
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, th long, start int, count int")
+    return docs.mapInArrow(run, "anchor long, h1 long, doc_id long, th long, start int, count int")
 
 
 def span_digests(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +114,12 @@ def span_digests(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tupl
     return out[0], out[1]
 
 
-def segment_table(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """anchor, h1, h2, doc_id, th, start, count, words of the segments of the given runs."""
-    lists = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("runs"))
-    joined = docs.join(lists, ["doc_id", "th"]).select(
-        "doc_id", "th", "text", F.col("runs.anchor").alias("anchor"), F.col("runs.start").alias("start"), F.col("runs.count").alias("count")
-    )
+def segment_words(docs: DataFrame, owned: DataFrame) -> DataFrame:
+    """``owned`` (anchor, h1, first, th, start, count, n) with the words of each segment, from its owner's text."""
+    cells = ["anchor", "h1", "start", "count", "n"]
+    lists = owned.groupBy(F.col("first").alias("doc_id"), "th").agg(F.collect_list(F.struct(*cells)).alias("owned"))
+    joined = docs.join(lists, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    joined = joined.select("doc_id", "text", *[F.col(f"owned.{c}").alias(c) for c in cells])
 
     def run(batches):
         for batch in batches:
@@ -120,31 +127,23 @@ def segment_table(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 x = texts_of(column(piece, "text"))
                 first, last, offsets = x.words()
                 raw = x.raw.tobytes()
-                anchors = column(piece, "anchor")
-                row = np.repeat(np.arange(x.n), np.diff(anchors.offsets.to_numpy()))
-                flat = [c.flatten().to_numpy() for c in (anchors, column(piece, "start"), column(piece, "count"))]
-                begin = flat[1].astype(np.int64) + offsets[row]
-                end = begin + flat[2] + WINDOW - 1
-                h1, h2 = span_digests(x.word_hashes(), begin, end)
+                row = np.repeat(np.arange(x.n), np.diff(column(piece, "anchor").offsets.to_numpy()))
+                flat = {c: column(piece, c).flatten() for c in cells}
+                begin = flat["start"].to_numpy().astype(np.int64) + offsets[row]
+                end = begin + flat["count"].to_numpy() + WINDOW - 1
                 words = [b" ".join(raw[a:b].split()) for a, b in zip(first[begin].tolist(), last[end - 1].tolist())]
-                rows = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(flat[0], pa.int64()),
-                        pa.array(h1, pa.int64()),
-                        pa.array(h2, pa.int64()),
-                        column(piece, "doc_id").take(rows),
-                        column(piece, "th").take(rows),
-                        pa.array(flat[1], pa.int32()),
-                        pa.array(flat[2], pa.int32()),
+                        flat["anchor"],
+                        flat["h1"],
+                        column(piece, "doc_id").take(pa.array(row, pa.int64())),
+                        flat["n"],
                         pa.array(words, pa.binary()),
                     ],
-                    ["anchor", "h1", "h2", "doc_id", "th", "start", "count", "words"],
+                    ["anchor", "h1", "first", "n", "words"],
                 )
 
-    return joined.mapInArrow(
-        run, "anchor long, h1 long, h2 long, doc_id long, th long, start int, count int, words binary"
-    )
+    return joined.mapInArrow(run, "anchor long, h1 long, first long, n long, words binary")
 
 
 class Automaton:
@@ -239,32 +238,28 @@ def removable_spans(docs: DataFrame) -> DataFrame:
     named = docs.filter("doc_id is not null")
     runs = _stored(run_table(named), "runs")
     shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    runs = runs.join(shared.select("anchor"), "anchor")
-    rows = _stored(segment_table(named, runs), "segments")
-    key = ["anchor", "h1", "h2"]
-    firsts = rows.groupBy(*key).agg(F.min("doc_id").alias("first"))
-    firsts = _stored(firsts, "firsts")
+    rows = _stored(runs.join(shared.select("anchor"), "anchor"), "shared")
+    key = ["anchor", "h1"]
+    firsts = _stored(rows.groupBy(*key).agg(F.min("doc_id").alias("first")), "firsts")
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     mixed = firsts.join(several, "anchor")
-    owners = (
-        rows.select(*key, F.col("doc_id").alias("first"), "words")
-        .join(mixed, [*key, "first"])
-        .withColumn("hot", F.col("n") > HOT)
-    )
-    owners = _stored(owners, "owners")
+    owned = rows.withColumnRenamed("doc_id", "first").join(mixed, [*key, "first"])
+    # an owner may hold a segment several times: any will do
+    owned = owned.groupBy(*key, "first", "n", "count").agg(F.min("th").alias("th"), F.min_by("start", "th").alias("start"))
+    owners = _stored(segment_words(named, owned).withColumn("hot", F.col("n") > HOT), "owners")
     shards = max(1, -(-owners.filter("not hot").count() // SHARD_SEGMENTS))
 
     def stream(keys, table):
-        table = table.sort_by([(c, "ascending") for c in ("anchor", "h1", "h2")])
-        cells = [table.column(c).to_pylist() for c in ("anchor", "h1", "h2", "first", "words")]
-        distinct = {(a, b, c): (w.split(b" "), d) for a, b, c, d, w in zip(*cells)}
+        table = table.sort_by([(c, "ascending") for c in ("anchor", "h1")])
+        cells = [table.column(c).to_pylist() for c in ("anchor", "h1", "first", "words")]
+        distinct = {(a, h): (w.split(b" "), d) for a, h, d, w in zip(*cells)}
         hits = earlier_windows(list(distinct.values()))
         found = [(*k, h) for k, h in zip(distinct, hits) if h]
-        columns = list(zip(*found)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        columns = list(zip(*found)) or [[]] * 3
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32())]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*key, "hits"])
 
-    hit_schema = "anchor long, h1 long, h2 long, hits array<int>"
+    hit_schema = "anchor long, h1 long, hits array<int>"
     cold = (
         owners.filter("not hot")
         .withColumn("shard", F.pmod("anchor", F.lit(shards)))
@@ -288,15 +283,14 @@ def removable_spans(docs: DataFrame) -> DataFrame:
             )
 
     hot = owners.filter("hot").dropDuplicates(key).select(*key, "first", "words")
-    single = hot.mapInArrow(windows, "anchor long, h1 long, h2 long, first long, i int, w1 long, w2 long")
+    single = hot.mapInArrow(windows, "anchor long, h1 long, first long, i int, w1 long, w2 long")
     if not owners.filter("hot").isEmpty():
         single = _stored(single, "windows")
         least = single.groupBy("w1", "w2").agg(F.min("first").alias("m"))
         late = single.join(least, ["w1", "w2"]).filter("m < first")
         cold = cold.unionByName(late.groupBy(*key).agg(F.collect_list("i").alias("hits")))
     spans = (
-        rows.drop("words")
-        .join(firsts, key)
+        rows.join(firsts, key)
         .join(cold, key, "left")
         .withColumn("whole", F.col("doc_id") > F.col("first"))
         .filter("whole or hits is not null")
