@@ -13,28 +13,31 @@ from pyspark.sql import functions as F
 
 from sparkrecon.plans.lineage import scratch_path
 
+ROWS_PER_TASK = 250_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` has long columns a, b; the result has node, component for every node with a link.
 
     The component is its least node. Loops and nulls are ignored.
     """
-    spark = edges.sparkSession
     now = _stored(
         edges.filter("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
     mark = _fingerprint(now)
+    # rounds have no more edges than the first: few tasks write and read a small table
+    tasks = 1 + mark[0] // ROWS_PER_TASK
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _stored(large.filter("a <> b").distinct())
+        large = _stored(large.filter("a <> b").distinct(), tasks)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = least.select("a", F.col("m").alias("b")).unionByName(moved)
-        now = _stored(small.distinct())
+        now = _stored(small.distinct(), tasks)
         last, mark = mark, _fingerprint(now)
         if mark == last:
             break
@@ -43,10 +46,10 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(centres)
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def _stored(df: DataFrame, tasks: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "stars")
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,13 +3,16 @@
 A document's set holds its distinct 5-word shingles (64-bit hashes; words lower-cased in A-Z). Two
 sets link when their Jaccard similarity is at least 3/4, tested exactly on whole sets.
 
-1. A table of ``2 ** COUNTER_BITS`` counters over all shingles (fixed size, so it may be broadcast)
-   gives one global order: rare counters first, then hash order. Counters never count too little.
+1. A table of counters over all shingles, one per ``LOAD`` of them but at most ``2 ** MOST_BITS`` (one
+   byte each, so it may be broadcast), gives one global order: rare counters first, then hash order.
+   Counters never count too little. Beyond that size the order gets coarser, never wrong.
 2. Equal sets form a class, represented by its least id. Only representatives go on.
-3. Sets that link share a shingle among the first ``n - ceil(3n/4) + 1`` of their order. Per such shingle
-   the least id is the hub, and everyone who has it joins the hub's group: each linked pair meets in
-   a group. A shingle whose counter is at most ``COLD`` has at most that many holders, so a
-   window finds its hub; for others the hub is a partial aggregate joined back.
+3. Sets that link share at least ``common(n)`` shingles among the first ``prefix_length(n)`` of their order, and
+   one is at least 3/4 as large as the other. A set with fewer shared prefix shingles than
+   that allows links with nothing and goes. Per shingle left the least id is the hub, and everyone who
+   has it joins the hub's group: each linked pair meets in a group. A shingle whose counter is at most
+   ``COLD`` has at most that many holders, so a window finds its hub; for others the hub is a
+   partial aggregate joined back.
 4. A group is a trie over ordered sets. A probe walks it sharing the overlap of common paths, and a
    subtree goes when the remaining lengths cannot reach the needed overlap or all of it
    is already connected to the probe. Groups above ``GROUP`` are dealt into blocks that all hold the
@@ -34,10 +37,13 @@ from sparkrecon.llm.words import Texts, chunks, column, mix, ngrams, texts_of
 from sparkrecon.plans.lineage import scratch_path
 
 N = 5
-COUNTER_BITS = 20
-SLICE_BITS = 16
+LOAD = 16
+LEAST_BITS, MOST_BITS = 16, 22
+SLICE_BITS = 18
 COLD = 2_048
 GROUP = 256
+EXTRA = 16
+INDEXED = 8
 _OTHER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,56 +67,73 @@ def shingles(x: Texts) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(row, np.arange(x.n + 1))
 
 
-def counters(docs: DataFrame) -> np.ndarray:
-    """Shingle counts by the top bits of the hash, over all rows. Partial tables are cut into slices
-    and packed, so few bytes are shuffled and no task holds more than one slice of each partition."""
-    size, width = 1 << COUNTER_BITS, 1 << SLICE_BITS
+def counter_bits(docs: DataFrame) -> int:
+    """Bits for about one counter per ``LOAD`` shingles, within bounds that keep a table broadcastable."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(int(total / 6 / LOAD).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def order_classes(docs: DataFrame, bits: int) -> np.ndarray:
+    """Class per counter of shingles by the top ``bits`` of the hash, counted over all rows.
+
+    0 up to the mean count, then quarter steps of powers of two; 128 is added when the count is above
+    ``COLD``. Partial tables are cut into slices and packed, so few bytes are shuffled and no task adds
+    more than a few slices.
+    """
+    size = 1 << bits
+    width = min(size, 1 << SLICE_BITS)
+    shift = np.uint64(64 - bits)
+    schema = "s int, c binary"
+
+    def packed(slices: dict[int, np.ndarray]) -> pa.RecordBatch:
+        blobs = [zlib.compress(v.tobytes(), 1) for v in slices.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int32()), pa.array(blobs, pa.binary())], ["s", "c"])
 
     def count(batches):
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.uint32)
         for batch in batches:
             for piece in chunks(batch):
                 grams, _ = shingles(texts_of(column(piece, "text")))
-                total += np.bincount((grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=size)
-        blobs = [zlib.compress(total[i : i + width].astype("<i8").tobytes(), 1) for i in range(0, size, width)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["s", "c"])
+                np.add.at(total, (grams >> shift).astype(np.int64), np.uint32(1))
+        yield packed({i // width: total[i : i + width] for i in range(0, size, width)})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, c in zip(column(batch, "s").to_pylist(), column(batch, "c").to_pylist()):
-                values = np.frombuffer(zlib.decompress(c), "<i8")
+                values = np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64)
                 sums[s] = sums[s] + values if s in sums else values
-        blobs = [zlib.compress(v.astype("<i8").tobytes(), 1) for v in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], ["s", "c"])
+        yield packed(sums)
 
-    schema = "s int, c binary"
     parts = docs.select("text").mapInArrow(count, schema).repartition(size // width, "s").mapInArrow(add, schema)
-    total = np.zeros(size, dtype=np.int64)
-    for row in parts.collect():  # 2 ** (COUNTER_BITS - SLICE_BITS) rows
-        total[row["s"] * width : (row["s"] + 1) * width] += np.frombuffer(zlib.decompress(row["c"]), "<i8")
-    return total
-
-
-def order_classes(total: np.ndarray) -> np.ndarray:
-    """Class per counter: 0 up to the mean, then quarter steps of powers of two; 128 is added when
-    the counter is above ``COLD``."""
-    mean = max(1.0, float(total.mean()))
-    steps = np.clip(np.floor(4 * np.log2(np.maximum(total, 1) / mean)), 0, 127)
-    return (steps + 128 * (total > COLD)).astype(np.uint64)
+    rows = {row["s"]: row["c"] for row in parts.collect()}  # size / width rows
+    slices = {s: np.frombuffer(zlib.decompress(c), "<i8") for s, c in rows.items()}
+    mean = max(1.0, sum(int(v.sum()) for v in slices.values()) / size)
+    classes = np.zeros(size, dtype=np.uint8)
+    for s, counts in slices.items():
+        steps = np.clip(np.floor(4 * np.log2(np.maximum(counts, 1) / mean)), 0, 127)
+        classes[s * width : (s + 1) * width] = steps + 128 * (counts > COLD)
+    return classes
 
 
 def ordered_sets(x: Texts, classes: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct keys of each text; a key is the class in 8 bits and 56 bits of the hash."""
     grams, offsets = shingles(x)
-    keys = (classes[(grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] << np.uint64(56)) | (
-        mix(grams) >> np.uint64(8)
-    )
+    shift = np.uint64(65 - len(classes).bit_length())
+    order = classes[(grams >> shift).astype(np.int64)].astype(np.uint64)
+    keys = (order << np.uint64(56)) | (mix(grams) >> np.uint64(8))
     return [np.unique(keys[offsets[i] : offsets[i + 1]]) for i in range(x.n)]
 
 
+def common(n: int) -> int:
+    """Shingles that two linked sets share in their prefixes, at least, if the one whose prefix ends
+    first has ``n``."""
+    return 1 + n // EXTRA
+
+
 def prefix_length(n: int) -> int:
-    return n - (3 * n + 3) // 4 + 1 if n else 0
+    """A set lacks at most ``n - ceil(3n/4)`` shingles of one it links to."""
+    return n - (3 * n + 3) // 4 + common(n) if n else 0
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -120,19 +143,44 @@ def linked(overlap: int, a: int, b: int) -> bool:
 class Node:
     """A path-compressed trie node: a run of keys, then children by their first key."""
 
-    __slots__ = ("keys", "depth", "children", "leaves", "least", "most", "member")
+    __slots__ = ("keys", "depth", "children", "leaves", "least", "most", "member", "index")
 
     def __init__(self, keys: np.ndarray, depth: int):
         self.keys, self.depth = keys, depth
         self.children: dict[int, Node] = {}
         self.leaves: list[int] = []
         self.least, self.most, self.member = 1 << 62, 0, None
+        self.index: LeafIndex | None = None
+
+
+class LeafIndex:
+    """The rest of the keys of all leaf children of a node, inverted: a probe meets all of them at once."""
+
+    def __init__(self, leaves: list[Node]):
+        self.leaves = leaves
+        if not leaves:
+            return
+        self.depth = np.array([leaf.depth for leaf in leaves])
+        keys = np.concatenate([leaf.keys for leaf in leaves])
+        owner = np.repeat(np.arange(len(leaves)), [len(leaf.keys) for leaf in leaves])
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.owner, self.ends = owner[order], np.append(first, len(keys))
+
+    def overlaps(self, keys: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.keys, keys)
+        place = np.minimum(place, len(self.keys) - 1)
+        hit = place[self.keys[place] == keys]
+        begin, size = self.ends[hit], self.ends[hit + 1] - self.ends[hit]
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return np.bincount(self.owner[at], minlength=len(self.leaves))
 
 
 class TrieJoin:
     """Sets of one group; ``probe`` links a set to what is in the trie, ``insert`` adds it."""
 
     def __init__(self):
+        self.frozen = False
         self.root = Node(np.zeros(0, np.uint64), 0)
         self.parent: dict[int, int] = {}
         self.links: list[tuple[int, int]] = []
@@ -144,6 +192,15 @@ class TrieJoin:
             a = self.parent[a]
         return a
 
+    def stars(self) -> tuple[list[int], list[int]]:
+        """The components of the links, each as edges from its members to its least one."""
+        least: dict[int, int] = {}
+        members = sorted({d for link in self.links for d in link})
+        for d in members:
+            least.setdefault(self.find(d), d)
+        edges = [(d, least[self.find(d)]) for d in members if least[self.find(d)] != d]
+        return [a for a, _ in edges], [b for _, b in edges]
+
     def insert(self, doc: int, keys: np.ndarray) -> None:
         node, at = self.root, 0
         while True:
@@ -200,9 +257,25 @@ class TrieJoin:
             low = max(node.least, (3 * n + 3) // 4)
             reach = overlap + min(n - at, node.most - node.depth)
             if node.children and 7 * reach >= 3 * (n + low):
-                for child in node.children.values():
+                children = list(node.children.values())
+                if self.frozen and len(children) >= INDEXED:
+                    if node.index is None:
+                        node.index = LeafIndex([c for c in children if not c.children])
+                    self._meet(doc, own, node.index, keys[at:], overlap, n)
+                    children = [c for c in children if c.children]
+                for child in children:
                     stack.append((child, at, overlap))
 
+    def _meet(self, doc: int, own: int, index: LeafIndex, rest: np.ndarray, overlap: int, n: int) -> None:
+        if not index.leaves:
+            return
+        common = overlap + index.overlaps(rest)
+        for i in np.flatnonzero(linked(common, n, index.depth)).tolist():
+            for other in index.leaves[i].leaves:
+                if self.find(other) != own:
+                    self.links.append((doc, other))
+                    self.parent[self.find(other)] = own
+
 
 def join_group(docs: list[int], sets: list[np.ndarray], probes: list[bool] | None = None) -> TrieJoin:
     """Links among the sets of a group; with ``probes``, only of those with the others."""
@@ -216,6 +289,7 @@ def join_group(docs: list[int], sets: list[np.ndarray], probes: list[bool] | Non
         for i in order:
             if not probes[i]:
                 trie.insert(docs[i], sets[i])
+        trie.frozen = True
         for i in order:
             if probes[i]:
                 trie.probe(docs[i], sets[i])
@@ -254,21 +328,31 @@ def document_sets(docs: DataFrame, classes) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, head array<long>")
 
 
-def hub_groups(heads: DataFrame) -> DataFrame:
-    """Distinct hub, doc pairs: doc shares a prefix shingle with hub, the least id that has it."""
-    rows = heads.select(F.col("doc_id").alias("doc"), F.explode("head").alias("key"))
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, doc, ...) whose key another doc has too, with ``hub``: the least of them."""
     # the top bit of a key, the sign, is set when its counter is above COLD
+    names = [*rows.columns, "hub"]
     same = Window.partitionBy("key")
     cold = (
         rows.filter("key >= 0")
-        .select("doc", F.min("doc").over(same).alias("hub"), F.max("doc").over(same).alias("last"))
+        .withColumns({"hub": F.min("doc").over(same), "last": F.max("doc").over(same)})
         .filter("hub < last")
-        .select("hub", "doc")
     )
     hot = rows.filter("key < 0")
     hubs = hot.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).filter("hub < last")
-    warm = hot.join(hubs.select("key", "hub"), "key").select("hub", "doc")
-    return cold.unionByName(warm).distinct()
+    return cold.select(*names).unionByName(hot.join(hubs.select("key", "hub"), "key").select(*names))
+
+
+def hub_groups(heads: DataFrame) -> DataFrame:
+    """Distinct hub, doc pairs: doc shares a prefix shingle with hub, the least id that has it."""
+    rows = heads.select(F.explode("head").alias("key"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"))
+    shared = _stored(shared_keys(rows).drop("hub"), "shared")
+    # the smallest partner has ceil(3n/4) shingles; which has to share that much
+    partner = F.floor((3 * F.col("n") + 3) / 4)
+    enough = F.col("c") >= 1 + F.floor(partner / EXTRA)
+    able = shared.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("c")).filter(enough)
+    left = shared.join(able.select("doc").distinct(), "doc", "left_semi").select("key", "doc")
+    return shared_keys(left).select("hub", "doc").distinct()
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
@@ -279,7 +363,7 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links a, b within the hub groups; ``sets`` has doc and its keys."""
+    """Edges a, b that connect what links within the hub groups; ``sets`` has doc and its keys."""
     sized = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / GROUP).cast("int")
     dealt = groups.join(sized, "hub").select("hub", "doc", blocks.alias("blocks"))
@@ -292,7 +376,7 @@ def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         docs = table.column("doc").to_pylist()
         trie = join_group(docs, [_keys(b) for b in table.column("keys").to_pylist()])
         centre = trie.find(hub)
-        a, b = [x for x, _ in trie.links], [y for _, y in trie.links]
+        a, b = trie.stars()
         stray = []
         if table.num_rows and table.column("blocks")[0].as_py() > 1:
             stray = sorted({d for d in docs if trie.find(d) != centre})
@@ -304,7 +388,7 @@ def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
             }
         )
 
-    seated = seats.join(sets, "doc").select("hub", "at", "doc", "blocks", "keys")
+    seated = seats.hint("merge").join(sets, "doc").select("hub", "at", "doc", "blocks", "keys")
     found = _stored(seated.groupBy("hub", "at").applyInArrow(first, "hub long, a long, b long"), "links")
     links = found.filter("hub is null").select("a", "b")
     strays = found.filter("hub is not null").select("hub", F.col("a").alias("doc"))
@@ -330,9 +414,8 @@ def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         docs = table.column("doc").to_pylist()
         sets_ = [_keys(b) for b in table.column("keys").to_pylist()]
         trie = join_group(docs, sets_, table.column("asks").to_pylist())
-        return pa.table(
-            {"a": pa.array([x for x, _ in trie.links], pa.int64()), "b": pa.array([y for _, y in trie.links], pa.int64())}
-        )
+        a, b = trie.stars()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     more = asked.unionByName(held).join(sets, "doc").groupBy("hub", "share", "at").applyInArrow(second, "a long, b long")
     return links.unionByName(more)
@@ -341,7 +424,7 @@ def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs``."""
     spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(order_classes(counters(docs)))
+    classes = spark.sparkContext.broadcast(order_classes(docs, counter_bits(docs)))
     made = _stored(document_sets(docs, classes), "sets")
     known = made.filter("doc_id is not null and n > 0")
     reps = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
@@ -358,7 +441,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), blobs], ["doc", "keys"])
 
     members = groups.select(F.col("doc").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(members, "doc_id", "left_semi")
+    # merged at every size: a list of members grows with the table and is not to be broadcast
+    texts = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id", "left_semi")
     sets = _stored(texts.mapInArrow(full, "doc long, keys binary"), "members")
     links = group_links(groups, sets)
     # an id with several texts joins their classes

@@ -100,3 +100,28 @@ def test_empty_tables(spark):
     assert ngram_join.jaccard_components(empty).count() == 0
     assert ngram_join.one_of_each(empty).count() == 0
     assert substring_dedup.without_repeats(empty).count() == 0
+
+
+def test_probes_of_a_frozen_trie_equal_single_tests():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 5000, 80))
+    sets = [np.unique(np.append(rng.permutation(base)[: -int(rng.integers(0, 25))or None], rng.integers(0, 5000, 4))).astype(np.uint64) for _ in range(60)]
+    asks = [i % 3 == 0 for i in range(60)]
+    trie = ngram_join.join_group(list(range(60)), sets, asks)
+    parent = list(range(60))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(60):
+        for b in range(60):
+            if asks[a] and not asks[b] and ngram_join.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])):
+                parent[find(a)] = find(b)
+    assert trie.links
+    for a in range(60):
+        for b in range(60):
+            assert (find(a) == find(b)) == (trie.find(a) == trie.find(b))
