@@ -43,12 +43,18 @@ def numbered_kmers(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     else:
         for c in codes:
             h = h * _STEP + c
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    packed = np.sort((mix(h) & ~low) | np.arange(n, dtype=np.uint64))
-    kmer, place = packed & ~low, packed & low
+    h = mix(h)
+    low = (np.uint64(1) << np.uint64(max(1, int(n).bit_length()))) - np.uint64(1)
+    packed = np.sort((h & ~low) | np.arange(n, dtype=np.uint64))
+    place = packed & low
+    kmer = h[place]
+    new = kmer[1:] != kmer[:-1]
+    if np.any(new & ((packed[1:] ^ packed[:-1]) <= low)):  # unequal k-mers with equal upper bits
+        place = np.argsort(h, kind="stable").astype(np.uint64)
+        kmer = h[place]
+        new = kmer[1:] != kmer[:-1]
     first = np.zeros(n, dtype=np.int64)
-    new = np.flatnonzero(kmer[1:] != kmer[:-1]) + 1
+    new = np.flatnonzero(new) + 1
     first[new] = new
     number = np.arange(n) - np.maximum.accumulate(first)
     return mix(kmer + number.astype(np.uint64) * _GOLD), kmer, place

@@ -200,6 +200,39 @@ def test_order_minhash_sees_order():
     assert near(text, one_edit) > 0.9 > near(text, swapped) > 0 and near(text, text) == 1
 
 
+@pytest.mark.parametrize("length", [1020, 4090])
+def test_order_minhash_of_near_copies_across_powers_of_two(length):
+    rng = random.Random(9)
+    near = []
+    for _ in range(20):
+        words = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(length))
+        text, longer = words[:length], words[: length + 40]
+        assert (length - order_minhash.K + 1).bit_length() < (length + 40 - order_minhash.K + 1).bit_length()
+        near.append(order_minhash.likeness(order_minhash.sketch(text), order_minhash.sketch(longer)))
+    assert min(near) > 0.6 and np.mean(near) > 0.85, near
+
+
+def test_order_minhash_numbers_equal_kmers_in_text_order():
+    text = "".join(random.Random(10).choice("ab") for _ in range(300))
+    value, kmer, place = order_minhash.numbered_kmers(text)
+    seen, number, hashes = {}, {}, {}
+    for i in range(len(text) - order_minhash.K + 1):
+        k = text[i : i + order_minhash.K]
+        number[i] = seen[k] = seen.get(k, -1) + 1
+    for v, h, i in zip(value.tolist(), kmer.tolist(), place.tolist()):
+        k = text[i : i + order_minhash.K]
+        assert hashes.setdefault(k, h) == h
+        assert hashes.setdefault((k, number[i]), v) == v
+    assert len(place) == len(set(place.tolist())) == len(number) and len(set(value.tolist())) == len(value)
+
+
+def test_order_minhash_tells_kmers_apart_whose_upper_bits_agree(monkeypatch):
+    monkeypatch.setattr(order_minhash, "mix", lambda x: x & np.uint64(0xF))
+    _, cut, place = order_minhash.numbered_kmers("abcdefghijklmnopqrst" * 2)
+    whole = [h for _, h in sorted(zip(place.tolist(), cut.tolist()))]
+    assert len(set(whole)) > 1 and whole[:15] == whole[20:35]
+
+
 def test_licenses(spark, odd):
     rows = [
         (1, "Under the MIT License. under the mit-license x cc by nc cc-by-nc Apache License, Version 2.0", "s"),
