@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -251,6 +252,50 @@ def test_licenses(spark, odd):
     assert licenses.license_scan(odd.limit(0)).count() == 0
 
 
+def _phrases(words: str) -> list[str]:
+    """Every text a rule's words stand for."""
+    found = [""]
+    for word in words.split(" "):
+        optional = word.startswith("[") and word.endswith("]")
+        bare = word[1:-1] if optional else word
+        choices = bare.strip("()").split("|") if bare.startswith("(") else [bare]
+        spelled = [c.replace("_", " ").replace("[cs]", x) for c in choices for x in ("c", "s")[: 1 + ("[cs]" in c)]]
+        found = [f"{f} {c}".strip() for f in found for c in ([*spelled, ""] if optional else spelled)]
+    return found
+
+
+def test_every_alternative_of_a_license_rule_passes_its_gates():
+    families = licenses.FAMILIES + [(label, f"{s} {t}", k) for s, k in licenses.CC_STEMS for label, t in licenses.CC_TERMS]
+    worded = [(label, phrase) for phrase, label in licenses.BASE]
+    worded += [(label, " ".join(filter(None, (b, name, a)))) for label, name, _ in families for b, a, _ in licenses.FORMS]
+    worded += [(label, words) for label, words, _, _ in licenses.NOTICES]
+    stems, rules = licenses.gate_stems(), licenses.rules()
+    assert [r[1] for r in rules] == [label for label, _ in worded]
+    missed = set()
+    for (_, label, keyword, pattern, _), (_, words) in zip(rules, worded):
+        for phrase in _phrases(words):
+            text = "".join(f" {w} " for w in phrase.split(" "))
+            assert re.fullmatch(pattern, text), (pattern, text)
+            if keyword not in text or not any(s in text for s in stems):
+                missed.add((label, phrase))
+    assert not missed, sorted(missed)[:5]
+
+
+def test_licenses_by_their_other_names(spark):
+    rows = [
+        (1, "Released under the Expat license", "s"),
+        (2, "the FreeBSD 2-clause license", "s"),
+        (3, "FreeBSD 2 clause", "s"),
+        (4, "distributed under the terms of the FreeBSD 2-clause", "s"),
+        (5, "SPDX-License-Identifier: Expat Licence", "s"),
+        (6, "FreeBSD is not expat", "s"),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(brute.frame(spark, rows)).collect()}
+    assert got == {
+        1: ("mit", 0.8), 2: ("bsd-2-clause", 0.6), 3: ("bsd-2-clause", 0.6), 4: ("bsd-2-clause", 0.8), 5: ("mit", 0.9), 6: ("", 0.0)
+    }
+
+
 def test_cube_keeps_the_constraints():
     rng = random.Random(9)
     sizes = [rng.randint(1, 500) for _ in range(400)]
