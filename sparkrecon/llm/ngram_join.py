@@ -459,7 +459,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component (one row per id), and rows without an id."""
+    """The document with the least id of each component (one row per id), and rows without an id.
+
+    Of several rows of that id the one with the least text digest stays, of equal texts the least row.
+    """
     kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    single = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    row = F.struct(
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.struct(*docs.columns).alias("row")
+    )
+    single = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("least"))
+    return single.select("least.row.*").unionByName(docs.filter("doc_id is null"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -50,6 +51,18 @@ def test_one_of_each_group_stays(spark):
     assert kept.filter("doc_id is null").count() == 1
 
 
+def test_the_same_row_of_an_id_stays_in_any_order(spark):
+    rows = [(i, f"{i} {j} " + " ".join(f"w{i}x{j}x{k}" for k in range(20)), f"s{j}") for i in range(10) for j in range(4)]
+    rows += [(20, "a text in two sources", "t"), (20, "a text in two sources", "s")]
+    want = [
+        min((r for r in rows if r[0] == i), key=lambda r: (hashlib.sha256(r[1].encode()).hexdigest(), r[2]))
+        for i in [*range(10), 20]
+    ]
+    for ordered in (rows, rows[::-1]):
+        kept = ngram_join.one_of_each(brute.frame(spark, ordered).coalesce(1))
+        same(kept.select("doc_id", "text", "source").collect(), want)
+
+
 def test_trie_join_equals_all_pairs():
     import numpy as np
 
