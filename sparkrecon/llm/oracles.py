@@ -6,6 +6,7 @@ from sparkrecon.llm.licenses import BASE, BASE_PRIORITY, gate_stems, rules
 from sparkrecon.llm.ngram_join import N
 from sparkrecon.llm.rules import MAX_RATE, MIN_WORDS, Z
 from sparkrecon.llm.substring_dedup import WINDOW
+from sparkrecon.llm.super_minhash import PERCENT
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,6 +35,11 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+SUPER_MINHASH = NGRAM_JOIN.replace("100 * o >= 75 *", f"100 * o >= {PERCENT} *").replace(
+    "SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id",
+    "SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept",
+)
+
 
 def _host_sql() -> str:
     tests = {
@@ -142,4 +148,5 @@ ORACLES = {
     "op3_host_rules": _host_sql(),
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op10_license_rules": _license_sql(),
+    "op12_super_minhash": SUPER_MINHASH,
 }

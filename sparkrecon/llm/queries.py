@@ -12,10 +12,13 @@ from sparkrecon.llm import (
     ngram_join,
     order_minhash,
     packing,
+    periodic_runs,
     pii,
     rules,
     substring_dedup,
+    super_minhash,
     token_counts,
+    whitening,
 )
 from sparkrecon.llm.oracles import ORACLES  # noqa: F401
 
@@ -82,6 +85,18 @@ def op10_license_rules(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(_table(spark, folder, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, folder, "documents"), planted=True)
+
+
+def op12_super_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return super_minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,5 +110,8 @@ QUERIES = {
         op8_pii_votes,
         op9_order_minhash,
         op10_license_rules,
+        op11_periodic_runs,
+        op12_super_minhash,
+        op13_whitening,
     )
 }

@@ -51,7 +51,7 @@ def shingle_set(text: str | None) -> set:
     return {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def jaccard_components(rows) -> list[tuple]:
+def jaccard_components(rows, percent: int = 75) -> list[tuple]:
     sets = [(doc, shingle_set(text)) for doc, text, *_ in rows]
     parent: dict = {}
 
@@ -68,7 +68,7 @@ def jaccard_components(rows) -> list[tuple]:
     for a, b in {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}:
         (x, s), (y, t) = sets[a], sets[b]
         overlap = len(s & t)
-        if 100 * overlap >= 75 * (len(s) + len(t) - overlap):
+        if 100 * overlap >= percent * (len(s) + len(t) - overlap):
             x, y = find(x), find(y)
             parent[max(x, y)] = min(x, y)
     return [(doc, len(s), find(doc) if s and doc is not None else doc) for doc, s in sets]
