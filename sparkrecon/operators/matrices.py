@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkrecon.operators import blocks
 from sparkrecon.operators.vectors import _col
 from sparkrecon.plans.joins import grid_join, skew_join
 
@@ -98,8 +99,17 @@ def gemm(
     ta: str = "N",
     tb: str = "N",
     hot_rows: int | None = None,
+    tile: int | None = None,
+    split: int = 1,
 ) -> DataFrame:
-    """alpha*op(A)*op(B) + beta*C. ``c`` is not read when beta is zero."""
+    """alpha*op(A)*op(B) + beta*C. ``c`` is not read when beta is zero.
+
+    Without ``tile`` entries are joined: right for very sparse factors. With it the factors are cut into tiles of that
+    side, which are joined, multiplied by numpy and added up per task (``blocks``): right when an inner index has
+    many entries on both sides. ``split`` deals an inner tile that many tiles share over as many tasks.
+    """
+    if tile is not None:
+        return blocks.gemm(op(a, ta), op(b, tb), c, alpha, beta, tile, split)
     parts = []
     if alpha != 0:
         parts.append(_scaled(_products(op(a, ta), op(b, tb), hot_rows), alpha))
@@ -156,7 +166,7 @@ def _flagged(flag: str, row: str, col: str) -> list[Column]:
     ]
 
 
-def _products(a: DataFrame, b: DataFrame, hot_rows: int | None, triangle: str | None = None) -> DataFrame:
+def _products(a: DataFrame, b: DataFrame, hot_rows: int | None) -> DataFrame:
     """Partial products A(i,k)*B(k,j), not yet added up.
 
     Spark broadcasts a factor when its size, estimated or measured while running, allows it,
@@ -168,8 +178,6 @@ def _products(a: DataFrame, b: DataFrame, hot_rows: int | None, triangle: str |
     else:
         lefts, rights = _left_factor(coalesce_coo(a)), _right_factor(coalesce_coo(b))
         joined = grid_join(lefts, rights, ["k"], ["i"], ["j"], hot_rows)
-    if triangle:
-        joined = joined.filter(_in_triangle(triangle))
     return joined.select("i", "j", (F.col("va") * F.col("vb")).alias("v"))
 
 
@@ -190,6 +198,9 @@ def _in_triangle(uplo: str) -> Column:
     raise ValueError(f"bad triangle flag: {uplo}")
 
 
+CHUNK = 256
+
+
 def syrk(
     a: DataFrame,
     c: DataFrame | None = None,
@@ -197,13 +208,16 @@ def syrk(
     beta: float = 0.0,
     trans: str = "N",
     uplo: str = "U",
-    hot_rows: int | None = None,
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """One triangle of alpha*op(A)*op(A)' + beta*C. The other half is never formed."""
-    rows = op(a, trans)
+    """One triangle of alpha*op(A)*op(A)' + beta*C. The other half is never formed.
+
+    An inner index with n entries gives n(n+1)/2 products (:func:`_half_products`).
+    """
     parts = []
     if alpha != 0:
-        parts.append(_scaled(_products(rows, transpose(rows), hot_rows, uplo), alpha))
+        rows = coalesce_coo(op(a, trans)).select(F.col("j").alias("k"), "i", F.col("v").alias("x"))
+        parts.append(_half_products(rows, lambda p, q: p["x"] * q["x"], alpha, uplo, chunk))
     if beta != 0 and c is not None:
         parts.append(_scaled(tri_view(c, uplo), beta))
     if not parts:
@@ -219,14 +233,21 @@ def syr2k(
     beta: float = 0.0,
     trans: str = "N",
     uplo: str = "U",
-    hot_rows: int | None = None,
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """One triangle of alpha*(op(A)*op(B)' + op(B)*op(A)') + beta*C."""
-    ra, rb = op(a, trans), op(b, trans)
+    """One triangle of alpha*(op(A)*op(B)' + op(B)*op(A)') + beta*C.
+
+    Both factors stand side by side per row and inner index, so both products come from one pass over the pairs. A
+    pair with nothing in one factor on either side gives no entry.
+    """
     parts = []
     if alpha != 0:
-        parts.append(_scaled(_products(ra, transpose(rb), hot_rows, uplo), alpha))
-        parts.append(_scaled(_products(rb, transpose(ra), hot_rows, uplo), alpha))
+        none = F.lit(None).cast("double")
+        sides = op(a, trans).withColumn("y", none).withColumnRenamed("v", "x")
+        sides = sides.unionByName(op(b, trans).withColumn("x", none).withColumnRenamed("v", "y"))
+        rows = sides.groupBy(F.col("j").alias("k"), "i").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+        crossed = lambda p, q: _either(p["x"] * q["y"], p["y"] * q["x"])
+        parts.append(_half_products(rows, crossed, alpha, uplo, chunk))
     if beta != 0 and c is not None:
         parts.append(_scaled(tri_view(c, uplo), beta))
     if not parts:
@@ -234,6 +255,46 @@ def syr2k(
     return _add(parts, ["i", "j"])
 
 
+def _either(one: Column, two: Column) -> Column:
+    """The sum of what is there; null when neither is."""
+    return F.coalesce(one + two, one, two)
+
+
+def half_pairs(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Unordered pairs p, q of the rows of each inner index ``k``, a row with itself included, as structs.
+
+    An inner index with more than ``chunk`` rows is dealt into chunks by a hash of i. Chunk pairs (c <= d) meet in
+    rows of their own (key k, d), so a hot index is spread over many tasks, and inside such a row a chunk
+    with itself only pairs an entry with those from its own position on: n(n+1)/2 pairs, not n * n.
+    """
+    dealt = F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks")
+    hot = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).select("k", dealt)
+    chunks = F.coalesce("chunks", F.lit(1))
+    placed = rows.join(hot, "k", "left").withColumn("chunks", chunks)
+    placed = placed.withColumn("c", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int"))
+    entry = F.struct(*[F.col(n) for n in rows.columns if n != "k"])
+    # dealt anew, as all rows of a hot index lie together after the join
+    cut = placed.repartition("k", "c").groupBy("k", "c").agg(F.first("chunks").alias("chunks"), F.collect_list(entry).alias("es"))
+    left = cut.select("k", "c", F.col("es").alias("ps"), F.explode(F.sequence("c", F.col("chunks") - 1)).alias("d"))
+    met = left.join(cut.select("k", F.col("c").alias("d"), F.col("es").alias("qs")), ["k", "d"])
+    each = met.select("c", "d", "qs", F.posexplode("ps").alias("at", "p"))
+    rest = F.when(F.col("c") == F.col("d"), F.slice("qs", F.col("at") + 1, F.size("qs"))).otherwise(F.col("qs"))
+    return each.select("p", F.explode(rest).alias("q"))
+
+
+def _half_products(rows: DataFrame, times, alpha: float, uplo: str, chunk: int) -> DataFrame:
+    """alpha times ``times`` of each unordered pair of entries of an inner index, in one triangle."""
+    flag = uplo.upper()
+    if flag not in ("L", "U"):
+        raise ValueError(f"bad triangle flag: {uplo}")
+    low, high = F.least("p.i", "q.i"), F.greatest("p.i", "q.i")
+    value = F.lit(float(alpha)) * times(F.col("p"), F.col("q"))
+    pairs = half_pairs(rows, chunk).select(
+        (high if flag == "L" else low).alias("i"), (low if flag == "L" else high).alias("j"), value.alias("v")
+    )
+    return pairs.filter("v is not null")
+
+
 def gram(df: DataFrame, arr: str, width: int, alpha: float = 1.0, uplo: str = "U") -> DataFrame:
     """One triangle of alpha*X'X where each row of X is an array of ``width`` numbers.
 
@@ -487,12 +548,13 @@ def trmm(
     uplo: str = "U",
     trans: str = "N",
     unit: int | None = None,
+    tile: int | None = None,
 ) -> DataFrame:
-    """alpha*op(A)*B or alpha*B*op(A) with A triangular."""
+    """alpha*op(A)*B or alpha*B*op(A) with A triangular; ``tile`` as for :func:`gemm`."""
     tri = tri_view(a, uplo, unit)
     if side.upper() == "L":
-        return gemm(tri, b, alpha=alpha, ta=trans)
-    return gemm(b, tri, alpha=alpha, tb=trans)
+        return gemm(tri, b, alpha=alpha, ta=trans, tile=tile)
+    return gemm(b, tri, alpha=alpha, tb=trans, tile=tile)
 
 
 def symv(
@@ -515,12 +577,13 @@ def symm(
     beta: float = 0.0,
     side: str = "L",
     uplo: str = "U",
+    tile: int | None = None,
 ) -> DataFrame:
-    """alpha*A*B + beta*C or alpha*B*A + beta*C with A symmetric."""
+    """alpha*A*B + beta*C or alpha*B*A + beta*C with A symmetric; ``tile`` as for :func:`gemm`."""
     full = sym_view(a, uplo)
     if side.upper() == "L":
-        return gemm(full, b, c, alpha, beta)
-    return gemm(b, full, c, alpha, beta)
+        return gemm(full, b, c, alpha, beta, tile=tile)
+    return gemm(b, full, c, alpha, beta, tile=tile)
 
 
 def gbmv(
