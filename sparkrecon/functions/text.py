@@ -28,6 +28,9 @@ SOURCE_RULES = [
 GENERIC_TAG = "numeric_semantics"
 MAX_TAGS = 3
 
+STEP = 64
+FLAT = r"^[^()]*+(?:\([^()]*+\)[^()]*+)*+$"
+
 
 def strip_ws(c: Column) -> Column:
     """Trim every kind of white space."""
@@ -61,6 +64,52 @@ def lines_of(text: Column) -> Column:
     return bound(_uniform(text), lambda t: F.when(t == "", none).otherwise(F.split(_chomped(t), "\n")))
 
 
+def split_outside(text: Column, mark: str = ",") -> Column:
+    """Parts of ``text`` between the ``mark`` characters that stand outside all parentheses.
+
+    Every part between two marks is closed or carried on by its own count of parentheses, so nesting may be of
+    any depth; a text that closes more than it opens, or opens more, is not cut while the count is off zero.
+    """
+
+    def extra(x: Column) -> Column:
+        return F.length(F.replace(x, F.lit(")"), F.lit(""))) - F.length(F.replace(x, F.lit("("), F.lit("")))
+
+    def state(depth: Column, at: Column, ends: Column) -> Column:
+        return F.struct(depth.alias("depth"), at.alias("at"), ends.alias("ends"))
+
+    def step(acc: Column, more: Column) -> Column:
+        depth, at = acc["depth"] + more, acc["at"] + 1
+        return state(depth, at, F.when(depth == 0, F.concat(acc["ends"], F.array(at))).otherwise(acc["ends"]))
+
+    def onward(acc: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, state(acc["depth"], acc["at"], none), step)
+        return bound(inner, lambda s: state(s["depth"], s["at"], F.concat(acc["ends"], s["ends"])))
+
+    def closed(pieces: Column) -> Column:
+        """How many pieces there are up to the end of each part."""
+        # in chunks, as an aggregate copies its state at every step
+        at = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / STEP).cast("int"))
+        chunks = F.transform(at, lambda c: F.transform(F.slice(pieces, c * STEP + 1, F.lit(STEP)), extra))
+        return F.aggregate(
+            chunks,
+            state(F.lit(0), F.lit(0), none),
+            onward,
+            lambda s: F.when(s["depth"] == 0, s["ends"]).otherwise(F.concat(s["ends"], F.array(s["at"]))),
+        )
+
+    def part(pieces: Column, ends: Column, end: Column, k: Column) -> Column:
+        begin = F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
+        return F.array_join(F.slice(pieces, begin + 1, end - begin), mark)
+
+    none = F.array().cast("array<int>")
+    nested = bound(
+        F.split(text, f"[{mark}]"),
+        lambda pieces: bound(closed(pieces), lambda ends: F.transform(ends, lambda e, k: part(pieces, ends, e, k))),
+    )
+    # without nesting a mark is inside when the next parenthesis closes
+    return F.when(text.rlike(FLAT), F.split(text, rf"[{mark}](?![^()]*+\))")).otherwise(nested)
+
+
 def truncate_ellipsis(c: Column, n: int) -> Column:
     """First ``n`` characters, followed by an ellipsis when something was cut."""
     return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.functions.text import strip_ws, lines_of, plain_text
+from sparkrecon.functions.text import lines_of, plain_text, split_outside, strip_ws
 from sparkrecon.plans.joins import lookup_join
 
 # Patterns of fixed-form source text. Column 6 marks a continuation.
@@ -181,7 +181,8 @@ def declarations(headed: DataFrame) -> DataFrame:
     """Type and dimensions of every argument: ``(doc, unit, arg_ord, arg, ftype, dims)``.
 
     A later declaration replaces an earlier one; an argument without any is a scalar of
-    type DOUBLE PRECISION. Declared items are shuffled by unit and argument, not whole lines.
+    type DOUBLE PRECISION. Items end at commas outside all parentheses; the dimensions of an item reach to its
+    first closing parenthesis. Declared items are shuffled by unit and argument, not whole lines.
     """
     code = F.upper(strip_ws(F.substring_index("line", "!", 1)))
     ftype = F.concat(F.regexp_extract("_code", DECLARATION, 1), F.regexp_extract("_code", DECLARATION, 2))
@@ -200,11 +201,11 @@ def declarations(headed: DataFrame) -> DataFrame:
             *UNIT,
             "pos",
             "ftype",
-            F.posexplode(
-                F.regexp_extract_all("_items", F.lit(r"((?:[^,()]|\([^()]*\))+)"), F.lit(1))
-            ).alias("item_ord", "_item"),
+            # never empty; the outer form keeps Spark from cutting every line twice to test for that
+            F.posexplode_outer(split_outside(F.col("_items"))).alias("item_ord", "_item"),
         )
         .withColumn("_item", strip_ws(F.col("_item")))
+        .filter("_item <> ''")
         .select(
             *UNIT,
             "pos",

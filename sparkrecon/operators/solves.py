@@ -136,7 +136,9 @@ def _solve(a: DataFrame, b: DataFrame, forward: bool, unit: bool, order: int, wi
     open_ = rows.select("bi", F.lit(0).alias("n")).unionByName(needs.select("bi", F.lit(1).alias("n")))
     level = 0
     seen = _settle(open_, level, folder)
-    while seen["settled"]:
+    if not seen["settled"]:
+        return a.select("i", "j", "v").limit(0)
+    while True:
         state = spark.read.schema("bi long, n int, ready boolean").parquet(f"{folder}/state/round={level}")
         ready = state.filter("ready").select("bi")
         # only folders that hold something of the ready tile rows are read
@@ -149,8 +151,9 @@ def _solve(a: DataFrame, b: DataFrame, forward: bool, unit: bool, order: int, wi
         pairs = marked.join(whole, "bi", "left")
         solved = pairs.mapInArrow(_solver(order, width, forward, unit), blocks.SCHEMA)
         solved.select("*", span("bi")).write.partitionBy("span").parquet(f"{folder}/values/round={level}")
+        if seen["settled"] == seen["open"]:
+            break
         values = spark.read.schema(f"{blocks.SCHEMA}, span long").parquet(f"{folder}/values/round={level}")
-
         below = beside.filter(near).select("bi", "bj", "at", "v")
         update = blocks.product(below, values, order, order, width, alpha=-1.0)
         _write_parts(update, f"{folder}/parts/round={level}")
@@ -158,8 +161,6 @@ def _solve(a: DataFrame, b: DataFrame, forward: bool, unit: bool, order: int, wi
         left = state.filter("not ready").select("bi", "n").unionByName(met.select("bi", F.lit(-1).alias("n")))
         level += 1
         seen = _settle(left, level, folder)
-    if not level:
-        return a.select("i", "j", "v").limit(0)
     found = spark.read.schema(f"{blocks.SCHEMA}, round int, span long").parquet(f"{folder}/values")
     return blocks.entries(found, order, width)
 
@@ -182,7 +183,11 @@ def _settle(counts: DataFrame, level: int, folder: str) -> dict:
     seen = Observation()
     which = F.when(F.col("ready"), F.col("bi"))
     added.observe(
-        seen, F.count(which).alias("settled"), F.min(which).alias("first"), F.max(which).alias("last")
+        seen,
+        F.count(F.lit(1)).alias("open"),
+        F.count(which).alias("settled"),
+        F.min(which).alias("first"),
+        F.max(which).alias("last"),
     ).write.parquet(f"{folder}/state/round={level}")
     return seen.get
 

@@ -121,6 +121,74 @@ def declarations(t):
     return found.withColumn("dims", F.array_join("dims", ","))
 
 
+# Sources from the documents: every line of a text becomes a declaration line whose items are its words, with dimensions
+# that hold commas and parentheses of their own, odd indents, notes and comments; the first words are the arguments.
+SHAPES = ["{w}", "{w}(n,*)", "{w}(max(1,n), *)", "{w} (2,n)", "{w}(f(g(1),h(2)),3)", "{w}((1)"]
+KINDS = ["INTEGER", "double  precision", "Real", "CHARACTER*1", "LOGICAL"]
+INDENTS = ["      ", "\t", "  \t "]
+
+
+def declared_texts(t):
+    def item(w, k):
+        shape = F.when(F.length(w) == 11, 5).otherwise((F.length(w) + k) % 5)
+        made = F.lit(SHAPES[5])
+        for n, form in enumerate(SHAPES[:5]):
+            made = F.when(shape == n, form).otherwise(made)
+        return F.replace(made, F.lit("{w}"), w)
+
+    def line(text, n):
+        names = F.regexp_extract_all(text, F.lit("[a-z]{2,}"), F.lit(0))
+        start = F.when(n % 7 == 6, "C").otherwise(F.element_at(F.array(*map(F.lit, INDENTS)), n % 3 + 1))
+        kind = F.element_at(F.array(*map(F.lit, KINDS)), n % 5 + 1)
+        note = F.when(n % 4 == 3, " ! note, (").otherwise("")
+        return F.concat(start, kind, F.lit(" "), F.array_join(F.transform(names, item), ", "), note)
+
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{2,}"), F.lit(0)))
+    head = F.concat(F.lit("      SUBROUTINE D("), F.array_join(F.slice(words, 1, 8), ","), F.lit(")\n"))
+    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return t.documents.select(F.col("doc_id").alias("doc"), F.concat(head, body).alias("text"))
+
+
+def _pick(index: str, values: list[str]) -> str:
+    quoted = ", ".join("chr(9)" if v == "\t" else "'  ' || chr(9) || ' '" if "\t" in v else f"'{v}'" for v in values)
+    return f"list_extract([{quoted}], ({index}) + 1)"
+
+
+@query(
+    "declarations_in_text",
+    rf"""WITH lines AS (SELECT doc_id, ln - 1 AS n, line FROM {DOC_LINES}),
+      written AS (
+        SELECT doc_id, n, CASE WHEN n % 7 = 6 THEN 'C' ELSE {_pick("n % 3", INDENTS)} END || {_pick("n % 5", KINDS)} || ' ' ||
+          array_to_string(list_transform(regexp_extract_all(line, '[a-z]{{2,}}'), lambda w, k:
+            replace({_pick("CASE WHEN len(w) = 11 THEN 5 ELSE (len(w) + k - 1) % 5 END", SHAPES)}, '{{w}}', w)), ', ') ||
+          CASE WHEN n % 4 = 3 THEN ' ! note, (' ELSE '' END AS line
+        FROM lines),
+      code AS (SELECT doc_id, n, upper(regexp_replace(string_split(line, '!')[1], '^\s+|\s+$', '', 'g')) AS c
+        FROM written WHERE line[1] <> 'C'),
+      typed AS (SELECT doc_id, n, regexp_replace(regexp_extract(c, '^(DOUBLE\s+PRECISION|REAL|INTEGER|LOGICAL|CHARACTER)', 1), '\s+', ' ') AS t,
+          regexp_replace(c, '^(DOUBLE\s+PRECISION|REAL|INTEGER|LOGICAL|CHARACTER\s*\*\s*1)\s*', '') AS s FROM code),
+      pieces AS (SELECT doc_id, n, t, unnest(p) AS piece, unnest(range(len(p))) AS k FROM (SELECT *, string_split(s, ',') AS p FROM typed) x),
+      depths AS (SELECT *, sum(len(replace(piece, ')', '')) - len(replace(piece, '(', ''))) OVER (PARTITION BY doc_id, n ORDER BY k) AS depth
+        FROM pieces),
+      groups AS (SELECT *, coalesce(sum((depth = 0)::INT) OVER (PARTITION BY doc_id, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS g FROM depths),
+      items AS (SELECT doc_id, n, t, g AS k, trim(string_agg(piece, ',' ORDER BY k)) AS item FROM groups GROUP BY doc_id, n, t, g),
+      parsed AS (SELECT doc_id, n, k, t, regexp_extract(item, '^(\w+)\s*\([^)]+\)', 1) AS a,
+          regexp_extract(item, '^\w+\s*\(([^)]+)\)', 1) AS d, regexp_extract(item, '^\S+') AS w FROM items WHERE item <> ''),
+      last AS (SELECT doc_id, CASE WHEN a <> '' THEN a ELSE w END AS arg, arg_max(t, n * 1000000 + k) AS t,
+          arg_max(CASE WHEN a <> '' THEN regexp_replace(d, '\s*,\s*', ',', 'g') ELSE '' END, n * 1000000 + k) AS d
+        FROM parsed GROUP BY 1, 2),
+      words AS (SELECT doc_id, upper(w) AS arg, min(p) AS p FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p
+          FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]{{2,}}') AS ws FROM documents) d) e GROUP BY 1, 2),
+      args AS (SELECT doc_id, arg, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS arg_ord FROM words)
+    SELECT a.doc_id AS doc, 0 AS unit, CAST(arg_ord AS INTEGER) AS arg_ord, a.arg, coalesce(t, 'DOUBLE PRECISION') AS ftype, coalesce(d, '') AS dims
+    FROM args a LEFT JOIN last USING (doc_id, arg) WHERE arg_ord < 8""",
+)
+def declarations_in_text(t):
+    found = C.declarations(C.unit_header(C.units(declared_texts(t))))
+    return found.withColumn("dims", F.array_join("dims", ","))
+
+
 @query("implicit_types", None)
 def implicit_types(t):
     return C.implicit_types(C.units(source_files(t)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkrecon.functions import text as X
 from sparkrecon.functions import timing as M
+from sparkrecon.functions.text import split_outside
 from sparkrecon.operators import chat, corpus, graph, logs, report, selection, triage
 from sparkrecon.plans.lineage import scratch_path
 from sparkrecon.sources import text as IO
@@ -279,6 +281,45 @@ def test_tab_indented_declarations(spark, rows):
     assert [(r["arg"], r["ftype"], r["dims"]) for r in got] == [("N", "INTEGER", []), ("X", "REAL", ["N"])]
 
 
+def _split_by_hand(text):
+    items, depth, now = [], 0, ""
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 0:
+            items.append(now)
+            now = ""
+        else:
+            now += c
+    return [*items, now]
+
+
+def test_commas_inside_parentheses_do_not_cut(spark):
+    rng = random.Random(8)
+    texts = ["", ",", "A", "X(MAX(1,N),*)", "A(1),B(2,(3,4)),C", "A),B,(C", "((A,B", "A)(,B)(,C"]
+    texts += ["".join(rng.choice("AB,,() ") for _ in range(rng.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", split_outside(F.col("t")).alias("s"))
+    for r in df.collect():
+        assert r["s"] == _split_by_hand(r["t"]), r["t"]
+
+
+def test_declarations_with_nested_dimensions(spark):
+    text = (
+        "      SUBROUTINE T(N, X, Y, Z, L, W)\n\tINTEGER N , X ( MAX(1,N) , * ),Y\n      REAL Z((2,3),A(4)), Y(N,\n"
+        "     $   2)\n      LOGICAL L(N),, W (2)\n      END\n"
+    )
+    got = corpus.declarations(corpus.unit_header(corpus.units(one(spark, text)))).orderBy("arg_ord").collect()
+    assert [(r["arg"], r["ftype"], r["dims"]) for r in got] == [
+        ("N", "INTEGER", []),
+        # dimensions reach to the first closing parenthesis
+        ("X", "INTEGER", ["MAX(1", "N"]),
+        # an item whose parentheses stay open on its line declares no argument
+        ("Y", "INTEGER", []),
+        ("Z", "REAL", ["(2", "3"]),
+        ("L", "LOGICAL", ["N"]),
+        ("W", "LOGICAL", ["2"]),
+    ]
+
+
 def test_a_bad_line_voids_the_file(spark, rows):
     files = spark.createDataFrame([("a", "1.5\n\n 2e3 \n"), ("b", "1\nT\n2"), ("c", "")], "k string, t string")
     assert rows(IO.parse_values(files, "k", "t")) == [("a", 0, 1.5), ("a", 1, 2000.0), ("b", None, None)]
