@@ -146,23 +146,112 @@ def uniform(seed: Column, arg: Column, pos: Column, low: float, high: float) ->
 def generate_dataset(specs: DataFrame, keys: list[str], chunk: int = GENERATE_CHUNK) -> DataFrame:
     """Input values for ``(keys, seed, arg_ord, kind, size)`` rows, one row per number.
 
-    ``kind`` is scalar or array. Long arrays are first cut into chunks of positions and the
-    chunks are spread over the cluster, so one large array is not generated by one task.
+    ``kind`` is scalar or array; another kind, or an array without a size, is an error. Long arrays are first cut into
+    chunks of positions and the chunks are spread over the cluster, so one large array is not generated by one task.
     The same seed always gives the same numbers.
     """
-    length = F.when(F.col("kind") == "scalar", F.lit(1)).otherwise(F.col("size")).cast("long")
+    kind, wrong = F.col("kind"), lambda text: F.raise_error(F.concat(F.lit(text), F.col("arg_ord"))).cast("long")
+    sized = F.when(F.col("size").isNull(), wrong("array without a size: argument ")).otherwise(F.col("size").cast("long"))
+    length = (
+        F.when(kind == "scalar", F.lit(1).cast("long"))
+        .when(kind == "array", sized)
+        .otherwise(wrong("unknown kind of argument "))
+    )
+    cells = _positions(specs.select(*keys, "seed", "arg_ord", "kind", length.alias("_len")), keys, chunk)
+    value = F.when(kind == "scalar", _uniform_scalar()).otherwise(_uniform_array())
+    return cells.select(*keys, "arg_ord", "pos", value.alias("v"))
+
+
+def _uniform_scalar() -> Column:
+    return uniform(F.col("seed"), F.col("arg_ord"), F.col("pos"), *SCALAR_RANGE)
+
+
+def _uniform_array() -> Column:
+    return uniform(F.col("seed"), F.col("arg_ord"), F.col("pos"), *ARRAY_RANGE)
+
+
+def _positions(sized: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """``pos`` from 0 up to ``_len``, dealt over the cluster in chunks of an argument."""
     last_chunk = F.floor((F.col("_len") - 1) / F.lit(chunk)).cast("long")
-    chunked = (
-        specs.select(*keys, "seed", "arg_ord", "kind", length.alias("_len"))
-        .filter(F.col("_len") > 0)
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
+    chunked = sized.filter(F.col("_len") > 0).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk))
     )
     spread = chunked.repartition(*keys, "arg_ord", "_chunk")
     first = F.col("_chunk") * chunk
     last = F.least(first + chunk, F.col("_len")) - 1
-    cells = spread.withColumn("pos", F.explode(F.sequence(first, last)))
-    value = F.when(
-        F.col("kind") == "scalar",
-        uniform(F.col("seed"), F.col("arg_ord"), F.col("pos"), *SCALAR_RANGE),
-    ).otherwise(uniform(F.col("seed"), F.col("arg_ord"), F.col("pos"), *ARRAY_RANGE))
-    return cells.select(*keys, "arg_ord", "pos", value.alias("v"))
+    return spread.withColumn("pos", F.explode(F.sequence(first, last)))
+
+
+# Declared types by kind of value, and the flag a character argument holds.
+REAL_TYPES, INTEGER_TYPE, CHARACTER_TYPE, LOGICAL_TYPE = ("DOUBLE PRECISION", "REAL"), "INTEGER", "CHARACTER", "LOGICAL"
+FLAG_VALUE = "N"
+
+
+def generate_inputs(
+    args: DataFrame,
+    keys: list[str],
+    star_fallback: int = DIM_FALLBACK,
+    chunk: int = GENERATE_CHUNK,
+) -> DataFrame:
+    """Values of every declared argument, as one typed table ``(keys, arg_ord, arg, kind, pos, dbl, int, chr, bool)``.
+
+    ``args`` has ``(keys, seed, arg_ord, arg, ftype, dims, assigned)``: declarations as ``declarations`` reads them
+    and the assigned sizes by upper-case name, and optionally ``floats``, a map of scalars that replace the drawn ones.
+
+    * a real scalar is drawn from [0.5, 2), the entries of a real array from [-1, 1); an array has the product of
+      its dimensions as entries, ``*`` and unknown names standing for ``star_fallback``;
+    * an integer scalar is its assigned size, or 4; a character scalar is 'N'; a logical scalar is false;
+    * other arrays get no value: one row of kind ``none``; a real array of no entries is one row without position;
+    * any other type is an error.
+
+    Every argument has at least one row. Long arrays are generated in chunks by many tasks.
+    """
+    ftype, array = F.upper("ftype"), F.size("dims") > 0
+    known = ftype.isin(*REAL_TYPES, INTEGER_TYPE, CHARACTER_TYPE, LOGICAL_TYPE)
+    unknown = F.raise_error(F.concat(F.lit("no values for type "), F.coalesce("ftype", F.lit("null")))).cast("string")
+    kind = (
+        F.when(~F.coalesce(known, F.lit(False)), unknown)
+        .when(ftype.isin(*REAL_TYPES), F.when(array, "reals").otherwise("real"))
+        .when(array, "none")
+        .when(ftype == INTEGER_TYPE, "integer")
+        .when(ftype == CHARACTER_TYPE, "character")
+        .otherwise("logical")
+    )
+    given = F.try_element_at("floats", F.upper("arg")) if "floats" in args.columns else F.lit(None).cast("double")
+    size = array_size(F.col("dims"), F.col("assigned"), F.lit(star_fallback))
+    typed = args.select(
+        *keys,
+        "seed",
+        "arg_ord",
+        "arg",
+        kind.alias("kind"),
+        F.when(array, size).otherwise(1).cast("long").alias("_len"),
+        F.coalesce(F.try_element_at("assigned", F.upper("arg")), F.lit(DIM_FALLBACK)).cast("int").alias("_size"),
+        given.cast("double").alias("_given"),
+    )
+    filled = (F.col("kind") == "reals") & (F.col("_len") > 0)
+    null = {"pos": "long", "dbl": "double", "int": "int", "chr": "string", "bool": "boolean"}
+    shape = [*keys, "arg_ord", "arg", "kind"]
+
+    def rows(df: DataFrame, **values: Column) -> DataFrame:
+        cells = [values.get(n, F.lit(None)).cast(t).alias(n) for n, t in null.items()]
+        return df.select(*shape, *cells)
+
+    kind_, placed = F.col("kind"), typed.filter(~filled).withColumn("pos", F.lit(0).cast("long"))
+    drawn = F.coalesce("_given", _uniform_scalar())
+    single = rows(
+        placed,
+        pos=F.when(~kind_.isin("none", "reals"), 0),
+        dbl=F.when(kind_ == "real", drawn),
+        int=F.when(kind_ == "integer", F.col("_size")),
+        chr=F.when(kind_ == "character", FLAG_VALUE),
+        bool=F.when(kind_ == "logical", False),
+    )
+    many = _positions(typed.filter(filled), keys, chunk)
+    return single.unionByName(rows(many, pos=F.col("pos"), dbl=_uniform_array()))
+
+
+def real_values(inputs: DataFrame, keys: list[str]) -> DataFrame:
+    """What a value file holds of :func:`generate_inputs`: ``(keys, arg_ord, pos, v)`` of the real arguments."""
+    reals = inputs.filter(F.col("kind").isin("real", "reals") & F.col("pos").isNotNull())
+    return reals.select(*keys, "arg_ord", "pos", F.col("dbl").alias("v"))

@@ -196,6 +196,64 @@ def generate_dataset(t):
     return S.generate_dataset(specs, ["c_custkey"], chunk=16)
 
 
+# Arguments of every customer: name, declared type, dimensions.
+INPUT_ARGS = [
+    ("TRANS", "CHARACTER", []),
+    ("N", "INTEGER", []),
+    ("ALPHA", "DOUBLE PRECISION", []),
+    ("A", "REAL", [" lda ", "*"]),
+    ("INCX", "INTEGER", []),
+    ("FLAG", "LOGICAL", []),
+    ("IDX", "INTEGER", ["N"]),
+    ("X", "DOUBLE PRECISION", ["N"]),
+    ("B", "REAL", ["2*N", "3"]),
+]
+
+
+@query(
+    "generate_inputs",
+    f"""WITH args AS (
+          SELECT c_custkey, c_nationkey AS n, unnest(range({len(INPUT_ARGS)})) AS arg_ord FROM customer),
+        sized AS (SELECT *, list_extract({_sql_list([a for a, _, _ in INPUT_ARGS])}, arg_ord + 1) AS arg,
+            list_extract(['character', 'integer', 'real', 'reals', 'integer', 'logical', 'none', 'reals', 'reals'], arg_ord + 1) AS kind,
+            CASE arg_ord WHEN 3 THEN (n + 1) * 5 WHEN 7 THEN n WHEN 8 THEN 15 ELSE 1 END AS size FROM args),
+        cells AS (SELECT *, unnest(CASE WHEN kind = 'reals' AND size = 0 THEN [NULL] ELSE range(size) END) AS pos FROM sized),
+        mixed AS (SELECT *, (c_custkey % {P} * {S.HASH_A} + arg_ord * {S.HASH_B} + 1) % {P} AS h FROM cells),
+        owned AS (SELECT *, h * (h % {S.HASH_FOLD} + 1) % {P} * {S.HASH_A} % {P} AS o FROM mixed),
+        placed AS (SELECT *, (o * (pos % {P} % {S.HASH_FOLD} + 1) + pos % {P} * {S.HASH_C} + o) % {P} AS q FROM owned),
+        drawn AS (SELECT *, (q * (q % {S.HASH_FOLD} + 1) % {P} * {S.HASH_A} % {P})::DOUBLE / {P}.0::DOUBLE AS u FROM placed)
+        SELECT c_custkey, CAST(arg_ord AS INTEGER) AS arg_ord, arg, kind, CASE kind WHEN 'none' THEN NULL ELSE pos END AS pos,
+          CASE WHEN kind = 'reals' THEN -1::DOUBLE + 2::DOUBLE * u
+               WHEN kind = 'real' THEN CASE WHEN c_custkey % 5 = 0 THEN 0::DOUBLE ELSE 0.5::DOUBLE + 1.5::DOUBLE * u END END AS dbl,
+          CASE arg WHEN 'N' THEN CAST(n AS INTEGER) WHEN 'INCX' THEN 4 END AS "int",
+          CASE kind WHEN 'character' THEN 'N' END AS chr, CASE kind WHEN 'logical' THEN false END AS bool FROM drawn""",
+)
+def generate_inputs(t):
+    """Sizes by nation; every fifth customer's scalar is set to zero by a scenario."""
+    declared = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(n).alias("arg_ord"),
+                    F.lit(arg).alias("arg"),
+                    F.lit(ftype).alias("ftype"),
+                    F.array(*map(F.lit, dims)).cast("array<string>").alias("dims"),
+                )
+                for n, (arg, ftype, dims) in enumerate(INPUT_ARGS)
+            ]
+        )
+    )
+    nation = F.col("c_nationkey").cast("int")
+    args = t.customer.select(
+        "c_custkey",
+        F.col("c_custkey").alias("seed"),
+        F.create_map(F.lit("N"), nation, F.lit("LDA"), nation + 1).alias("assigned"),
+        F.when(F.col("c_custkey") % 5 == 0, F.create_map(F.lit("ALPHA"), F.lit(0.0))).alias("floats"),
+        declared.alias("d"),
+    ).select("c_custkey", "seed", "assigned", "floats", "d.*")
+    return S.generate_inputs(args, ["c_custkey"], star_fallback=5, chunk=16)
+
+
 @query(
     "dims_label",
     "SELECT p_partkey, 'K=' || p_size || ', LDA=' || p_partkey || ', M=256' AS label FROM part",

@@ -244,6 +244,27 @@ def read_corpus(t):
     )
 
 
+@query(
+    "read_lines",
+    """SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, n) AS ln, line
+       FROM (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n
+             FROM documents) s""",
+)
+def read_lines(t):
+    """All texts of a language in one file, read back in splits with line numbers of the whole file."""
+    path = scratch_path(t.spark, "lines")
+    (
+        t.documents.select("lang", "doc_id", F.col("text").alias("value"))
+        .repartition("lang")
+        .sortWithinPartitions("lang", "doc_id")
+        .select("lang", "value")
+        .write.partitionBy("lang")
+        .text(path)
+    )
+    lines = IO.read_lines(t.spark, path, "*.txt")
+    return lines.select(F.regexp_extract("doc", "lang=([^/]+)/", 1).alias("lang"), "ln", "line")
+
+
 VALUES = """(SELECT CAST(l_linenumber AS VARCHAR) AS "case", row_number() OVER (PARTITION BY l_linenumber ORDER BY arg, pos) - 1 AS pos, v
     FROM (SELECT l_linenumber, 0 AS arg, l_orderkey AS pos, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 3
           UNION ALL SELECT l_linenumber, 1, l_orderkey, max(l_tax) FROM lineitem GROUP BY 1, 3) s)"""
@@ -271,7 +292,7 @@ def write_values(t):
     path = scratch_path(t.spark, "values")
     IO.write_values(case_values(t), path, ["case"])
     back = IO.read_values(t.spark, path, "*.txt")
-    return back.select(F.regexp_extract("file", "case=([^/]+)", 1).alias("case"), "pos", "v")
+    return back.select(F.regexp_extract("file", "case=([^/]+)", 1).alias("case"), F.col("pos").cast("int").alias("pos"), "v")
 
 
 @query("write_values_long", f'SELECT "case", CAST(pos AS INTEGER) AS pos, v FROM {VALUES}')
@@ -280,7 +301,7 @@ def write_values_long(t):
     path = scratch_path(t.spark, "values")
     IO.write_values(case_values(t), path, ["case"], lines_per_file=2_000)
     back = IO.read_values(t.spark, path, "*.txt")
-    return back.select(F.regexp_extract("file", "case=([^/]+)", 1).alias("case"), "pos", "v")
+    return back.select(F.regexp_extract("file", "case=([^/]+)", 1).alias("case"), F.col("pos").cast("int").alias("pos"), "v")
 
 
 @query(

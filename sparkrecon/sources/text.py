@@ -1,4 +1,4 @@
-"""Text sources and sinks: whole source files, value files, rendered reports."""
+"""Text sources and sinks: whole source files, numbered lines, value files, rendered reports."""
 
 from __future__ import annotations
 
@@ -19,33 +19,74 @@ def read_corpus(spark: SparkSession, path: str, glob: str | None = None) -> Data
     )
 
 
-def read_values(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``(file, pos, v)``: one number per line, blank lines skipped.
+def _split_lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """``(doc, block, line)``: lines of every file; ``block`` is where the split of the file began.
 
-    A line that is no number voids its whole file: the file then has a single row with null
-    position and value. The pieces of a case that :func:`write_values` cut are one file, named after
-    their folder: positions run on, and a bad line voids all of them.
+    Files are read in splits, so a file of any size is read by many tasks. Within a task the lines of a split
+    stand together and in order.
+    """
+    reader = spark.read.format("text").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    text = F.make_valid_utf8(F.col("value"))
+    # line ends that the text source does not know; a blank line is a line
+    lines = F.when(text == "", F.array(F.lit(""))).otherwise(lines_of(text))
+    return reader.load(path).select(
+        F.col("_metadata.file_path").alias("doc"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.explode(lines).alias("line"),
+    )
+
+
+def _numbered(rows: DataFrame, whole: Column, bad: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with their place in ``file``, and one row per file: ``(file, void)``.
+
+    ``rows`` come straight from the reader. A row's number in its split is a difference of increasing ids; splits, of
+    which there is one per some megabytes, add up what lies before them. No line is shuffled for its number.
     """
-    files = read_corpus(spark, path, glob).withColumn(
-        "file", F.regexp_replace("doc", r"/piece=[0-9]{6}-[0-9]{8}/[^/]*$", "")
+    marked = rows.withColumn("_id", F.monotonically_increasing_id())
+    splits = marked.groupBy("doc", "block").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n"), F.max(bad).alias("bad")
     )
-    rows = parse_values(files, "doc", "text", keep=["file"])
-    counts = rows.groupBy("file", "doc").agg(F.count("pos").alias("n"), F.max(F.col("pos").isNull()).alias("bad"))
-    before = Window.partitionBy("file").orderBy("doc")
-    places = counts.select(
-        "file",
+    splits = splits.withColumn("file", whole)
+    before = Window.partitionBy("file").orderBy("doc", "block").rowsBetween(Window.unboundedPreceding, -1)
+    places = splits.select(
         "doc",
-        F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"),
+        "block",
+        "file",
+        "_first",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"),
         F.max("bad").over(Window.partitionBy("file")).alias("void"),
-        F.row_number().over(before).alias("nth"),
     )
-    joined = rows.join(places, ["file", "doc"])
-    void = F.col("void")
-    return joined.filter(~void | ((F.col("nth") == 1) & (F.coalesce("pos", F.lit(0)) == 0))).select(
-        "file",
-        F.when(~void, F.col("pos") + F.col("first")).cast("int").alias("pos"),
-        F.when(~void, F.col("v")).alias("v"),
+    placed = marked.join(places, ["doc", "block"]).withColumn("pos", F.col("_before") + F.col("_id") - F.col("_first"))
+    return placed.drop("_id", "_first", "_before"), places.select("file", "void").distinct()
+
+
+def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``(doc, ln, line)``: lines of every file with their numbers from 1, without holding any file whole.
+
+    Files are cut into splits of ``spark.sql.files.maxPartitionBytes``; bytes that are not UTF-8 become U+FFFD.
+    """
+    placed, _ = _numbered(_split_lines(spark, path, glob), F.col("doc"), F.lit(False))
+    return placed.select("doc", (F.col("pos") + 1).alias("ln"), "line")
+
+
+def read_values(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``(file, pos, v)``: one number per line, blank lines skipped.
+
+    A line that is no number voids its whole file: the file then has a single row with null
+    position and value. The pieces of a case that :func:`write_values` cut are one file, named after
+    their folder: positions run on, and a bad line voids all of them. A file of any size is read in splits by many
+    tasks.
+    """
+    lines = _split_lines(spark, path, glob).select("doc", "block", strip_ws(F.col("line")).alias("line"))
+    values = lines.filter("line <> ''").select("doc", "block", F.col("line").try_cast("double").alias("v"))
+    whole = F.regexp_replace("doc", r"/piece=[0-9]{6}-[0-9]{8}/[^/]*$", "")
+    placed, files = _numbered(values, whole, F.col("v").isNull())
+    nothing = files.filter("void").select(
+        "file", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("double").alias("v")
     )
+    return placed.filter(~F.col("void")).select("file", "pos", "v").unionByName(nothing)
 
 
 def parse_values(files: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:

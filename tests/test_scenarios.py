@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkrecon.functions.checks import quick_return, validate_params
@@ -102,3 +103,60 @@ def test_parse_selection(spark):
     data = [("3", 3), (" 99 ", 37), ("0", 1), ("-4", 1), ("Dgemm, ,DDOT,", 2), ("", 0), ("3x", 1)]
     df = spark.createDataFrame(data, "raw string, n int")
     assert df.filter(F.size(parse_selection(F.col("raw"))) != F.col("n")).count() == 0
+
+
+def test_inputs_of_every_type(spark):
+    sizes = {"N": 3, "LDA": 2}
+    declared = [
+        ("TRANS", "CHARACTER", []), ("n", "INTEGER", []), ("K", "INTEGER", []), ("ALPHA", "REAL", []),
+        ("A", "DOUBLE PRECISION", ["LDA", "*"]), ("X", "REAL", ["N"]), ("E", "REAL", ["0"]), ("UP", "LOGICAL", []),
+        ("IDX", "INTEGER", ["N"]), ("C", "CHARACTER", ["N"]), ("BETA", "REAL", []),
+    ]
+    shape = "fn string, seed long, arg_ord int, arg string, ftype string, dims array<string>, assigned map<string,int>, floats map<string,double>"
+    rows = [("f", 9, n, *d, sizes, {"BETA": 0.25, "ZETA": 1.0}) for n, d in enumerate(declared)]
+    args = spark.createDataFrame(rows, shape)
+    got = S.generate_inputs(args, ["fn"], star_fallback=5, chunk=4).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["arg"], []).append(r)
+    # no argument is lost
+    assert {a for a, *_ in declared} == set(by)
+    assert [(by[a][0]["kind"], by[a][0]["int"]) for a in ("n", "K")] == [("integer", 3), ("integer", 4)]
+    assert (by["TRANS"][0]["chr"], by["UP"][0]["bool"], by["BETA"][0]["dbl"]) == ("N", False, 0.25)
+    assert 0.5 <= by["ALPHA"][0]["dbl"] < 2.0
+    assert sorted(r["pos"] for r in by["A"]) == list(range(10)) and all(-1 <= r["dbl"] < 1 for r in by["A"])
+    assert len(by["X"]) == 3 and len({r["dbl"] for r in by["X"] + by["A"]}) == 13
+    assert [(r["kind"], r["pos"], r["dbl"]) for r in by["E"]] == [("reals", None, None)]
+    assert [(r["kind"], r["pos"], r["int"], r["chr"]) for r in by["IDX"] + by["C"]] == [("none", None, None, None)] * 2
+    for r in got:
+        assert sum(r[c] is not None for c in ("dbl", "int", "chr", "bool")) == (r["pos"] is not None)
+
+    numbers = S.real_values(S.generate_inputs(args, ["fn"], 5), ["fn"]).orderBy("arg_ord", "pos").collect()
+    assert [r["arg_ord"] for r in numbers] == [3] + [4] * 10 + [5] * 3 + [10]
+    again = {(r["arg_ord"], r["pos"]): r["dbl"] for r in got}
+    assert all(again[r["arg_ord"], r["pos"]] == r["v"] for r in numbers)
+    for bad in ("COMPLEX", None):
+        with pytest.raises(Exception, match="no values for type"):
+            S.generate_inputs(args.withColumn("ftype", F.lit(bad).cast("string")), ["fn"]).collect()
+
+
+def test_real_arguments_go_to_value_files(spark):
+    from sparkrecon.plans.lineage import scratch_path
+    from sparkrecon.sources import text as IO
+
+    rows = [(f, 5, n, a, k, d, {"N": 4}) for f in "fg" for n, (a, k, d) in enumerate([("X", "REAL", ["N"]), ("N", "INTEGER", []), ("B", "REAL", [])])]
+    args = spark.createDataFrame(rows, "fn string, seed long, arg_ord int, arg string, ftype string, dims array<string>, assigned map<string,int>")
+    numbers = S.real_values(S.generate_inputs(args, ["fn"]), ["fn"])
+    path = scratch_path(spark, "inputs")
+    IO.write_values(numbers, path, ["fn"])
+    back = IO.read_values(spark, path, "*.txt").groupBy(F.regexp_extract("file", "fn=([^/]+)", 1).alias("fn"))
+    got = back.agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("r")).orderBy("fn").collect()
+    want = [[r["v"] for r in numbers.filter(F.col("fn") == f).orderBy("arg_ord", "pos").collect()] for f in "fg"]
+    assert [[c["v"] for c in r["r"]] for r in got] == want and len(want[0]) == 5
+
+
+@pytest.mark.parametrize("kind, size, said", [("matrix", 3, "unknown kind"), (None, 3, "unknown kind"), ("array", None, "without a size")])
+def test_specs_that_say_too_little(spark, kind, size, said):
+    specs = spark.createDataFrame([("f", 1, 0, kind, size)], "fn string, seed long, arg_ord int, kind string, size long")
+    with pytest.raises(Exception, match=said):
+        S.generate_dataset(specs, ["fn"]).collect()

@@ -260,6 +260,48 @@ def test_a_bad_line_voids_every_piece_of_its_case(spark):
     assert got == [("c1", -1, None), *[("c2", p, float(p)) for p in range(4)]]
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    rng = random.Random(6)
+    numbers = [round(rng.uniform(-9, 9), rng.randrange(12)) for _ in range(9_000)]
+    blanks = ["", "  ", "\t"]
+    lines = [x for n in numbers for x in [f" {n} ", *rng.sample(blanks, rng.choice([0, 0, 1]))]]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("1\r\n2\x0b3\r4\n")
+    (tmp_path / "c.txt").write_text("\n".join([*map(str, range(5_000)), "T", *map(str, range(5_000))]))
+    (tmp_path / "d.txt").write_text("")
+    back = IO.read_values(spark, str(tmp_path), "*.txt").withColumn("f", F.regexp_extract("file", "([a-z]).txt$", 1))
+    assert IO._split_lines(spark, str(tmp_path), "a.txt").rdd.getNumPartitions() > 8
+    got = {}
+    for r in back.collect():
+        got.setdefault(r["f"], {})[r["pos"]] = r["v"]
+    assert got["a"] == {n: float(v) for n, v in enumerate(numbers)}
+    assert got["b"] == {0: 1.0, 1: 2.0, 2: 3.0, 3: 4.0}
+    assert got["c"] == {None: None} and set(got) == {"a", "b", "c"}
+
+
+def test_line_numbers_run_through_the_splits(spark, tmp_path, small_splits):
+    rng = random.Random(7)
+    texts = {n: [" " * rng.randrange(3) + f"{n}{i}" * rng.randrange(4) for i in range(3_000)] for n in "xy"}
+    for n, lines in texts.items():
+        (tmp_path / f"{n}.f").write_text("\n".join(lines) + "\n")
+    got = {}
+    for r in IO.read_lines(spark, str(tmp_path), "*.f").collect():
+        got.setdefault(r["doc"][-3], {})[r["ln"]] = r["line"]
+    assert got == {n: dict(enumerate(lines, 1)) for n, lines in texts.items()}
+    (tmp_path / "z.g").write_bytes(b"ok \xff end\n\nlast")
+    rows = IO.read_lines(spark, str(tmp_path), "*.g").orderBy("ln").collect()
+    assert [(r["ln"], r["line"]) for r in rows] == [(1, "ok \ufffd end"), (2, ""), (3, "last")]
+
+
 def test_null_message_lists_lose_nothing(spark):
     row = [("f", None, ["bad"], "note")]
     df = spark.createDataFrame(row, "fn string, warnings array<string>, compiler_errors array<string>, error string")
