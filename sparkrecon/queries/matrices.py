@@ -122,11 +122,11 @@ SEGMENT = "(SELECT o_orderkey AS i, c_nationkey AS j, CAST(1 AS DOUBLE) AS v FRO
         FROM {SEGMENT} s JOIN {ORDER_PART} a ON s.i = a.i GROUP BY 1, 2""",
 )
 def gemm_sparse(t):
-    """Nation x order times order x part, with every busy order spread over a grid."""
+    """Nation x order times order x part; Spark chooses how to join and splits busy orders."""
     who = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("i"), F.col("c_nationkey").cast("long").alias("j"), F.lit(1.0).alias("v")
     )
-    return M.gemm(who, order_part(t), ta="T", hot_rows=8)
+    return M.gemm(who, order_part(t), ta="T")
 
 
 # Many small matrices at once: one case per line number, with its own factors and flags.

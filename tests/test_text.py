@@ -120,6 +120,54 @@ def test_levels_beyond_the_broadcast_limit(spark, monkeypatch):
     assert got == {n: n.bit_length() for n in range(40)}
 
 
+def _levels_by_hand(edges, nodes):
+    needs = {n: {d for s, d in edges if s == n and d != n and d in nodes} for n in nodes}
+    found = {}
+    while True:
+        ready = [n for n in nodes if n not in found and needs[n] <= set(found)]
+        if not ready:
+            return {n: found.get(n) for n in nodes}
+        found |= {n: 1 + max((found[d] for d in needs[n]), default=-1) for n in ready}
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_levels_of_random_graphs(spark, monkeypatch, broadcast):
+    """Chains, trees, nodes with several needs, cycles and ways into them."""
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(3)
+    edges = [(n, n - 1) for n in range(1, 40)]
+    edges += [(n, rng.randrange(n)) for n in range(40, 150)]
+    edges += [(n, rng.randrange(n)) for n in range(60, 150) if rng.random() < 0.3]
+    edges += [(200, 201), (201, 202), (202, 200), (203, 202), (204, 203), (204, 1), (205, 204), (300, 999)]
+    nodes = [*range(150), *range(200, 206), 300]
+    got = graph.topo_levels(
+        spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(n,) for n in nodes], "node int")
+    )
+    assert {r["node"]: r["level"] for r in got.collect()} == _levels_by_hand(edges, nodes)
+    assert got.count() == len(nodes)
+
+
+def test_levels_without_edges(spark):
+    edges = spark.createDataFrame([(1, 1), (2, 9)], "src int, dst int")
+    nodes = spark.createDataFrame([(1,), (2,), (2,)], "node int")
+    assert sorted(map(tuple, graph.topo_levels(edges, nodes).collect())) == [(1, 0), (2, 0)]
+    assert graph.topo_levels(edges.limit(0), nodes.limit(0)).collect() == []
+
+
+def test_a_tree_takes_few_jobs(spark, monkeypatch):
+    """17 levels: three rounds of jumps after the edges and the pointers, and no round of counts."""
+    jumps, settles = [], []
+    observe = graph.Observation
+    monkeypatch.setattr(graph, "Observation", lambda: jumps.append(1) or observe())
+    monkeypatch.setattr(graph, "_settled", lambda *a: settles.append(1))
+    edges = spark.range(1, 1 << 16).select(F.col("id").alias("src"), F.shiftright("id", 1).alias("dst"))
+    nodes = spark.range(1 << 16).withColumnRenamed("id", "node")
+    got = graph.topo_levels(edges, nodes)
+    # one observation with the pointers, one per round
+    assert len(jumps) == 4 and not settles
+    assert got.filter("level <> CASE node WHEN 0 THEN 0 ELSE length(bin(node)) END OR level IS NULL").count() == 0
+
+
 def test_adjacency(spark, rows):
     edges = spark.createDataFrame([("a", "c"), ("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
