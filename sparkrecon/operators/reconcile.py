@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrecon.plans.joins import lookup_join
+from sparkrecon.plans.lineage import checkpoint
 
 # Largest accepted absolute error, final and early check.
 TOLERANCE = 1e-10
@@ -166,7 +167,11 @@ def dual_run(
     cand_fn: Callable[[DataFrame], DataFrame],
     tol: float = TOLERANCE,
 ) -> DataFrame:
-    """Give one input to two implementations and return the verdict per function."""
+    """Give one input to two implementations and return the verdict per function.
+
+    The input is worked out once and stored below the shared folder; both implementations read what is stored.
+    """
+    df = checkpoint(df)
     return function_verdict(case_errors(align(ref_fn(df), cand_fn(df)), tol))
 
 

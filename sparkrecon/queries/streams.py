@@ -14,8 +14,8 @@ def finished(t, build, label: str, key: str):
     """Run ``build`` over a stream of events and return the rows it ended with."""
     stream = S.read_stream(t.spark, t.path("events"), t.events.schema)
     path = scratch_path(t.spark, label)
-    S.run_available(build(stream), path)
-    return S.current_rows(t.spark, path, key)
+    S.run_available(build(stream), path, key)
+    return S.current_rows(t.spark, path)
 
 
 @query(

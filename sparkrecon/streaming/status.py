@@ -26,29 +26,58 @@ def running_counts(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_available(result: DataFrame, path: str) -> None:
-    """Process what is there and keep the changed rows of each batch below ``path``.
+BUCKETS = 64
+BUCKET = "_bucket"
 
-    A batch writes its own folder and overwrites it when it is repeated, so a restart from
-    the checkpoint leaves every batch once.
-    """
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+def run_available(result: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Process what is there and keep the latest row per key below ``path``.
+
+    Rows lie in ``buckets`` folders by a hash of the key, and a batch rewrites only those it has keys of
+    (:func:`keep_changes`), so the stored table has one row per key however many batches there were. Choose
+    ``buckets`` so that a folder is some hundred megabytes, and leave it: a stored table keeps its number.
+    """
+    spark = result.sparkSession
+    shape = result.schema.add(BUCKET, T.IntegerType())
+    spark.createDataFrame([], shape).write.mode("append").partitionBy(BUCKET).parquet(f"{path}/rows")
 
     query = (
         result.writeStream.outputMode("update")
         .option("checkpointLocation", f"{path}/checkpoint")
-        .foreachBatch(keep)
+        .foreachBatch(lambda batch, _: keep_changes(batch, path, key, buckets))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
 
 
-def current_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The latest row per key of what :func:`run_available` has written."""
-    rows = spark.read.parquet(f"{path}/rows")
-    others = [c for c in rows.columns if c not in (key, "batch")]
-    last = F.max(F.struct("batch", *others))
-    return rows.groupBy(key).agg(last.alias("_r")).select(key, *[f"_r.{c}" for c in others])
+def keep_changes(batch: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Replace the stored rows of the keys of ``batch`` (one row per key).
+
+    The batch is written down first, so it is worked out once. The touched buckets are then written anew and swapped in
+    by Spark's own commit, which also removes what they held before. Rows are states, not
+    changes: a batch that is repeated after a failure, wholly or in part, leaves the same rows.
+    """
+    spark, shape = batch.sparkSession, batch.schema
+    batch.write.mode("overwrite").parquet(f"{path}/batch")
+    fresh = spark.read.schema(shape).parquet(f"{path}/batch")
+    fresh = fresh.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    before = spark.read.schema(fresh.schema).parquet(f"{path}/rows").filter(F.col(BUCKET).isin(touched))
+    changed = fresh.select(F.col(key).alias("_key"))
+    kept = before.join(changed, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    (
+        kept.unionByName(fresh)
+        .repartition(BUCKET)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(BUCKET)
+        .parquet(f"{path}/rows")
+    )
+
+
+def current_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row per key of what :func:`run_available` has kept."""
+    return spark.read.parquet(f"{path}/rows").drop(BUCKET)
