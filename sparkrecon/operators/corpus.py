@@ -182,23 +182,26 @@ def declarations(headed: DataFrame) -> DataFrame:
 
     A later declaration replaces an earlier one; an argument without any is a scalar of
     type DOUBLE PRECISION. Items end at commas outside all parentheses; the dimensions of an item reach to its
-    first closing parenthesis. Declared items are shuffled by unit and argument, not whole lines.
+    first closing parenthesis. Declared items of arguments are shuffled by unit and argument, not whole lines.
     """
     code = F.upper(strip_ws(F.substring_index("line", "!", 1)))
     ftype = F.concat(F.regexp_extract("_code", DECLARATION, 1), F.regexp_extract("_code", DECLARATION, 2))
+    upper_args = F.transform("args", lambda a: F.upper(a))
     declared = (
-        unit_lines(headed)
+        headed.select(*UNIT, upper_args.alias("_args"), F.posexplode(lines_of(F.col("source"))).alias("pos", "line"))
         .filter(~is_comment(F.col("line")))
-        .select(*UNIT, "pos", code.alias("_code"))
+        .select(*UNIT, "_args", "pos", code.alias("_code"))
         .filter(F.col("_code").rlike(DECLARATION))
         .select(
             *UNIT,
+            "_args",
             "pos",
             F.regexp_replace(ftype, r"\s+", " ").alias("ftype"),
             F.regexp_extract("_code", DECLARATION, 3).alias("_items"),
         )
         .select(
             *UNIT,
+            "_args",
             "pos",
             "ftype",
             # never empty; the outer form keeps Spark from cutting every line twice to test for that
@@ -208,6 +211,7 @@ def declarations(headed: DataFrame) -> DataFrame:
         .filter("_item <> ''")
         .select(
             *UNIT,
+            "_args",
             "pos",
             "item_ord",
             "ftype",
@@ -217,6 +221,7 @@ def declarations(headed: DataFrame) -> DataFrame:
         )
         .select(
             *UNIT,
+            "_args",
             F.when(F.col("_array") != "", F.col("_array")).otherwise(F.col("_scalar")).alias("arg"),
             F.struct(
                 F.col("pos"),
@@ -227,9 +232,12 @@ def declarations(headed: DataFrame) -> DataFrame:
                 .alias("dims"),
             ).alias("_decl"),
         )
+        # only arguments are shuffled, however much a unit declares
+        .filter(F.array_contains("_args", F.col("arg")))
+        .drop("_args")
     )
     last = declared.groupBy(*UNIT, "arg").agg(F.max("_decl").alias("_decl"))
-    wanted = headed.select(*UNIT, F.posexplode(F.transform("args", lambda a: F.upper(a))).alias("arg_ord", "arg"))
+    wanted = headed.select(*UNIT, F.posexplode(upper_args).alias("arg_ord", "arg"))
     return wanted.join(last, [*UNIT, "arg"], "left").select(
         *UNIT,
         "arg_ord",
