@@ -42,7 +42,8 @@ def _numbered(rows: DataFrame, whole: Column, bad: Column) -> tuple[DataFrame, D
     """Rows with their place in ``file``, and one row per file: ``(file, void)``.
 
     ``rows`` come straight from the reader. A row's number in its split is a difference of increasing ids; splits, of
-    which there is one per some megabytes, add up what lies before them. No line is shuffled for its number.
+    which there is one per some megabytes, add up what lies before them. No group of lines is gathered or sorted: lines
+    only meet the row of their split, by whichever join Spark finds right for the number of splits.
     """
     marked = rows.withColumn("_id", F.monotonically_increasing_id())
     splits = marked.groupBy("doc", "block").agg(
