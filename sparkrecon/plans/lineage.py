@@ -31,6 +31,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more; only folders below the shared one."""
+    root = shared_dir(spark).rstrip("/") + "/"
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        if not path.startswith(root):
+            raise ValueError(f"not a scratch table: {path}")
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage and cut its lineage."""
     spark = df.sparkSession
