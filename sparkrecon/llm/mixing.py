@@ -4,8 +4,9 @@ Every source has a target in words. A document of it is taken ``target / source
 the whole part always, the rest by a draw. The draw is the cube method: inclusion probabilities move
 through the null space of the balancing constraints (documents and words of the source), at
 least one document settling per move, until at most two are open. It runs in blocks of about ``BLOCK``
-documents of one source; what a block leaves open moves on to blocks of the next level, and only
-the last two documents of a source are settled by the landing draw, words before documents.
+documents of one source; what a block leaves open, its smallest documents, moves on to blocks of the next level,
+and only the last two documents of a source are settled by the landing draw, words before documents. Documents over
+``OUTLIER`` times the mean of their source are drawn before the flight, which balances them.
 
 Draws come from a generator seeded by source and block over rows sorted by id, so reruns and
 recomputed tasks agree. Null texts have size 0, null sources form one source that comes last, repeated
@@ -29,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3.0
 BLOCK = 1_000
 SLOTS = 16
+OUTLIER = 10
 NEAR = 1e-9
 
 
@@ -98,23 +100,34 @@ def with_target(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def flight(sizes: list[float], chance: list[float], draw: random.Random) -> list[float]:
     """Move probabilities until at most two lie strictly between 0 and 1.
 
-    Three open documents always have a direction that keeps their sum and their words.
+    The largest open document leads each move and all other open ones make up for it, so large documents settle
+    while many small ones can balance them, and the two left over are the smallest.
     """
-    p = list(chance)
-    trio: list[int] = []
-    for i in range(len(p)):
-        if NEAR < p[i] < 1 - NEAR:
-            trio.append(i)
-        else:
-            p[i] = float(round(p[i]))
-        if len(trio) == 3:
-            a, b, c = trio
-            u = [sizes[c] - sizes[b], sizes[a] - sizes[c], sizes[b] - sizes[a]]
-            if not any(u):
-                u = [1.0, -1.0, 0.0]
-            _move(p, trio, u, draw)
-            trio = [k for k in trio if NEAR < p[k] < 1 - NEAR]
-    return p
+    s, p = np.array(sizes, dtype=np.float64), np.array(chance, dtype=np.float64)
+    settled = (p <= NEAR) | (p >= 1 - NEAR)
+    p[settled] = np.round(p[settled])
+    at = np.argsort(-s, kind="stable")
+    at = at[~settled[at]]
+    while len(at) > 2:
+        now = p[at]
+        u = np.append(1.0, _balance(s[at[0]], s[at[1:]], np.minimum(now[1:], 1 - now[1:])))
+        p[at] = now = _moved(now, u, draw)
+        at = at[(now > NEAR) & (now < 1 - NEAR)]
+    return p.tolist()
+
+
+def _balance(lead: float, sizes: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """What the others move per unit of the lead: least change by ``room`` that keeps documents and words.
+
+    Others of one size can keep only the words, others without words only the documents.
+    """
+    a0, a1, a2 = room.sum(), room @ sizes, room @ (sizes * sizes)
+    det = a0 * a2 - a1 * a1
+    if det > 1e-9 * a0 * a2:
+        return -room * ((a2 - a1 * lead) + (a0 * lead - a1) * sizes) / det
+    if a1 > 0:
+        return -room * (lead / a1)
+    return -room / a0
 
 
 def landing(sizes: list[float], p: list[float], draw: random.Random) -> list[float]:
@@ -124,25 +137,27 @@ def landing(sizes: list[float], p: list[float], draw: random.Random) -> list[flo
     while len(open_) > 1:
         a, b = open_[:2]
         u = [sizes[b], -sizes[a]] if sizes[a] or sizes[b] else [1.0, -1.0]
-        _move(p, [a, b], u, draw)
+        p[a], p[b] = _moved(np.array([p[a], p[b]]), np.array(u, dtype=np.float64), draw).tolist()
         open_ = [i for i in open_ if NEAR < p[i] < 1 - NEAR]
     for i in open_:
         p[i] = 1.0 if draw.random() < p[i] else 0.0
     return [float(round(x)) for x in p]
 
 
-def _move(p: list[float], at: list[int], u: list[float], draw: random.Random) -> None:
-    ahead = min((1 - p[i]) / d if d > 0 else -p[i] / d for i, d in zip(at, u) if d)
-    back = min(p[i] / d if d > 0 else (p[i] - 1) / d for i, d in zip(at, u) if d)
-    step = ahead if draw.random() * (ahead + back) < back else -back
-    for i, d in zip(at, u):
-        x = p[i] + step * d
-        p[i] = 0.0 if x < NEAR else 1.0 if x > 1 - NEAR else x
+def _moved(p: np.ndarray, u: np.ndarray, draw: random.Random) -> np.ndarray:
+    """One step along ``u`` or against it, as far as a probability reaches 0 or 1, fair on average."""
+    up, down = u > 0, u < 0
+    room = np.concatenate([(1 - p[up]) / u[up], -p[down] / u[down]]).min()
+    back = np.concatenate([p[up] / u[up], (p[down] - 1) / u[down]]).min()
+    step = room if draw.random() * (room + back) < back else -back
+    p = p + step * u
+    p[p < NEAR] = 0.0
+    p[p > 1 - NEAR] = 1.0
+    return p
 
 
 def _fly(last: bool):
     def run(keys, table):
-        # large documents settle first, so what stays open, and the landing, is small
         table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("p", "ascending")])
         source, block = (k.as_py() for k in keys)
         seed = zlib.crc32(f"{source is None}:{source}:{block}:{last}".encode())
@@ -157,6 +172,37 @@ def _fly(last: bool):
     return run
 
 
+def _outlier() -> Column:
+    return F.col("size") * F.col("n") > OUTLIER * F.col("source_size")
+
+
+def _draw_rate() -> Column:
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+
+
+def _drawn() -> Column:
+    """Copies of an outlier: its source's rate rounded up or down by a draw from its id and size."""
+    unit = F.pmod(F.xxhash64("doc_id", "size", F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
+    return F.floor(_draw_rate() + unit)
+
+
+def rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` with ``rate``: copies on average of a document that is no outlier.
+
+    Outliers, over ``OUTLIER`` times the mean size of their source, are drawn first, each by itself; no block of small
+    documents could make up for them. The others of the source share what the draws leave of the target.
+    """
+    big = with_target(sized, targets).filter(_outlier())
+    sums = big.groupBy(F.col("source").alias("_source")).agg(
+        F.sum("size").alias("big"), F.sum(_drawn() * F.col("size")).alias("big_taken")
+    )
+    joined = targets.join(sums, F.col("source").eqNullSafe(F.col("_source")), "left")
+    small = F.col("source_size") - F.coalesce("big", F.lit(0))
+    left = (F.col("target") - F.coalesce("big_taken", F.lit(0))) / small
+    rate = F.when(small > 0, F.least(F.greatest(left, F.lit(0.0)), F.lit(CAP))).otherwise(_draw_rate())
+    return joined.withColumn("rate", rate).drop("_source", "big", "big_taken")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (words) per row of ``docs``."""
     spark = docs.sparkSession
@@ -165,12 +211,11 @@ def mix(docs: DataFrame) -> DataFrame:
     sized = spark.read.parquet(path)
     targets = checkpoint(source_targets(sized))
     most = targets.agg(F.max("n")).first()[0] or 0
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.ceil(F.col("n") / BLOCK)
     state = (
-        with_target(sized, targets)
-        .withColumn("whole", F.floor(rate + NEAR).cast("long"))
-        .withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
+        with_target(sized, checkpoint(rates(sized, targets)))
+        .withColumn("whole", F.when(_outlier(), _drawn()).otherwise(F.floor(F.col("rate") + NEAR)).cast("long"))
+        .withColumn("p", F.when(_outlier(), 0.0).otherwise(F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))))
         .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), blocks))
         .select("doc_id", "source", "size", "source_size", "target", "whole", "p", "block")
     )
@@ -198,29 +243,26 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
-def _nth(order: list[Column]) -> Column:
-    """Number of a row among those with its id, source and size."""
-    return F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(*order))
-
-
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (none, once or more).
 
-    Rows meet their number of copies by id, source, size and, among rows that agree in these, by number.
+    Rows of one id, source and size meet their numbers of copies in the order of their texts. Texts cross the network
+    once: the numbering follows the partitioning of the join. Columns of any name and type pass unchanged.
     """
-    names = docs.columns
-    taken = mix(docs).select("doc_id", "source", F.col("size").alias("__size"), "copies")
-    taken = taken.withColumn("__k", _nth([F.col("copies")])).select(
-        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__size").alias("__z"), "__k", F.col("copies").alias("__copies")
+    key = F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"))
+    least = F.min("copies")
+    # copies of one source and size differ by one at most
+    taken = mix(docs).groupBy(key.alias("key")).agg(
+        least.alias("least"), (F.sum("copies") - least * F.count(F.lit(1))).alias("more")
     )
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    keyed = docs.withColumn("__size", F.coalesce(words, F.lit(0)).cast("long"))
-    keyed = keyed.withColumn("__nth", _nth([F.col("text")]))
-    on = (
-        F.col("doc_id").eqNullSafe(F.col("__d"))
-        & F.col("source").eqNullSafe(F.col("__s"))
-        & (F.col("__size") == F.col("__z"))
-        & (F.col("__nth") == F.col("__k"))
+    own = F.struct(
+        F.col("doc_id").cast("long").alias("d"),
+        F.col("source").cast("string").alias("s"),
+        F.coalesce(words, F.lit(0)).cast("long").alias("z"),
     )
-    joined = keyed.join(taken.filter("__copies > 0"), on)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    rows = docs.select(own.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(taken.hint("merge"), "key")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("row.text"))
+    times = joined.select("row", (F.col("least") + (nth <= F.col("more")).cast("long")).alias("times")).filter("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from sparkrecon.llm.words import column
 from sparkrecon.plans.lineage import scratch_path
@@ -301,22 +302,24 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets.
 
-    A null text stays null; a column ``n_chars`` is set to the new length.
+    A null text stays null; a numeric column ``n_chars`` is set to the new length, one of another type stays. Columns
+    of any other name and type pass unchanged, texts of any length are redacted whole, an empty table stays empty.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "pii")
     candidate_table(docs.select(F.monotonically_increasing_id().alias("doc_id"), text)).write.parquet(path)
     accepted = accepted_patterns(spark.read.parquet(path))
     schema = docs.schema
+    counted = any(f.name == "n_chars" and isinstance(f.dataType, NumericType) for f in schema.fields)
 
     def run(batches):
         for batch in batches:
             texts = column(batch, text).to_pylist()
             out = [t if t is None else redacted(t, accepted) for t in texts]
-            arrays = {
-                text: pa.array(out, column(batch, text).type),
-                "n_chars": pa.array([None if t is None else len(t) for t in out], pa.int64()),
-            }
+            arrays = {text: pa.array(out, column(batch, text).type)}
+            if counted:
+                lengths = pa.array([None if t is None else len(t) for t in out], pa.int64())
+                arrays["n_chars"] = lengths.cast(column(batch, "n_chars").type, safe=False)
             yield pa.RecordBatch.from_arrays(
                 [arrays.get(f.name, column(batch, f.name)) for f in schema.fields], [f.name for f in schema.fields]
             )

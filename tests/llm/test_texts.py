@@ -307,6 +307,53 @@ def test_cube_keeps_the_constraints():
     assert set(mixing.landing(sizes, p, random.Random(2))) <= {0.0, 1.0}
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_a_large_document_settles_before_small_ones(seed):
+    rng = random.Random(seed)
+    sizes = [20_000] + [rng.randint(50, 450) for _ in range(600)]
+    p = mixing.flight(sizes, [0.35] * 601, random.Random(seed))
+    end = mixing.landing(sizes, p, random.Random(seed))
+    assert abs(sum(s * x for s, x in zip(sizes, end)) - 0.35 * sum(sizes)) < 250
+
+
+def test_flight_is_fair():
+    sizes = [900, 40, 40, 10, 300, 5, 0, 70]
+    took = [mixing.flight(sizes, [0.4] * 8, random.Random(seed)) for seed in range(4000)]
+    for i in range(8):
+        assert abs(sum(p[i] for p in took) / 4000 - 0.4) < 0.04
+
+
+def test_mix_with_documents_far_above_the_mean(spark):
+    rows = [(i, "w " * (20 + i % 30), "abc"[i % 3]) for i in range(900)]
+    rows += [(1000 + i, "w " * 5000, "abc"[i % 3]) for i in range(6)]
+    got = mixing.mix(brute.frame(spark, rows)).collect()
+    for source in "abc":
+        rs = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) < 50, source
+    assert all(r["taken"] <= 3 * r["size"] for r in got)
+
+
+def test_mixed_documents_pass_any_column(spark):
+    docs = brute.frame(spark, [(i, "w " * (i + 1), "a") for i in range(30)] + [(3, "w w w w", "a")] * 5)
+    for name in ("__k", "__size", "key", "row", "times", "a.b"):
+        docs = docs.withColumn(name, F.lit("own"))
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.col("source")))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.schema["m"].dataType == docs.schema["m"].dataType
+    rows = mixed.collect()
+    assert len(rows) == mixing.mix(docs).agg(F.sum("copies")).first()[0]
+    assert all(r["__k"] == r["__size"] == "own" for r in rows)
+
+
+def test_redact_keeps_the_type_of_n_chars(spark):
+    docs = brute.frame(spark, [(1, "write to me@example.org now", "s"), (2, None, "s")])
+    want = len(pii.redact(docs).filter("doc_id = 1").first()["text"])
+    for kind in ("int", "double", "bigint"):
+        got = pii.redact(docs.withColumn("n_chars", F.col("n_chars").cast(kind)))
+        assert dict(got.dtypes)["n_chars"] == kind and got.filter("doc_id = 1").first()["n_chars"] == want
+    assert pii.redact(docs.withColumn("n_chars", F.lit("own"))).first()["n_chars"] == "own"
+
+
 def test_mix_meets_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 20)  # several levels
     rng = random.Random(10)
