@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.plans.lineage import scratch_path
+from sparkrecon.plans.lineage import drop_scratch, scratch_path
 
 ROWS_PER_TASK = 250_000
 
@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     The component is its least node. Loops and nulls are ignored.
     """
-    now = _stored(
+    spark = edges.sparkSession
+    now, path = _stored(
         edges.filter("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
@@ -33,11 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _stored(large.filter("a <> b").distinct(), tasks)
+        large, wide = _stored(large.filter("a <> b").distinct(), tasks)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = least.select("a", F.col("m").alias("b")).unionByName(moved)
-        now = _stored(small.distinct(), tasks)
+        before, (now, path) = path, _stored(small.distinct(), tasks)
+        drop_scratch(spark, before, wide)
         last, mark = mark, _fingerprint(now)
         if mark == last:
             break
@@ -46,11 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(centres)
 
 
-def _stored(df: DataFrame, tasks: int | None = None) -> DataFrame:
+def _stored(df: DataFrame, tasks: int | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, "stars")
     (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkrecon.llm.components import components
 from sparkrecon.llm.words import Texts, chunks, column, mix, ngrams, texts_of
-from sparkrecon.plans.lineage import scratch_path
+from sparkrecon.plans.lineage import drop_scratch, scratch_path
 
 N = 5
 LOAD = 16
@@ -346,18 +346,20 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 def hub_groups(heads: DataFrame) -> DataFrame:
     """Distinct hub, doc pairs: doc shares a prefix shingle with hub, the least id that has it."""
     rows = heads.select(F.explode("head").alias("key"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"))
-    shared = _stored(shared_keys(rows).drop("hub"), "shared")
+    path = scratch_path(heads.sparkSession, "shared")
+    shared = _stored(shared_keys(rows).drop("hub"), path)
     # the smallest partner has ceil(3n/4) shingles; which has to share that much
     partner = F.floor((3 * F.col("n") + 3) / 4)
     enough = F.col("c") >= 1 + F.floor(partner / EXTRA)
     able = shared.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("c")).filter(enough)
     left = shared.join(able.select("doc").distinct(), "doc", "left_semi").select("key", "doc")
-    return shared_keys(left).select("hub", "doc").distinct()
+    groups = _stored(shared_keys(left).select("hub", "doc").distinct(), scratch_path(heads.sparkSession, "hubs"))
+    drop_scratch(heads.sparkSession, path)
+    return groups
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
+def _stored(df: DataFrame, path: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
-    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -389,7 +391,8 @@ def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         )
 
     seated = seats.hint("merge").join(sets, "doc").select("hub", "at", "doc", "blocks", "keys")
-    found = _stored(seated.groupBy("hub", "at").applyInArrow(first, "hub long, a long, b long"), "links")
+    path = scratch_path(sets.sparkSession, "links")
+    found = _stored(seated.groupBy("hub", "at").applyInArrow(first, "hub long, a long, b long"), path)
     links = found.filter("hub is null").select("a", "b")
     strays = found.filter("hub is not null").select("hub", F.col("a").alias("doc"))
     if strays.isEmpty():
@@ -425,12 +428,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs``."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(order_classes(docs, counter_bits(docs)))
-    made = _stored(document_sets(docs, classes), "sets")
+    paths = {label: scratch_path(spark, label) for label in ("sets", "digests", "classes", "members", "seated")}
+    made = _stored(document_sets(docs, classes), paths["sets"])
     known = made.filter("doc_id is not null and n > 0")
     reps = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = _stored(reps, "classes")
+    reps = _stored(reps, paths["classes"])
     heads = known.join(reps.select("h1", "h2", "n", F.col("rep").alias("doc_id")), ["h1", "h2", "n", "doc_id"], "left_semi")
-    groups = _stored(hub_groups(heads), "hubs")
+    groups = hub_groups(heads)
+    # the prefixes are most of this table and have served
+    made = _stored(made.drop("head"), paths["digests"])
+    known = made.filter("doc_id is not null and n > 0")
+    drop_scratch(spark, paths["sets"])
 
     def full(batches):
         table = classes.value
@@ -443,8 +451,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = groups.select(F.col("doc").alias("doc_id")).distinct()
     # merged at every size: a list of members grows with the table and is not to be broadcast
     texts = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id", "left_semi")
-    sets = _stored(texts.mapInArrow(full, "doc long, keys binary"), "members")
-    links = group_links(groups, sets)
+    sets = _stored(texts.mapInArrow(full, "doc long, keys binary"), paths["members"])
+    links = _stored(group_links(groups, sets), paths["seated"])
+    drop_scratch(spark, paths["members"])
     # an id with several texts joins their classes
     several = known.join(reps, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     edges = links.unionByName(several.filter("a < b").select("a", "b"))
@@ -459,13 +468,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component (one row per id), and rows without an id.
+    """One row of each component of linked rows, and all rows without an id.
 
-    Of several rows of that id the one with the least text digest stays, of equal texts the least row.
+    Rows are compared, not ids: of several rows of one id only those go that link with a row that stays. The row with
+    the least id stays, of those the least by hash; equal rows are one. A row is named by 64 bits over its id and
+    text. Columns of any name and type pass unchanged; null and empty texts link with nothing.
     """
-    kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    row = F.struct(
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.struct(*docs.columns).alias("row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    named = docs.filter("doc_id is not null").select(node.alias("node"), F.col("doc_id").alias("id"))
+    found = jaccard_components(docs.select(node.alias("doc_id"), "text"))
+    found = found.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "component_id").distinct()
+    first = found.join(named.distinct(), "node").groupBy("component_id").agg(F.min(F.struct("id", "node")).alias("first"))
+    kept = first.select(F.col("first.node").alias("node"))
+    # maps have no order or hash of their own
+    plain = [c.cast("string") if "map<" in t else c for c, (_, t) in zip(columns, docs.dtypes)]
+    rows = docs.filter("doc_id is not null").select(
+        node.alias("node"), F.xxhash64(*plain).alias("order"), F.struct(*columns).alias("row")
     )
-    single = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("least"))
-    return single.select("least.row.*").unionByName(docs.filter("doc_id is null"))
+    single = rows.join(kept.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min_by("row", "order").alias("row"))
+    return single.select("row.*").unionByName(docs.filter("doc_id is null"))

@@ -46,21 +46,37 @@ def test_one_of_each_group_stays(spark):
     rows = copies(2, 60)
     kept = ngram_join.one_of_each(brute.frame(spark, rows))
     assert kept.columns == brute.frame(spark, rows).columns
-    want = {c for d, _, c in brute.jaccard_components(rows) if d is not None}
+    # rows are the nodes: equal ones are one, and rows of one id with texts of their own all stay
+    single = sorted({(r[0], r[1] or "") for r in rows if r[0] is not None})
+    named = [(i, text) for i, (_, text) in enumerate(single)]
+    want = [single[c][0] for c in {c for _, _, c in brute.jaccard_components(named)}]
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(want)
     assert kept.filter("doc_id is null").count() == 1
 
 
-def test_the_same_row_of_an_id_stays_in_any_order(spark):
+def test_rows_of_one_id_go_only_when_they_link(spark):
     rows = [(i, f"{i} {j} " + " ".join(f"w{i}x{j}x{k}" for k in range(20)), f"s{j}") for i in range(10) for j in range(4)]
-    rows += [(20, "a text in two sources", "t"), (20, "a text in two sources", "s")]
-    want = [
-        min((r for r in rows if r[0] == i), key=lambda r: (hashlib.sha256(r[1].encode()).hexdigest(), r[2]))
-        for i in [*range(10), 20]
-    ]
+    long = " ".join(f"v{k}" for k in range(60))
+    rows += [(20, "a text in two sources", "t"), (20, "a text in two sources", "s"), (21, None, "t"), (21, "", "t")]
+    rows += [(22, long, "t"), (22, long + " end", "t"), (23, long, "t"), (23, "an own text of the id", "t")]
+    want = rows[:40] + [(21, None, "t"), (21, "", "t"), (23, "an own text of the id", "t")]
     for ordered in (rows, rows[::-1]):
-        kept = ngram_join.one_of_each(brute.frame(spark, ordered).coalesce(1))
-        same(kept.select("doc_id", "text", "source").collect(), want)
+        kept = ngram_join.one_of_each(brute.frame(spark, ordered).coalesce(1)).select("doc_id", "text", "source").collect()
+        linked = [tuple(r) for r in kept if r["doc_id"] in (20, 22)]
+        same([r for r in kept if r["doc_id"] not in (20, 22)], want)
+        assert sorted(r[0] for r in linked) == [20, 22]
+
+
+def test_one_of_each_passes_any_column(spark):
+    from pyspark.sql import functions as F
+
+    docs = brute.frame(spark, [(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e f", "t")])
+    for name in ("node", "row", "order", "id", "first", "a.b"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.col("source")))
+    kept = ngram_join.one_of_each(docs)
+    assert kept.schema.names == docs.schema.names
+    assert sorted((r["doc_id"], r["m"]["k"], r["node"]) for r in kept.collect()) == [(1, "s", "clash"), (2, "t", "clash")]
 
 
 def test_trie_join_equals_all_pairs():
