@@ -1,8 +1,8 @@
 """Every operator run over the provided tables, each with an independent SQL twin."""
 
-from sparkrecon.queries import chat, corpus, matrices, reconcile, report, scenarios, solves, streams, text, vectors
+from sparkrecon.queries import chat, complexes, corpus, matrices, reconcile, report, scenarios, solves, streams, text, vectors
 
-MODULES = [vectors, matrices, solves, reconcile, scenarios, text, corpus, report, chat, streams]
+MODULES = [vectors, matrices, complexes, solves, reconcile, scenarios, text, corpus, report, chat, streams]
 
 
 def all_queries() -> dict:
