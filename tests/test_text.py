@@ -438,3 +438,26 @@ def test_chunk_bounds(spark, rows):
     assert rows(corpus.chunk(lines, ["doc"], "pos", 3), "piece", "n_lines", "text") == [
         (0, 3, "a\nb\nc"), (1, 3, "d\ne\nf"), (2, 1, "g")
     ]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
+def test_error_blocks_over_ranges(spark, block):
+    """Blocks that go on over many ranges, empty ranges, logs without a hit, against a plain loop."""
+    rng = random.Random(block)
+    rows = [(f"log{g}", 3 * i if g == 1 else i, rng.choice(["", " ", "x", "y", "z"] + ["hit"] * (g > 0) * (rng.random() < 0.1))) for g in range(5) for i in range(60)]
+    rows += [("long", i, "hit" if i == 40 else "x") for i in range(60)]
+    want = []
+    for log in {r[0] for r in rows}:
+        blk, blocks, whole = 0, {}, sorted((ln, line) for g, ln, line in rows if g == log)
+        for ln, line in whole:
+            if not line.strip():
+                blk += 1
+            else:
+                blocks.setdefault(blk, []).append((ln, line))
+        kept = [(log, b, ln, line) for b, ls in blocks.items() if any("hit" in x for _, x in ls) for ln, line in ls]
+        want += kept or [(log, None, ln, line) for ln, line in whole]
+    rows.append((None, 1, "hit"))
+    want.append((None, None, 1, "hit"))
+    lines = spark.createDataFrame(rows, "log string, ln long, line string")
+    got = logs.error_blocks(lines, F.col("line").contains("hit"), block=block).collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
