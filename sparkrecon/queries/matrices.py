@@ -129,16 +129,15 @@ def gemm_sparse(t):
     return M.gemm(who, order_part(t), ta="T")
 
 
-# Many small matrices at once: one case per line number, with its own factors and flags.
-CASE_A = """(SELECT l_linenumber AS g, l_orderkey % 40 AS i, l_partkey % 30 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"""
-CASE_X = "(SELECT l_linenumber AS g, l_suppkey % 40 AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
-CASES = """(SELECT DISTINCT l_linenumber AS g, (l_linenumber % 4)::DOUBLE AS alpha, (l_linenumber % 2)::DOUBLE AS beta,
-    CASE WHEN l_linenumber % 3 = 0 THEN 't' ELSE 'N' END AS ta, CASE WHEN l_linenumber % 5 = 0 THEN 'C' ELSE 'n' END AS tb
-  FROM lineitem)"""
+# Many matrices at once: one case per supplier, with its own factors and flags. op(A) is order x part and op(B) part x
+# line number in every case, stored transposed where the flag says so; the twins start from the plain products.
+CASE_OP = "(SELECT l_suppkey AS g, l_orderkey AS o, l_partkey AS p, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
+CASE_PL = "(SELECT l_suppkey AS g, l_partkey AS p, CAST(l_linenumber AS BIGINT) AS l, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
+CASE_OL = "(SELECT l_suppkey AS g, l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS l, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
 
 
 def case_table(t):
-    g = F.col("l_linenumber")
+    g = F.col("l_suppkey")
     return t.lineitem.select(g.alias("g")).distinct().select(
         "g",
         (F.col("g") % 4).cast("double").alias("alpha"),
@@ -148,45 +147,46 @@ def case_table(t):
     )
 
 
-def case_matrices(t):
-    cells = t.lineitem.select(
-        F.col("l_linenumber").alias("g"), (F.col("l_orderkey") % 40).alias("i"), (F.col("l_partkey") % 30).alias("j"), F.col("l_quantity").alias("v")
+def case_matrix(t, row, col, turned_every):
+    """Quantity per supplier, row and column, transposed for every so manieth supplier (0: for none)."""
+    row, col = F.col(row).cast("long"), F.col(col).cast("long")
+    turned = F.col("l_suppkey") % turned_every == 0 if turned_every else F.lit(False)
+    cells = t.lineitem.groupBy(
+        F.col("l_suppkey").alias("g"), F.when(turned, col).otherwise(row).alias("i"), F.when(turned, row).otherwise(col).alias("j")
     )
-    return cells.groupBy("g", "i", "j").agg(F.sum("v").alias("v"))
+    return cells.agg(F.sum("l_quantity").alias("v"))
 
 
-def case_vectors(t):
-    cells = t.lineitem.groupBy(F.col("l_linenumber").alias("g"), (F.col("l_suppkey") % 40).alias("k"))
-    return cells.agg(F.sum("l_quantity").alias("v"))
+def case_vector(t, position):
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("g"), F.col(position).alias("k")).agg(F.sum("l_quantity").alias("v"))
 
 
 @query(
     "keyed_gemv",
     f"""SELECT g, k, sum(v) AS v FROM (
-          SELECT c.g, CASE WHEN upper(ta) = 'N' THEN a.i ELSE a.j END AS k, alpha * a.v * x.v AS v
-          FROM {CASES} c JOIN {CASE_A} a ON a.g = c.g JOIN {CASE_X} x ON x.g = c.g AND x.k = CASE WHEN upper(ta) = 'N' THEN a.j ELSE a.i END
-          WHERE alpha <> 0
-          UNION ALL SELECT c.g, k, beta * v FROM {CASES} c JOIN {CASE_X} y ON y.g = c.g WHERE beta <> 0) s GROUP BY 1, 2""",
+          SELECT a.g, a.o AS k, a.g % 4 * a.v * x.v AS v FROM {CASE_OP} a
+          JOIN (SELECT l_suppkey AS g, l_partkey AS p, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) x ON a.g = x.g AND a.p = x.p
+          WHERE a.g % 4 <> 0
+          UNION ALL SELECT l_suppkey, l_orderkey, l_quantity FROM lineitem WHERE l_suppkey % 2 = 1) s GROUP BY 1, 2""",
 )
 def keyed_gemv(t):
     cases = case_table(t).withColumnRenamed("ta", "trans")
-    x = case_vectors(t)
-    return M.keyed_gemv(cases, case_matrices(t), x, x, ["g"])
+    a = case_matrix(t, "l_orderkey", "l_partkey", 3)
+    return M.keyed_gemv(cases, a, case_vector(t, "l_partkey"), case_vector(t, "l_orderkey"), ["g"])
 
 
 @query(
     "keyed_gemm",
     f"""SELECT g, i, j, sum(v) AS v FROM (
-          SELECT c.g, CASE WHEN upper(ta) = 'N' THEN a.i ELSE a.j END AS i, CASE WHEN upper(tb) = 'N' THEN b.j ELSE b.i END AS j,
-            alpha * a.v * b.v AS v
-          FROM {CASES} c JOIN {CASE_A} a ON a.g = c.g JOIN {CASE_A} b ON b.g = c.g
-            AND CASE WHEN upper(ta) = 'N' THEN a.j ELSE a.i END = CASE WHEN upper(tb) = 'N' THEN b.i ELSE b.j END
-          WHERE alpha <> 0
-          UNION ALL SELECT c.g, i, j, beta * v FROM {CASES} c JOIN {CASE_A} y ON y.g = c.g WHERE beta <> 0) s GROUP BY 1, 2, 3""",
+          SELECT a.g, a.o AS i, b.l AS j, a.g % 4 * a.v * b.v AS v
+          FROM {CASE_OP} a JOIN {CASE_PL} b ON a.g = b.g AND a.p = b.p WHERE a.g % 4 <> 0
+          UNION ALL SELECT g, o, l, v FROM {CASE_OL} c WHERE g % 2 = 1) s GROUP BY 1, 2, 3""",
 )
 def keyed_gemm(t):
-    a = case_matrices(t)
-    return M.keyed_gemm(case_table(t), a, a, a, ["g"])
+    a = case_matrix(t, "l_orderkey", "l_partkey", 3)
+    b = case_matrix(t, "l_partkey", "l_linenumber", 5)
+    c = case_matrix(t, "l_orderkey", "l_linenumber", 0)
+    return M.keyed_gemm(case_table(t), a, b, c, ["g"])
 
 
 @query("transpose", f"SELECT j AS i, i AS j, v FROM {ORDER_PART}")
