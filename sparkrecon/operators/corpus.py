@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrecon.functions.text import lines_of, plain_text, split_outside, strip_ws
+from sparkrecon.functions.text import bound, lines_of, plain_text, split_outside, strip_ws
 from sparkrecon.plans.joins import lookup_join
 
 # Patterns of fixed-form source text. Column 6 marks a continuation.
@@ -97,6 +97,23 @@ def chunk(lines: DataFrame, keys: list[str], pos: str, n: int = CHUNK_LINES) ->
     )
 
 
+def chunk_texts(docs: DataFrame, keys: list[str], text: str = "text", n: int = CHUNK_LINES) -> DataFrame:
+    """``chunk`` of texts that are one cell still: they are sliced in their row, and nothing is shuffled."""
+
+    def pieces(lines: Column) -> Column:
+        many = F.ceil(F.size(lines) / F.lit(n)).cast("int")
+        return F.transform(
+            F.slice(F.sequence(F.lit(0), many), F.lit(1), many),
+            lambda i: F.struct(
+                i.cast("long").alias("piece"),
+                F.least(F.lit(n), F.size(lines) - i * n).cast("long").alias("n_lines"),
+                F.array_join(F.slice(lines, i * n + 1, F.lit(n)), "\n").alias("text"),
+            ),
+        )
+
+    return docs.select(*keys, F.explode(bound(lines_of(F.col(text)), pieces)).alias("_p")).select(*keys, "_p.*")
+
+
 def units(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Program units of every file: ``(doc, unit, source)``.
 
@@ -251,34 +268,36 @@ def implicit_types(found: DataFrame) -> DataFrame:
     """Type of every initial letter per unit: ``(doc, unit, letter, ftype)``.
 
     I to N are INTEGER and the rest REAL unless an IMPLICIT rule says otherwise; a unit
-    with IMPLICIT NONE has no rows.
+    with IMPLICIT NONE has no rows. All of it happens inside the unit's row.
     """
-    implicit = unit_lines(found).filter(F.upper("line").contains("IMPLICIT"))
-    rules = (
-        implicit.select(
-            *UNIT,
-            "pos",
-            F.regexp_replace(F.upper(F.regexp_extract("line", IMPLICIT_RULE, 1)), " ", "_").alias("ftype"),
-            F.posexplode(F.split(F.upper(F.regexp_extract("line", IMPLICIT_RULE, 2)), ",")).alias("part_ord", "part"),
+
+    def rules(line: Column) -> Column:
+        ftype = F.regexp_replace(F.upper(F.regexp_extract(line, IMPLICIT_RULE, 1)), " ", "_")
+        ranges = F.filter(
+            F.transform(F.split(F.upper(F.regexp_extract(line, IMPLICIT_RULE, 2)), ","), lambda p: F.trim(p)),
+            lambda p: (ftype != "") & p.rlike(r"^[A-Z](?:\s*-\s*[A-Z])?$"),
         )
-        .filter(F.col("ftype") != "")
-        .withColumn("part", F.trim("part"))
-        .filter(F.col("part").rlike(r"^[A-Z](?:\s*-\s*[A-Z])?$"))
-    )
-    low, high = F.ascii(F.substring("part", 1, 1)), F.ascii(F.substring("part", -1, 1))
-    overrides = (
-        rules.filter(low <= high)
-        .withColumn("letter", F.explode(F.sequence(low, high)))
-        .groupBy(*UNIT, F.expr("char(letter)").alias("letter"))
-        .agg(F.max(F.struct("pos", "part_ord", "ftype")).alias("_rule"))
-    )
-    untyped = implicit.filter(F.col("line").rlike(IMPLICIT_NONE)).select(*UNIT).distinct()
-    alphabet = F.explode(F.split(F.lit("A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"), " "))
-    base = found.select(*UNIT).join(untyped, UNIT, "left_anti").select(*UNIT, alphabet.alias("letter"))
-    default = F.when(F.col("letter").between("I", "N"), "INTEGER").otherwise("REAL")
-    return base.join(overrides, [*UNIT, "letter"], "left").select(
-        *UNIT, "letter", F.coalesce("_rule.ftype", default).alias("ftype")
-    )
+        return F.transform(
+            ranges, lambda p: F.struct(F.substring(p, 1, 1).alias("low"), F.substring(p, -1, 1).alias("high"), ftype.alias("ftype"))
+        )
+
+    def typed(given: Column) -> Column:
+        """One entry per letter; the last rule that names it counts."""
+        alphabet = F.split(F.lit("A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"), " ")
+
+        def entry(letter: Column) -> Column:
+            last = F.get(F.reverse(F.filter(given, lambda r: (r["low"] <= letter) & (letter <= r["high"]))), 0)
+            default = F.when(letter.between("I", "N"), "INTEGER").otherwise("REAL")
+            return F.struct(letter.alias("letter"), F.coalesce(last["ftype"], default).alias("ftype"))
+
+        return F.transform(alphabet, entry)
+
+    def letters(implicit: Column) -> Column:
+        whole = bound(F.flatten(F.transform(implicit, rules)), typed)
+        return F.when(F.exists(implicit, lambda s: s.rlike(IMPLICIT_NONE)), F.slice(whole, 1, 0)).otherwise(whole)
+
+    implicit = F.filter(lines_of(F.col("source")), lambda s: F.upper(s).contains("IMPLICIT"))
+    return found.select(*UNIT, F.explode(bound(implicit, letters)).alias("_l")).select(*UNIT, "_l.letter", "_l.ftype")
 
 
 def call_edges(headed: DataFrame) -> DataFrame:

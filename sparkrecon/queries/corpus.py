@@ -115,6 +115,15 @@ def chunk(t):
     return C.chunk(lines, ["doc_id"], "pos", 5)
 
 
+@query(
+    "chunk_texts",
+    f"""SELECT doc_id, (ln - 1) // 5 AS piece, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY ln) AS text
+        FROM {DOC_LINES} GROUP BY 1, 2""",
+)
+def chunk_texts(t):
+    return C.chunk_texts(t.documents, ["doc_id"], n=5)
+
+
 @query("declarations", None)
 def declarations(t):
     found = C.declarations(C.unit_header(C.units(source_files(t))))

@@ -86,6 +86,8 @@ def test_implicit_rules(spark):
     assert len(got) == 52 and not any(d == "b" for d, _ in got)
     assert got[("a", "B")] == got[("a", "I")] == got[("a", "Z")] == "DOUBLE_PRECISION"
     assert (got[("a", "D")], got[("a", "J")], got[("c", "I")], got[("c", "A")]) == ("REAL", "INTEGER", "INTEGER", "REAL")
+    plan = corpus.implicit_types(corpus.units(docs))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 def test_call_edges_skip_comments_keywords_and_self(spark, rows):
@@ -440,6 +442,17 @@ def test_chunk_bounds(spark, rows):
     ]
 
 
+def test_chunk_texts_equals_chunk(spark, rows):
+    texts = ["", None, "one", "a\nb\nc\n", "\n\n", "\n".join(f"line {i}" for i in range(25)), "a\r\nb\rc"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc int, text string")
+    lines = corpus.line_table(docs).withColumn("pos", F.col("ln") - 1)
+    for n in (1, 3, 25, 200):
+        want = corpus.chunk(lines, ["doc"], "pos", n)
+        got = corpus.chunk_texts(docs, ["doc"], n=n)
+        assert got.dtypes == want.dtypes and rows(got) == rows(want)
+        assert "Exchange" not in got._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 def test_error_blocks_over_ranges(spark, block):
     """Blocks that go on over many ranges, empty ranges, logs without a hit, against a plain loop."""
