@@ -7,9 +7,9 @@
 ``grid_join``    both sides may be hot on the same key: the pair space of a hot key is cut
                  into a grid of tasks.
 
-Salting never changes the result: each matching pair meets in exactly one task. Every hot key has
-more than ``hot_rows`` rows, so a table of ``n`` rows has fewer than ``n / hot_rows`` hot keys; choose
-``hot_rows`` so that this can be broadcast. No query plan is built by running a job.
+Salting never changes the result: each matching pair meets in exactly one task. A hot key has more than
+``hot_rows`` rows and more than one in ``MOST_HOT`` of all rows, so a table of any size has fewer than ``MOST_HOT`` hot keys
+and their list can be broadcast. No query plan is built by running a job.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 2_000_000
+MOST_HOT = 100_000
 NULL_SLOTS = 4_096
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
-    """``on`` + ``_n`` for the keys with more than ``hot_rows`` rows."""
-    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    """``on`` + ``_n`` for the keys with more than ``hot_rows`` rows, fewer than ``MOST_HOT`` of them."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    share = df.agg(F.count(F.lit(1)).alias("_all")).scalar() / MOST_HOT
+    return counts.filter((F.col("_n") > hot_rows) & (F.col("_n") > share))
 
 
 def _spread(n: Column, hot_rows: int) -> Column:

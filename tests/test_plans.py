@@ -92,3 +92,15 @@ def test_hot_vector_product_same_with_and_without_broadcast(spark, rows):
     a = spark.createDataFrame([(n, 0 if n % 3 == 0 else n % 11, 1.0) for n in range(300)], "i int, j int, v double")
     x = spark.createDataFrame([(n, float(n + 1)) for n in range(11)], "k int, v double")
     assert rows(gemv(a, x)) == rows(gemv(a, x, hot_rows=10))
+
+
+def test_hot_keys_are_few_in_any_table(spark, monkeypatch):
+    from sparkrecon.plans import joins
+
+    monkeypatch.setattr(joins, "MOST_HOT", 10)
+    df = spark.range(1000).selectExpr("CASE WHEN id < 300 THEN 0 ELSE id % 70 END AS k", "id AS v")
+    hot = joins.hot_keys(df, ["k"], 5).collect()
+    assert [r["k"] for r in hot] == [0]  # 70 keys have more than five rows, one has more than a tenth of all
+    one = spark.range(70).selectExpr("id AS k", "id * 2 AS w")
+    assert joins.skew_join(df, one, ["k"], hot_rows=5).count() == 1000
+    assert joins.grid_join(df, one, ["k"], ["v"], ["w"], 5).count() == 1000
