@@ -30,7 +30,8 @@ CONTINUED = r"\n {5}[^ \n]"
 CALL_STATEMENT = r"(?i)^\s+CALL\s+(\w+)\s*\("
 CALL_EXPRESSION = r"(?i)\b([A-Z]\w+)\s*\("
 DECLARATION = r"^(?:(DOUBLE\s+PRECISION|REAL|INTEGER|LOGICAL)|(CHARACTER)(?:\s*\*\s*1?)?)\s+(.*)"
-IMPLICIT_RULE = r"(?i)IMPLICIT\s+(\w+(?:\s+PRECISION)?)\s*\(([^)]+)\)"
+# From the grammar: a type, with a length or PRECISION after it, then letters and ranges in parentheses.
+IMPLICIT_RULE = r"(?i)\bIMPLICIT\s+([A-Z]\w*(?:\s*\*\s*\d+|\s+PRECISION)?)\s*\(([^()]*)\)"
 IMPLICIT_NONE = r"(?i)^\s*IMPLICIT\s+NONE"
 CHUNK_LINES = 200
 
@@ -272,7 +273,8 @@ def implicit_types(found: DataFrame) -> DataFrame:
     """
 
     def rules(line: Column) -> Column:
-        ftype = F.regexp_replace(F.upper(F.regexp_extract(line, IMPLICIT_RULE, 1)), " ", "_")
+        ftype = F.regexp_replace(F.upper(F.regexp_extract(line, IMPLICIT_RULE, 1)), r"\s*\*\s*", "*")
+        ftype = F.regexp_replace(ftype, " ", "_")
         ranges = F.filter(
             F.transform(F.split(F.upper(F.regexp_extract(line, IMPLICIT_RULE, 2)), ","), lambda p: F.trim(p)),
             lambda p: (ftype != "") & p.rlike(r"^[A-Z](?:\s*-\s*[A-Z])?$"),

@@ -79,11 +79,13 @@ def test_implicit_rules(spark):
             ("a", "      SUBROUTINE A(X)\n      IMPLICIT DOUBLE PRECISION (A-C, i, X-Z)\n      END\n"),
             ("b", "      SUBROUTINE B(X)\n      IMPLICIT REAL (I)\n      implicit none\n      END\n"),
             ("c", "      SUBROUTINE C(X)\n      END\n"),
+            ("d", "      SUBROUTINE D(X)\n      IMPLICIT REAL * 8(A-H,O-Z)\n      IMPLICIT INTEGER*2 (H)\n      END\n"),
         ],
         "doc string, text string",
     )
     got = {(r["doc"], r["letter"]): r["ftype"] for r in corpus.implicit_types(corpus.units(docs)).collect()}
-    assert len(got) == 52 and not any(d == "b" for d, _ in got)
+    assert len(got) == 78 and not any(d == "b" for d, _ in got)
+    assert (got[("d", "A")], got[("d", "H")], got[("d", "I")], got[("d", "Z")]) == ("REAL*8", "INTEGER*2", "INTEGER", "REAL*8")
     assert got[("a", "B")] == got[("a", "I")] == got[("a", "Z")] == "DOUBLE_PRECISION"
     assert (got[("a", "D")], got[("a", "J")], got[("c", "I")], got[("c", "A")]) == ("REAL", "INTEGER", "INTEGER", "REAL")
     plan = corpus.implicit_types(corpus.units(docs))._jdf.queryExecution().toString()
