@@ -280,6 +280,11 @@ def _listed(spans: F.Column) -> F.Column:
     )
 
 
+def _of_kind(k: int):
+    # one parameter only: Spark passes an element's position as the second
+    return lambda c: c["k"] == k
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts per base kind, digest of the base spans, and all spans as text."""
     spark = docs.sparkSession
@@ -291,8 +296,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     return spans.select(
         "doc_id",
         *[
-            F.size(F.filter("s", lambda c, k=k: c["k"] == k)).cast("long").alias(f"n_{kind}")
-            for k, kind in enumerate(BASE_KINDS)
+            F.size(F.filter("s", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)
         ],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("s")).alias("spans"),

@@ -397,3 +397,23 @@ def test_mix_of_odd_rows(spark, odd):
     taken = mixing.mix(odd).agg(F.sum("copies")).first()[0]
     assert mixing.mixed_documents(odd).count() == taken
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed_documents(odd.limit(0)).count() == 0
+
+
+def test_counts_of_personal_data_are_by_kind(spark):
+    """The counts belong to the kind, wherever its spans stand in the list."""
+    texts = [
+        "a@b.co, c@d.org and e@f.net",
+        "1.2.3.4 +44 20 7946 0958",
+        "4111 1111 1111 1111, 1.1.1.1 255.2.3.4 x@y.z +1 (212) 555-0199 +49 30 123456",
+        None,
+        "",
+        "300.1.1.1 4111 1111 1111 1112",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_personal_data(docs).orderBy("doc_id").collect()
+    counts = [(r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in found]
+    assert counts == [(3, 0, 0, 0), (0, 1, 0, 1), (1, 2, 1, 2), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    for r in found:
+        listed = [s for s in r["spans"].split(",") if s.partition(":")[0] in pii.BASE_KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert len(listed) == r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]
