@@ -1,22 +1,27 @@
 """Triangular solves by level-scheduled blocked substitution.
 
-The triangle is cut into tiles of ``order`` x ``order``. A tile row is ready when every tile row it needs is solved. Each
-round takes all ready ones: their diagonal tiles are solved inside an Arrow task, the tiles below them (in the same
-tile columns) are multiplied with the new values, and the products are taken off the right-hand sides of later tile
-rows. A round's values and products are stored below the shared folder, so the plan stays short and a lost
-executor costs one round. A tile is read and multiplied once.
-
-The number of rounds is the longest chain of tile rows: n / order for a banded or full triangle, fewer for a sparse
-one, and one when no tile row needs another.
-
-Stored tables are laid out by spans of tile rows or columns, so that a round reads the spans that its ready rows touch.
+The triangle is cut into tiles of ``order`` x ``order``, and the tile rows into at most ``PANELS`` runs of about equal
+length, the panels. A panel is ready when every panel it needs is solved. Each round takes all ready ones. A
+task takes a panel and a tile column of right-hand sides and goes through the tile rows in order: it takes off what the
+tiles beside the diagonal make of the values it has, then solves the diagonal tile. It reads a tile at a time
+and holds the panel's values. The tiles below (in the same columns, of other panels) are then multiplied with the new
+values by all tasks, and the products are taken off the right-hand sides of later panels. A round's values
+and products are stored below the shared folder, so the plan stays short and a lost executor costs one round. A
+tile is read and multiplied once.
+
+There are at most ``PANELS`` rounds, whatever the order of the matrix: as many as the longest chain of panels, and one
+when no panel needs another. With ``PANELS`` tile rows or fewer each is a panel.
+
+Stored tables are laid out by panel, so that a round reads those that it touches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrecon.operators import blocks
@@ -24,8 +29,8 @@ from sparkrecon.operators.matrices import band_view, packed_positions_to_coo, tr
 from sparkrecon.plans.lineage import scratch_path
 
 ORDER = 64
-#: Tile rows (or columns) per folder of a stored table.
-SPAN = 16
+#: Runs of tile rows that are solved one after another, at most.
+PANELS = 16
 
 
 def trsv(a: DataFrame, x: DataFrame, uplo: str = "U", trans: str = "N", unit: bool = False, order: int = ORDER) -> DataFrame:
@@ -118,100 +123,141 @@ def substitute(
 def _solve(a: DataFrame, b: DataFrame, forward: bool, unit: bool, order: int, width: int) -> DataFrame:
     spark = a.sparkSession
     folder = scratch_path(spark, "solve")
-    span = lambda c: F.floor(F.col(c) / SPAN).alias("span")
-
-    cut = blocks.tiles(a, order)
-    cut.withColumn("diagonal", F.col("bi") == F.col("bj")).select("*", span("bj")).write.partitionBy("diagonal", "span").parquet(
-        f"{folder}/tiles"
-    )
-    stored = spark.read.schema(f"{blocks.SCHEMA}, diagonal boolean, span long").parquet(f"{folder}/tiles")
-    beside, middle = stored.filter("not diagonal"), stored.filter("diagonal")
-    right = blocks.tiles(b, order, width)
-    _write_parts(right, f"{folder}/parts/round=-1")
-    # rows of the matrix and of the right-hand sides: those that need a diagonal entry
-    _rows(a, b, order).write.parquet(f"{folder}/rows")
-    rows = spark.read.schema("bi long, used array<int>").parquet(f"{folder}/rows")
 
-    needs = beside.select("bi", F.col("bj").alias("need")).distinct()
-    open_ = rows.select("bi", F.lit(0).alias("n")).unionByName(needs.select("bi", F.lit(1).alias("n")))
-    level = 0
-    seen = _settle(open_, level, folder)
-    if not seen["settled"]:
+    def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+        schema = df.schema
+        df.write.partitionBy(*parts).parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    cut = stored(blocks.tiles(a, order), "cut")
+    right = stored(blocks.tiles(b, order, width), "right")
+    # rows of the matrix and of the right-hand sides: those that need a diagonal entry
+    rows = stored(_rows(cut, right, order, width), "rows")
+    panel = _panels(rows)
+    tiles = stored(cut.select("*", panel("bi").alias("panel"), panel("bj").alias("source")), "tiles", "source", "panel")
+    right.withColumn("panel", panel("bi")).write.partitionBy("panel").parquet(f"{folder}/parts/round=-1")
+
+    # at most PANELS panels, so at most PANELS * PANELS rows
+    needs: dict[int, set[int]] = {r["panel"]: set() for r in rows.select(panel("bi").alias("panel")).distinct().collect()}
+    for r in tiles.filter("source <> panel").select("panel", "source").distinct().collect():
+        needs[r["panel"]].add(r["source"])
+    if not needs:
         return a.select("i", "j", "v").limit(0)
-    while True:
-        state = spark.read.schema("bi long, n int, ready boolean").parquet(f"{folder}/state/round={level}")
-        ready = state.filter("ready").select("bi")
-        # only folders that hold something of the ready tile rows are read
-        near = F.col("span").between(seen["first"] // SPAN, seen["last"] // SPAN)
-        parts = spark.read.schema(f"{blocks.SCHEMA}, round int, span long").parquet(f"{folder}/parts")
-        sides = parts.filter(near).join(ready, "bi", "left_semi").select("bi", "bj", "at", "v")
-        whole = blocks.add_tiles(sides, order, width)
-        own = middle.filter(near).select("bi", F.col("at").alias("d_at"), F.col("v").alias("d_v"))
-        marked = rows.join(ready, "bi", "left_semi").join(own, "bi", "left")
-        pairs = marked.join(whole, "bi", "left")
-        solved = pairs.mapInArrow(_solver(order, width, forward, unit), blocks.SCHEMA)
-        solved.select("*", span("bi")).write.partitionBy("span").parquet(f"{folder}/values/round={level}")
-        if seen["settled"] == seen["open"]:
-            break
-        values = spark.read.schema(f"{blocks.SCHEMA}, span long").parquet(f"{folder}/values/round={level}")
-        below = beside.filter(near).select("bi", "bj", "at", "v")
-        update = blocks.product(below, values, order, order, width, alpha=-1.0)
-        _write_parts(update, f"{folder}/parts/round={level}")
-        met = below.select("bi", F.col("bj").alias("need")).distinct().join(ready.withColumnRenamed("bi", "need"), "need", "left_semi")
-        left = state.filter("not ready").select("bi", "n").unionByName(met.select("bi", F.lit(-1).alias("n")))
+    solved: set[int] = set()
+    level = 0
+    while ready := _settle(needs, solved)["settled"]:
+        parts = spark.read.schema(f"{blocks.SCHEMA}, round int, panel int").parquet(f"{folder}/parts")
+        sides = parts.filter(F.col("panel").isin(ready)).select("panel", "bi", "bj", "at", "v")
+        here = rows.withColumn("panel", panel("bi")).filter(F.col("panel").isin(ready))
+        inside = tiles.filter(F.col("source").isin(ready) & (F.col("source") == F.col("panel")))
+        found = _panel_rows(here, inside, sides, forward).mapInArrow(_solver(order, width, forward, unit), blocks.SCHEMA)
+        found.withColumn("panel", panel("bi")).write.partitionBy("panel").parquet(f"{folder}/values/round={level}")
+        solved.update(ready)
+        if any(need & set(ready) for need in needs.values()):
+            values = spark.read.schema(f"{blocks.SCHEMA}, panel int").parquet(f"{folder}/values/round={level}")
+            below = tiles.filter(F.col("source").isin(ready) & (F.col("source") != F.col("panel")))
+            update = blocks.product(below.select("bi", "bj", "at", "v"), values, order, order, width, alpha=-1.0)
+            update.withColumn("panel", panel("bi")).write.partitionBy("panel").parquet(f"{folder}/parts/round={level}")
         level += 1
-        seen = _settle(left, level, folder)
-    found = spark.read.schema(f"{blocks.SCHEMA}, round int, span long").parquet(f"{folder}/values")
-    return blocks.entries(found, order, width)
+    values = spark.read.schema(f"{blocks.SCHEMA}, round int, panel int").parquet(f"{folder}/values")
+    return blocks.entries(values, order, width)
+
 
+def _rows(cut: DataFrame, right: DataFrame, order: int, width: int) -> DataFrame:
+    """(bi, used): which rows of each tile row the matrix or the right-hand side has, as positions."""
+    place = lambda p: p.cast("int")
+    row = lambda cols: F.array_distinct(F.transform("at", lambda p: place(F.floor(p / cols))))
+    column = F.array_distinct(F.transform("at", lambda p: place(p % order)))
+    each = cut.select("bi", row(order).alias("used")).unionByName(cut.select(F.col("bj").alias("bi"), column.alias("used")))
+    each = each.unionByName(right.select("bi", row(width).alias("used")))
+    return each.select("bi", F.explode("used").alias("at")).groupBy("bi").agg(F.collect_set("at").alias("used"))
 
-def _write_parts(parts: DataFrame, path: str) -> None:
-    parts.withColumn("span", F.floor(F.col("bi") / SPAN)).write.partitionBy("span").parquet(path)
 
+def _panels(rows: DataFrame) -> Callable[[str], Column]:
+    """The panel of a tile row, numbered from the first row on: cuts tile rows into PANELS runs of about equal length."""
+    steps = [i / PANELS for i in range(1, PANELS)]
+    ends = rows.agg(F.percentile_approx("bi", steps).alias("e")).first()["e"] or []
+    return lambda c: sum(((F.col(c) > int(e)).cast("int") for e in sorted(set(ends))), F.lit(0)).cast("int")
 
-def _rows(a: DataFrame, b: DataFrame, order: int) -> DataFrame:
-    """(bi, used): which rows of each tile row the matrix or the right-hand side has, as positions."""
-    each = a.select("i").unionByName(a.select(F.col("j").alias("i"))).unionByName(b.select("i")).distinct()
-    return each.groupBy(F.floor(F.col("i") / order).cast("long").alias("bi")).agg(
-        F.collect_list(F.pmod(F.col("i"), F.lit(order)).cast("int")).alias("used")
-    )
-
-
-def _settle(counts: DataFrame, level: int, folder: str) -> dict:
-    """Add up unmet needs, store them, and tell how many tile rows are ready and from where to where."""
-    added = counts.groupBy("bi").agg(F.sum("n").cast("int").alias("n")).withColumn("ready", F.col("n") == 0)
-    seen = Observation()
-    which = F.when(F.col("ready"), F.col("bi"))
-    added.observe(
-        seen,
-        F.count(F.lit(1)).alias("open"),
-        F.count(which).alias("settled"),
-        F.min(which).alias("first"),
-        F.max(which).alias("last"),
-    ).write.parquet(f"{folder}/state/round={level}")
-    return seen.get
+
+def _settle(needs: dict[int, set[int]], solved: set[int]) -> dict:
+    """The panels that are left and need none but solved ones."""
+    return {"settled": sorted(p for p, need in needs.items() if p not in solved and need <= solved)}
+
+
+def _panel_rows(here: DataFrame, inside: DataFrame, sides: DataFrame, forward: bool) -> DataFrame:
+    """What a panel is solved from, per tile column of right-hand sides, in the order of substitution.
+
+    Per tile row: its used rows (part 0), its tiles (1), its right-hand sides (2). A panel without any right-hand side
+    is gone through once, for its diagonal.
+    """
+    columns = sides.select("panel", F.col("bj").alias("col")).distinct()
+    none = F.array().cast("array<double>")
+    each = here.select("panel", "bi", F.lit(0).alias("part"), F.col("bi").alias("bk"), F.col("used").alias("at"), none.alias("v"))
+    each = each.unionByName(inside.select("panel", "bi", F.lit(1).alias("part"), F.col("bj").alias("bk"), "at", "v"))
+    each = each.join(columns, "panel", "left").withColumn("col", F.coalesce("col", F.lit(0).cast("long")))
+    given = sides.select("panel", "bi", F.lit(2).alias("part"), F.col("bi").alias("bk"), "at", "v", F.col("bj").alias("col"))
+    step = F.col("bi").asc() if forward else F.col("bi").desc()
+    return each.unionByName(given).repartition("panel", "col").sortWithinPartitions("panel", "col", step, "part")
 
 
 def _solver(order: int, width: int, forward: bool, unit: bool):
-    """A task function: (bi, used, d_at, d_v, bj, at, v) to solved tiles."""
+    """A task function: rows of :func:`_panel_rows` to solved tiles."""
 
-    def filled(array: pa.Array, kind: pa.DataType) -> pa.Array:
-        return array.fill_null(pa.scalar([], pa.list_(kind))) if array.null_count else array
+    def spread(at: np.ndarray, v: np.ndarray, cols: int) -> tuple[np.ndarray, np.ndarray]:
+        values, present = np.zeros(order * cols), np.zeros(order * cols, np.float32)
+        values[at], present[at] = v, 1.0
+        return values.reshape(order, cols), present.reshape(order, cols)
 
     def run(batches):
+        held = max(1, blocks.SLICE_BYTES // (12 * order * width))
+        panel, row, known, out = None, None, {}, []
+
+        def close() -> None:
+            """Solve the tile row that is complete; one without a right-hand side is solved by zeros, which are absent."""
+            (_, col, bi), (triangle, has, right, given, used) = row
+            x, seen = substitute(triangle[None], has[None], right[None], given[None], used[None], forward, unit)
+            if seen.any():
+                known[bi] = x[0], seen[0].astype(np.float32)
+                out.append((bi, col, *known[bi]))
+
+        def passed():
+            keys = np.array([o[:2] for o in out], np.int64)
+            yield blocks.tile_batch(keys, np.stack([o[2] for o in out]), np.stack([o[3] for o in out]))
+            out.clear()
+
         for batch in batches:
-            for piece in blocks.slices(batch, order * order):
-                used_at, d_at, d_v, at, v = blocks.columns(piece, "used", "d_at", "d_v", "at", "v")
-                triangle, has = blocks.dense(filled(d_at, pa.int32()), filled(d_v, pa.float64()), order, order)
-                right, given = blocks.dense(filled(at, pa.int32()), filled(v, pa.float64()), order, width)
-                ones = pa.ListArray.from_arrays(used_at.offsets, pa.array(np.ones(len(used_at.values))))
-                _, used = blocks.dense(used_at, ones, order, 1)
-                x, seen = substitute(triangle, has, right, given, used[:, :, 0] > 0, forward, unit)
-                (bi, bj) = blocks.columns(piece, "bi", "bj")
-                keys = np.stack([bi.to_numpy(zero_copy_only=False), bj.fill_null(0).to_numpy(zero_copy_only=False)], axis=1)
-                # a tile row without a right-hand side is solved by zeros, which are absent
-                some = seen.any(axis=(1, 2))
-                yield blocks.tile_batch(keys[some], x[some], seen[some])
+            keys = blocks.places(batch, "panel", "col", "bi", "part", "bk").tolist()
+            at, v = blocks.columns(batch, "at", "v")
+            at_ends, v_ends = at.offsets.to_numpy(), v.offsets.to_numpy()
+            at, v = at.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False)
+            for r, (p, col, bi, part, bk) in enumerate(keys):
+                cells, numbers = at[at_ends[r] : at_ends[r + 1]], v[v_ends[r] : v_ends[r + 1]]
+                if part == 0:
+                    if row is not None:
+                        close()
+                    if len(out) >= held:
+                        yield from passed()
+                    if panel != (p, col):
+                        panel, known = (p, col), {}
+                    used = np.zeros(order, bool)
+                    used[cells] = True
+                    empty = (np.zeros((order, n), t) for n in (order, width) for t in (float, np.float32))
+                    row = (p, col, bi), [*empty, used]
+                elif part == 1 and bk == bi:
+                    row[1][0], row[1][1] = spread(cells, numbers, order)
+                elif part == 1:
+                    if bk in known:
+                        values, present = spread(cells, numbers, order)
+                        row[1][2] -= values @ known[bk][0]
+                        row[1][3] += present @ known[bk][1]
+                else:
+                    values, present = spread(cells, numbers, width)
+                    row[1][2] += values
+                    row[1][3] += present
+        if row is not None:
+            close()
+        if out:
+            yield from passed()
 
     return run
-

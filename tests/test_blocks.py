@@ -214,3 +214,17 @@ def test_solve_flags(spark):
     with pytest.raises(ValueError):
         S.trsv(a, vec(spark, [1, 1]), trans="X")
     assert S.trsm(a, a, alpha=0.0).collect() == []
+
+
+@pytest.mark.parametrize("uplo", ["L", "U"])
+def test_rounds_do_not_grow_with_the_order(spark, monkeypatch, uplo):
+    """40 tile rows in a chain take as many rounds as there are panels, in either direction."""
+    monkeypatch.setattr(S, "PANELS", 3)
+    a, b = np.triu(np.tril(heavy(80), 3), -3), RNG.standard_normal(80)
+    a = np.tril(a) if uplo == "L" else np.triu(a)
+    seen = []
+    settle = S._settle
+    monkeypatch.setattr(S, "_settle", lambda *args: seen.append(settle(*args)) or seen[-1])
+    x = S.trsv(sparse(spark, a), vec(spark, b), uplo, order=2)
+    assert sum(1 for s in seen if s["settled"]) == 3
+    assert np.allclose(dense_vec(x, 80), np.linalg.solve(a, b))
