@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkrecon.functions.text import bound
 from sparkrecon.operators import blocks
 from sparkrecon.operators.vectors import _col
 from sparkrecon.plans.joins import grid_join, skew_join
@@ -441,11 +442,18 @@ def coo_to_colmajor(a: DataFrame, lda: int, ncols: int, keys: list[str]) -> Data
     inside = F.col("i").between(1, lda) & F.col("j").between(1, ncols)
     checked = F.when(inside, F.col("v")).otherwise(F.raise_error("entry outside the matrix").cast("double"))
     cells = coo_positions(a.withColumn("v", checked), lda, keys)
+    single = cells.groupBy(*keys, "p").agg(F.coalesce(F.sum("v") + F.lit(0.0), F.lit(0.0)).alias("v"))
+    held = single.groupBy(*keys).agg(F.collect_list(F.struct("p", F.lit(0).alias("absent"), "v")).alias("c"))
     slots = F.sequence(F.lit(0).cast("long"), F.lit(lda * ncols - 1).cast("long"))
-    zeros = a.select(*keys).distinct().select(*keys, F.explode(slots).alias("p"), F.lit(0.0).alias("v"))
-    single = cells.unionByName(zeros).groupBy(*keys, "p").agg(F.sum("v").alias("v"))
-    ordered = F.array_sort(F.collect_list(F.struct("p", "v")))
-    return single.groupBy(*keys).agg(F.transform(ordered, lambda c: c["v"]).alias("arr"))
+    zeros = F.transform(slots, lambda p: F.struct(p.alias("p"), F.lit(1).alias("absent"), F.lit(0.0).alias("v")))
+
+    def flat(ordered: Column) -> Column:
+        # a zero stands right after the entry of its position, if there is one
+        first = F.filter(ordered, lambda c, n: ~F.get(ordered, n - 1)["p"].eqNullSafe(c["p"]))
+        return F.transform(first, lambda c: c["v"])
+
+    # zeros are filled in inside the row of their matrix: only entries are shuffled
+    return held.select(*keys, bound(F.array_sort(F.concat("c", zeros)), flat).alias("arr"))
 
 
 def _triangle_size(r: Column) -> Column:

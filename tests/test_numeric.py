@@ -211,3 +211,15 @@ def test_large_matrix_to_column_major(spark):
     a = a.filter("v % 3 = 0").withColumn("g", F.lit(1))
     arr = M.coo_to_colmajor(a, 256, 256, ["g"]).first()["arr"]
     assert arr == [float(i) if i % 3 == 0 else 0.0 for i in range(256 * 256)]
+
+
+def test_flat_arrays_shuffle_no_zeros(spark):
+    """Repeated entries add up, absent and null ones are zero, and zeros are no rows of an exchange."""
+    cells = [("a", 1, 1, 2.0), ("a", 1, 1, 3.0), ("a", 3, 2, -0.0), ("a", 2, 1, None), ("b", 3, 2, 7.0), (None, 1, 2, 1.0)]
+    a = spark.createDataFrame(cells, "g string, i long, j long, v double")
+    flat = M.coo_to_colmajor(a, 3, 2, ["g"])
+    got = {r["g"]: [str(v) for v in r["arr"]] for r in flat.collect()}
+    zero = ["0.0"] * 6
+    assert got == {"a": ["5.0", *zero[1:]], "b": [*zero[1:], "7.0"], None: [*zero[:3], "1.0", *zero[4:]]}
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Generate" not in plan
