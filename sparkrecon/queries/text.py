@@ -251,18 +251,18 @@ def read_corpus(t):
              FROM documents) s""",
 )
 def read_lines(t):
-    """All texts of a language in one file, read back in splits with line numbers of the whole file."""
+    """All texts of a language in files that sort into one text, read back in splits with line numbers of the whole text."""
     path = scratch_path(t.spark, "lines")
     (
         t.documents.select("lang", "doc_id", F.col("text").alias("value"))
-        .repartition("lang")
+        .repartitionByRange("lang", "doc_id")
         .sortWithinPartitions("lang", "doc_id")
         .select("lang", "value")
         .write.partitionBy("lang")
         .text(path)
     )
-    lines = IO.read_lines(t.spark, path, "*.txt")
-    return lines.select(F.regexp_extract("doc", "lang=([^/]+)/", 1).alias("lang"), "ln", "line")
+    lines = IO.read_lines(t.spark, path, "*.txt", by_folder=True)
+    return lines.select(F.regexp_extract("doc", "lang=([^/]+)$", 1).alias("lang"), "ln", "line")
 
 
 VALUES = """(SELECT CAST(l_linenumber AS VARCHAR) AS "case", row_number() OVER (PARTITION BY l_linenumber ORDER BY arg, pos) - 1 AS pos, v

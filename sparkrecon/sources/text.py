@@ -63,13 +63,15 @@ def _numbered(rows: DataFrame, whole: Column, bad: Column) -> tuple[DataFrame, D
     return placed.drop("_id", "_first", "_before"), places.select("file", "void").distinct()
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, by_folder: bool = False) -> DataFrame:
     """``(doc, ln, line)``: lines of every file with their numbers from 1, without holding any file whole.
 
-    Files are cut into splits of ``spark.sql.files.maxPartitionBytes``; bytes that are not UTF-8 become U+FFFD.
+    Files are cut into splits of ``spark.sql.files.maxPartitionBytes``; bytes that are not UTF-8 become U+FFFD. With
+    ``by_folder`` the files of a folder, in the order of their names, are one text, and ``doc`` is the folder.
     """
-    placed, _ = _numbered(_split_lines(spark, path, glob), F.col("doc"), F.lit(False))
-    return placed.select("doc", (F.col("pos") + 1).alias("ln"), "line")
+    whole = F.regexp_replace("doc", "/[^/]*$", "") if by_folder else F.col("doc")
+    placed, _ = _numbered(_split_lines(spark, path, glob), whole, F.lit(False))
+    return placed.select(F.col("file").alias("doc"), (F.col("pos") + 1).alias("ln"), "line")
 
 
 def read_values(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -476,3 +476,17 @@ def test_error_blocks_over_ranges(spark, block):
     lines = spark.createDataFrame(rows, "log string, ln long, line string")
     got = logs.error_blocks(lines, F.col("line").contains("hit"), block=block).collect()
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+
+
+def test_files_of_a_folder_are_numbered_as_one_text(spark, tmp_path, small_splits):
+    """A text cut into files by line order keeps its numbers; no task needs to write or read it whole."""
+    lines = [f"line {i}" if i % 5 else "" for i in range(4_000)]
+    for name, part in (("part-00000", lines[:1_500]), ("part-00001", lines[1_500:1_501]), ("part-00002", lines[1_501:])):
+        (tmp_path / "k=1").mkdir(exist_ok=True)
+        (tmp_path / "k=1" / f"{name}.txt").write_text("\n".join(part) + "\n")
+    (tmp_path / "k=2").mkdir()
+    (tmp_path / "k=2" / "part-00001.txt").write_text("other\n")
+    got = {}
+    for r in IO.read_lines(spark, str(tmp_path), "*.txt", by_folder=True).collect():
+        got.setdefault(r["doc"][-3:], {})[r["ln"]] = r["line"]
+    assert got == {"k=1": dict(enumerate(lines, 1)), "k=2": {1: "other"}}
