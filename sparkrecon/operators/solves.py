@@ -130,7 +130,8 @@ def _solve(a: DataFrame, b: DataFrame, forward: bool, unit: bool, order: int, wi
         return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
     cut = stored(blocks.tiles(a, order), "cut")
-    right = stored(blocks.tiles(b, order, width), "right")
+    # an entry without a place meets nothing; the triangle has none
+    right = stored(blocks.tiles(b.filter("i is not null and j is not null"), order, width), "right")
     # rows of the matrix and of the right-hand sides: those that need a diagonal entry
     rows = stored(_rows(cut, right, order, width), "rows")
     panel = _panels(rows)

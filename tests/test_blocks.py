@@ -228,3 +228,24 @@ def test_rounds_do_not_grow_with_the_order(spark, monkeypatch, uplo):
     x = S.trsv(sparse(spark, a), vec(spark, b), uplo, order=2)
     assert sum(1 for s in seen if s["settled"]) == 3
     assert np.allclose(dense_vec(x, 80), np.linalg.solve(a, b))
+
+
+@pytest.mark.parametrize("ta, tb", [("N", "T"), ("T", "N")])
+def test_products_over_a_short_inner_index(spark, rows, monkeypatch, ta, tb):
+    """The same rows as the coordinate form, and no part of the product in an exchange."""
+    monkeypatch.setattr(B, "EDGE", 2)
+    shape = (23, 5) if ta == "N" else (5, 23)
+    a, b, c = holes(shape), holes(shape), holes((23, 23), 0.1)
+    args = (sparse(spark, a), sparse(spark, b), sparse(spark, c), 2.0, -1.0, ta, tb)
+    got = M.gemm(*args, tile=3, short=True)
+    assert rows(got) == rows(M.gemm(*args))
+    top = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in top and "Repartition" not in top[: top.index("MapInArrow")]
+    assert rows(M.gemm(*args[:2], alpha=0.5, ta=ta, tb=tb, tile=3, short=True)) == rows(M.gemm(*args[:2], alpha=0.5, ta=ta, tb=tb))
+    assert M.gemm(args[0].limit(0), *args[1:2], ta=ta, tb=tb, tile=3, short=True).collect() == []
+
+
+def test_right_hand_sides_without_a_place(spark, rows):
+    a = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0)], "i long, j long, v double")
+    b = spark.createDataFrame([(0, 6.0), (None, 2.0)], "k long, v double")
+    assert rows(S.trsv(a, b, "L")) == [(0, 3.0)]
