@@ -42,10 +42,14 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def has_odd_break(text: Column) -> Column:
+    """Whether something else than a line feed ends a line."""
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in ODD_BREAKS])
+
+
 def _uniform(text: Column) -> Column:
     """Line feeds as the only line ends. Most texts have no others and skip the pattern."""
-    odd = reduce(lambda a, b: a | b, [text.contains(c) for c in ODD_BREAKS])
-    return F.when(odd, F.regexp_replace(text, OTHER_BREAKS, "\n")).otherwise(text)
+    return F.when(has_odd_break(text), F.regexp_replace(text, OTHER_BREAKS, "\n")).otherwise(text)
 
 
 def _chomped(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrecon.functions.text import bound, lines_of, strip_ws
+from sparkrecon.functions.text import OTHER_BREAKS, bound, has_odd_break, lines_of, strip_ws
 from sparkrecon.plans.joins import lookup_join
 
 
@@ -28,18 +28,20 @@ def _split_lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     reader = spark.read.format("text").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = F.make_valid_utf8(F.col("value"))
-    # line ends that the text source does not know; a blank line is a line
-    lines = F.when(text == "", F.array(F.lit(""))).otherwise(lines_of(text))
-    return reader.load(path).select(
+    # the text source cuts at line feeds and carriage returns; few lines hold other line ends, and only they are cut
+    # again. A blank line is a line. No lambda here: Spark compiles none, and this runs once per line.
+    uniform = F.regexp_replace(F.regexp_replace("text", OTHER_BREAKS, "\n"), r"\n\z", "")
+    lines = F.when(has_odd_break(F.col("text")), F.split(uniform, "\n")).otherwise(F.array("text"))
+    found = reader.load(path).select(
         F.col("_metadata.file_path").alias("doc"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.explode(lines).alias("line"),
+        F.make_valid_utf8(F.col("value")).alias("text"),
     )
+    return found.select("doc", "block", F.explode(lines).alias("line"))
 
 
-def _numbered(rows: DataFrame, whole: Column, bad: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows with their place in ``file``, and one row per file: ``(file, void)``.
+def _numbered(rows: DataFrame, whole: Column, bad: Column) -> DataFrame:
+    """Rows with ``pos``, their place in ``file`` from 0, and ``void``: whether ``file`` has a bad row.
 
     ``rows`` come straight from the reader. A row's number in its split is a difference of increasing ids; splits, of
     which there is one per some megabytes, add up what lies before them. No group of lines is gathered or sorted: lines
@@ -50,7 +52,9 @@ def _numbered(rows: DataFrame, whole: Column, bad: Column) -> tuple[DataFrame, D
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n"), F.max(bad).alias("bad")
     )
     splits = splits.withColumn("file", whole)
-    before = Window.partitionBy("file").orderBy("doc", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # files of one text stand in the order of their names, those of one job by task and number, of any length
+    number = [F.regexp_extract("doc", pattern, 1).try_cast("long") for pattern in (r"/part-(\d+)-[^/]*$", r"\.c(\d+)\.[^/]*$")]
+    before = Window.partitionBy("file").orderBy(*number, "doc", "block").rowsBetween(Window.unboundedPreceding, -1)
     places = splits.select(
         "doc",
         "block",
@@ -60,7 +64,7 @@ def _numbered(rows: DataFrame, whole: Column, bad: Column) -> tuple[DataFrame, D
         F.max("bad").over(Window.partitionBy("file")).alias("void"),
     )
     placed = marked.join(places, ["doc", "block"]).withColumn("pos", F.col("_before") + F.col("_id") - F.col("_first"))
-    return placed.drop("_id", "_first", "_before"), places.select("file", "void").distinct()
+    return placed.drop("_id", "_first", "_before")
 
 
 def read_lines(spark: SparkSession, path: str, glob: str | None = None, by_folder: bool = False) -> DataFrame:
@@ -70,7 +74,7 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None, by_folde
     ``by_folder`` the files of a folder, in the order of their names, are one text, and ``doc`` is the folder.
     """
     whole = F.regexp_replace("doc", "/[^/]*$", "") if by_folder else F.col("doc")
-    placed, _ = _numbered(_split_lines(spark, path, glob), whole, F.lit(False))
+    placed = _numbered(_split_lines(spark, path, glob), whole, F.lit(False))
     return placed.select(F.col("file").alias("doc"), (F.col("pos") + 1).alias("ln"), "line")
 
 
@@ -82,14 +86,14 @@ def read_values(spark: SparkSession, path: str, glob: str | None = None) -> Data
     their folder: positions run on, and a bad line voids all of them. A file of any size is read in splits by many
     tasks.
     """
-    lines = _split_lines(spark, path, glob).select("doc", "block", strip_ws(F.col("line")).alias("line"))
-    values = lines.filter("line <> ''").select("doc", "block", F.col("line").try_cast("double").alias("v"))
-    whole = F.regexp_replace("doc", r"/piece=[0-9]{6}-[0-9]{8}/[^/]*$", "")
-    placed, files = _numbered(values, whole, F.col("v").isNull())
-    nothing = files.filter("void").select(
-        "file", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("double").alias("v")
-    )
-    return placed.filter(~F.col("void")).select("file", "pos", "v").unionByName(nothing)
+    # a cast trims by itself, so only what is no number is looked at again to tell blank lines
+    numbers = _split_lines(spark, path, glob).withColumn("v", F.col("line").try_cast("double"))
+    values = numbers.filter(F.col("v").isNotNull() | F.col("line").rlike(r"\S")).select("doc", "block", "v")
+    whole = F.regexp_replace("doc", r"/piece=(?:all|cut|[0-9]{6}-[0-9]{8})/[^/]*$", "")
+    placed = _numbered(values, whole, F.col("v").isNull())
+    # a void file has a first value or bad line, which becomes its row
+    kept = placed.filter(~F.col("void") | (F.col("pos") == 0))
+    return kept.select("file", *[F.when(~F.col("void"), F.col(c)).alias(c) for c in ("pos", "v")])
 
 
 def parse_values(files: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
@@ -109,21 +113,25 @@ def parse_values(files: DataFrame, key: str, text: str, keep: list[str] | None =
 def write_values(df: DataFrame, path: str, keys: list[str], lines_per_file: int = 5_000_000) -> None:
     """Write ``(keys, arg_ord, pos, v)`` as text, one number per line, below ``key=`` folders.
 
-    Lines are in argument order, then position: one file per case. A case with an argument
-    longer than ``lines_per_file`` becomes one file per argument and block of positions,
-    each written by its own task; folder names sort into line order, and reading joins them again.
+    Lines are in argument order, then position, at most ``lines_per_file`` in a file: a case of no more lines is one
+    file. A case with an argument longer than that is dealt over tasks by argument and block of
+    positions. All files of a case lie in one folder and are numbered in line order by task and file; reading joins them
+    again. Rows are dealt by ranges, so a task has few cases, and it puts its own files in place.
     """
     block = F.floor(F.col("pos") / F.lit(lines_per_file))
     long_cases = (
         df.filter(F.col("pos") >= lines_per_file).select(*keys).distinct().withColumn("_long", F.lit(True))
     )
-    piece = F.when(F.col("_long"), F.format_string("%06d-%08d", F.col("arg_ord").cast("long"), block)).otherwise("all")
-    placed = lookup_join(df, long_cases, keys, "left").withColumn("piece", piece)
+    place = F.when(F.col("_long"), F.struct(F.col("arg_ord").cast("long").alias("arg_ord"), block.alias("block")))
+    piece = F.when(F.col("_long"), "cut").otherwise("all")
+    placed = lookup_join(df, long_cases, keys, "left").withColumns({"piece": piece, "_place": place})
     (
-        placed.repartition(*keys, "piece")
+        placed.repartitionByRange(*keys, "_place")
         .sortWithinPartitions(*keys, "piece", "arg_ord", "pos")
         .select(*keys, "piece", F.col("v").cast("string").alias("value"))
-        .write.partitionBy(*keys, "piece")
+        .write.option("maxRecordsPerFile", lines_per_file)
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        .partitionBy(*keys, "piece")
         .text(path)
     )
 

@@ -301,6 +301,35 @@ def test_value_files(spark, rows):
         assert back.select("file").distinct().count() == 2
 
 
+def test_long_cases_fill_their_files_and_keep_their_order(spark):
+    # 3 arguments of 1,500 sparse positions in files of 2 lines: over 999 files a task
+    data = [(case, arg, 7 * p, float(10_000 * arg + p)) for case in ("a b", "c=1") for arg in range(3) for p in range(1_500)]
+    data += [("s", 1, 0, 5.0), ("s", 0, 1, 4.0), ("s", 0, 0, 3.0)]
+    df = spark.createDataFrame(data, "case string, arg_ord int, pos long, v double").repartition(5)
+    path = scratch_path(spark, "values")
+    IO.write_values(df, path, ["case"], lines_per_file=2)
+    sizes = [r["count"] for r in spark.read.text(path).groupBy("case", F.input_file_name()).count().collect()]
+    # no file has more lines than asked for, and only the last file of a task may have fewer
+    assert max(sizes) == 2 and sizes.count(1) <= 5
+    back = IO.read_values(spark, path, "*.txt").withColumn("case", F.regexp_extract("file", "case=([^/]+)", 1))
+    got = {r["case"]: r["x"] for r in back.groupBy("case").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("x")).collect()}
+    for name in got:
+        assert [x["pos"] for x in got[name]] == list(range(len(got[name])))
+    want = [10_000.0 * arg + p for arg in range(3) for p in range(1_500)]
+    values = sorted([x["v"] for x in got[name]] for name in got)
+    assert values == sorted([want, want, [3.0, 4.0, 5.0]])
+    scans = back._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FileScan text")
+    assert scans == 2
+
+
+def test_value_lines_with_odd_white_space(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b" 1.5\t\r\n\x0b \n\n2\x0c3\x0b\x0b 4 \n\x1e\xc2\x855\n inf \n")
+    (tmp_path / "b.txt").write_bytes(b"1\n\xc2\xa0\n2\n")
+    (tmp_path / "c.txt").write_bytes(b"\n \n")
+    got = sorted((r["file"][-5:], -1 if r["pos"] is None else r["pos"], r["v"]) for r in IO.read_values(spark, str(tmp_path)).collect())
+    assert got == [*[("a.txt", k, v) for k, v in enumerate([1.5, 2.0, 3.0, 4.0, 5.0, float("inf")])], ("b.txt", -1, None)]
+
+
 def test_a_bad_line_voids_every_piece_of_its_case(spark):
     data = [("c1", 0, p, float(p)) for p in range(7)] + [("c2", 0, p, float(p)) for p in range(4)]
     df = spark.createDataFrame(data, "case string, arg_ord int, pos long, v double")
