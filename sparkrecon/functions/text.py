@@ -29,7 +29,12 @@ GENERIC_TAG = "numeric_semantics"
 MAX_TAGS = 3
 
 STEP = 64
-FLAT = r"^[^()]*+(?:\([^()]*+\)[^()]*+)*+$"
+# A pair of parentheses with at most DEPTH - 1 further ones inside each other.
+DEPTH = 5
+PAIR = r"\([^()]*+\)"
+for _ in range(DEPTH - 1):
+    PAIR = rf"\((?:[^()]++|{PAIR})*+\)"
+
 
 
 def strip_ws(c: Column) -> Column:
@@ -71,8 +76,9 @@ def lines_of(text: Column) -> Column:
 def split_outside(text: Column, mark: str = ",") -> Column:
     """Parts of ``text`` between the ``mark`` characters that stand outside all parentheses.
 
-    Every part between two marks is closed or carried on by its own count of parentheses, so nesting may be of
-    any depth; a text that closes more than it opens, or opens more, is not cut while the count is off zero.
+    A text that closes more than it opens, or opens more, is not cut while the count of parentheses is off zero. Nesting may
+    be of any depth: up to ``DEPTH`` pairs a pattern finds the parts, which Spark compiles; beyond, or with a stray closing
+    one, every part between two marks is closed or carried on by its own count of parentheses.
     """
 
     def extra(x: Column) -> Column:
@@ -110,8 +116,13 @@ def split_outside(text: Column, mark: str = ",") -> Column:
         F.split(text, f"[{mark}]"),
         lambda pieces: bound(closed(pieces), lambda ends: F.transform(ends, lambda e, k: part(pieces, ends, e, k))),
     )
-    # without nesting a mark is inside when the next parenthesis closes
-    return F.when(text.rlike(FLAT), F.split(text, rf"[{mark}](?![^()]*+\))")).otherwise(nested)
+    # a parenthesis that no pair starts with stays open, so the rest of the text is one part
+    part_of_pairs = rf"(?s)[{mark}]((?:[^{mark}()]++|{PAIR})*+(?:\(.*+)?)"
+    parts = F.regexp_extract_all(F.concat(F.lit(mark), text), F.lit(part_of_pairs), F.lit(1))
+    left = F.regexp_replace(text, "[^()]+", "")
+    for _ in range(DEPTH):
+        left = F.replace(left, F.lit("()"), F.lit(""))
+    return F.when(~left.contains(")"), parts).otherwise(nested)
 
 
 def truncate_ellipsis(c: Column, n: int) -> Column:

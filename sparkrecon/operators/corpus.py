@@ -200,39 +200,70 @@ def declarations(headed: DataFrame) -> DataFrame:
 
     A later declaration replaces an earlier one; an argument without any is a scalar of
     type DOUBLE PRECISION. Items end at commas outside all parentheses; the dimensions of an item reach to its
-    first closing parenthesis. Declared items of arguments are shuffled by unit and argument, not whole lines.
+    first closing parenthesis. Declared items of arguments are shuffled by unit and argument, not whole lines. A unit is read
+    once: the names of its arguments go along as one more line.
     """
-    code = F.upper(strip_ws(F.substring_index("line", "!", 1)))
+    # lines hold no other white space: the rest of it ends them
+    trimmed = lambda c: F.btrim(c, F.lit(" \t"))
+    code = F.upper(trimmed(F.substring_index("line", "!", 1)))
     ftype = F.concat(F.regexp_extract("_code", DECLARATION, 1), F.regexp_extract("_code", DECLARATION, 2))
     upper_args = F.transform("args", lambda a: F.upper(a))
-    declared = (
-        headed.select(*UNIT, upper_args.alias("_args"), F.posexplode(lines_of(F.col("source"))).alias("pos", "line"))
-        .filter(~is_comment(F.col("line")))
-        .select(*UNIT, "_args", "pos", code.alias("_code"))
-        .filter(F.col("_code").rlike(DECLARATION))
+    firsts = F.transform("_args", lambda a: F.left(a, F.lit(1)))
+    heads = F.transform("_args", lambda a: F.regexp_extract(a, r"^\w*", 0))
+    none = F.array().cast("array<string>")
+    named = headed.select(*UNIT, "source", upper_args.alias("_args"))
+    lines = named.select(
+        *UNIT,
+        "_args",
+        heads.alias("_heads"),
+        firsts.alias("_firsts"),
+        # line -1 is null and stands for the arguments themselves
+        F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(lines_of(F.col("source")), none))).alias(
+            "pos", "line"
+        ),
+    )
+    own = F.col("line").isNull()
+    first = F.left(F.ltrim("_item"), F.lit(1))
+    begins = F.array_contains("_firsts", first) | (first < "!")
+    declaring = ~is_comment(F.col("line")) & F.col("_code").rlike(DECLARATION)
+    found = (
+        lines.withColumn("_code", code)
+        .filter(own | declaring)
         .select(
             *UNIT,
             "_args",
+            "_heads",
+            "_firsts",
             "pos",
+            own.alias("_own"),
             F.regexp_replace(ftype, r"\s+", " ").alias("ftype"),
             F.regexp_extract("_code", DECLARATION, 3).alias("_items"),
         )
         .select(
             *UNIT,
             "_args",
+            "_heads",
+            "_firsts",
             "pos",
+            "_own",
             "ftype",
-            # never empty; the outer form keeps Spark from cutting every line twice to test for that
-            F.posexplode_outer(split_outside(F.col("_items"))).alias("item_ord", "_item"),
+            # an outer form keeps Spark from cutting every line twice to test whether there is an item
+            F.posexplode_outer(F.when(F.col("_own"), F.col("_args")).otherwise(split_outside(F.col("_items")))).alias(
+                "item_ord", "_item"
+            ),
         )
-        .withColumn("_item", strip_ws(F.col("_item")))
-        .filter("_item <> ''")
+        # an item that is no argument mostly shows by its first letter or word; only the others are looked at closely
+        .filter(F.col("_own") | (begins & F.array_contains("_heads", F.regexp_extract("_item", r"^\s*(\w*)", 1))))
+        .withColumn("_item", F.when(F.col("_own"), F.col("_item")).otherwise(trimmed(F.col("_item"))))
+        .filter("_own or _item <> ''")
         .select(
             *UNIT,
             "_args",
             "pos",
             "item_ord",
+            "_own",
             "ftype",
+            "_item",
             F.regexp_extract("_item", r"^(\w+)\s*\([^)]+\)", 1).alias("_array"),
             F.regexp_extract("_item", r"^\w+\s*\(([^)]+)\)", 1).alias("_dims"),
             F.split("_item", r"\s+")[0].alias("_scalar"),
@@ -240,23 +271,31 @@ def declarations(headed: DataFrame) -> DataFrame:
         .select(
             *UNIT,
             "_args",
-            F.when(F.col("_array") != "", F.col("_array")).otherwise(F.col("_scalar")).alias("arg"),
-            F.struct(
-                F.col("pos"),
-                F.col("item_ord"),
-                F.col("ftype"),
-                F.when(F.col("_array") != "", F.transform(F.split("_dims", ","), strip_ws))
-                .otherwise(F.array().cast("array<string>"))
-                .alias("dims"),
+            F.when(F.col("_own"), F.col("_item"))
+            .when(F.col("_array") != "", F.col("_array"))
+            .otherwise(F.col("_scalar"))
+            .alias("arg"),
+            F.when(F.col("_own"), F.col("item_ord")).alias("_ord"),
+            F.when(
+                ~F.col("_own"),
+                F.struct(
+                    F.col("pos"),
+                    F.col("item_ord"),
+                    F.col("ftype"),
+                    F.when(F.col("_array") != "", F.transform(F.split("_dims", ","), strip_ws))
+                    .otherwise(F.array().cast("array<string>"))
+                    .alias("dims"),
+                ),
             ).alias("_decl"),
         )
-        # only arguments are shuffled, however much a unit declares
-        .filter(F.array_contains("_args", F.col("arg")))
-        .drop("_args")
+        # only arguments are shuffled, however much a unit declares; a unit without a name declares nothing
+        .filter(
+            F.col("_ord").isNotNull()
+            | (F.array_contains("_args", F.col("arg")) & F.col("doc").isNotNull() & F.col("unit").isNotNull())
+        )
     )
-    last = declared.groupBy(*UNIT, "arg").agg(F.max("_decl").alias("_decl"))
-    wanted = headed.select(*UNIT, F.posexplode(upper_args).alias("arg_ord", "arg"))
-    return wanted.join(last, [*UNIT, "arg"], "left").select(
+    last = found.groupBy(*UNIT, "arg").agg(F.max("_decl").alias("_decl"), F.collect_list("_ord").alias("_ords"))
+    return last.select(*UNIT, "arg", "_decl", F.explode("_ords").alias("arg_ord")).select(
         *UNIT,
         "arg_ord",
         "arg",

@@ -140,10 +140,7 @@ INDENTS = ["      ", "\t", "  \t "]
 def declared_texts(t):
     def item(w, k):
         shape = F.when(F.length(w) == 11, 5).otherwise((F.length(w) + k) % 5)
-        made = F.lit(SHAPES[5])
-        for n, form in enumerate(SHAPES[:5]):
-            made = F.when(shape == n, form).otherwise(made)
-        return F.replace(made, F.lit("{w}"), w)
+        return F.concat(w, F.element_at(F.array(*[F.lit(s.removeprefix("{w}")) for s in SHAPES]), shape + 1))
 
     def line(text, n):
         names = F.regexp_extract_all(text, F.lit("[a-z]{2,}"), F.lit(0))

@@ -425,6 +425,41 @@ def test_commas_inside_parentheses_do_not_cut(spark):
         assert r["s"] == _split_by_hand(r["t"]), r["t"]
 
 
+def test_deep_and_open_parentheses_are_cut_in_linear_time(spark):
+    deep = "A" + "(" * 9 + "1,2" + ")" * 9 + ",B"
+    texts = [deep, "A(((((1,2))))),B", "A((((((1,2)))))),B", "A((1),B(2,3),C,D", "A,(,B),(C,(D),E", "A)B,C(D,E)", "(A,B),C),D,(E"]
+    texts += [",".join(f"X{i}((1)" for i in range(400)) + ",Y(" * 20_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", split_outside(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert r["s"] == _split_by_hand(r["t"]), r["t"][:50]
+
+
+def test_declarations_read_a_unit_once(spark):
+    rows = [
+        # an argument twice, items after tabs, names that only begin like an argument, a scalar with a mark
+        ("a", 0, "      INTEGER N,\tXY (2) , X(3),N2\n\tREAL X/1/ ,N", ["n", "X", "n", "X/1/"], False),
+        ("a", 0, "      LOGICAL n", ["N"], False),
+        (None, 0, "      INTEGER N", ["N"], False),
+        ("b", 1, None, ["K"], False),
+        ("c", 0, "      INTEGER N", None, False),
+        ("d", 0, "      INTEGER N", [], False),
+    ]
+    headed = spark.createDataFrame(rows, "doc string, unit int, source string, args array<string>, whole boolean")
+    found = corpus.declarations(headed)
+    got = sorted(((r["doc"] or "", r["unit"], r["arg_ord"], r["arg"], r["ftype"], r["dims"]) for r in found.collect()), key=repr)
+    assert got == sorted(
+        [
+            ("a", 0, 0, "N", "REAL", []), ("a", 0, 0, "N", "REAL", []), ("a", 0, 2, "N", "REAL", []),
+            ("a", 0, 1, "X", "INTEGER", ["3"]), ("a", 0, 3, "X/1/", "REAL", []),
+            # a unit without a name takes no declarations
+            ("", 0, 0, "N", "DOUBLE PRECISION", []), ("b", 1, 0, "K", "DOUBLE PRECISION", []),
+        ],
+        key=repr,
+    )
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan") == 1 and "Join" not in plan
+
+
 def test_declarations_with_nested_dimensions(spark):
     text = (
         "      SUBROUTINE T(N, X, Y, Z, L, W)\n\tINTEGER N , X ( MAX(1,N) , * ),Y\n      REAL Z((2,3),A(4)), Y(N,\n"
