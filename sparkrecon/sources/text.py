@@ -52,8 +52,9 @@ def _numbered(rows: DataFrame, whole: Column, bad: Column) -> DataFrame:
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n"), F.max(bad).alias("bad")
     )
     splits = splits.withColumn("file", whole)
-    # files of one text stand in the order of their names, those of one job by task and number, of any length
-    number = [F.regexp_extract("doc", pattern, 1).try_cast("long") for pattern in (r"/part-(\d+)-[^/]*$", r"\.c(\d+)\.[^/]*$")]
+    # files of one text stand in the order of their names; those of write_values by task and number, which may be of any length
+    ours = "/piece=(?:all|cut)/"
+    number = [F.regexp_extract("doc", ours + p, 1).try_cast("long") for p in (r"part-(\d+)-[^/]*$", r"[^/]*\.c(\d+)\.[^/]*$")]
     before = Window.partitionBy("file").orderBy(*number, "doc", "block").rowsBetween(Window.unboundedPreceding, -1)
     places = splits.select(
         "doc",

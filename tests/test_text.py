@@ -322,6 +322,13 @@ def test_long_cases_fill_their_files_and_keep_their_order(spark):
     assert scans == 2
 
 
+def test_files_of_a_folder_stand_in_the_order_of_their_names(spark, tmp_path):
+    for name in ("part-2-x.c10.txt", "part-10-x.c2.txt", "part-2-x.c9.txt", "z.txt", "a.txt"):
+        (tmp_path / name).write_text(name + "\n")
+    got = [r["line"] for r in IO.read_lines(spark, str(tmp_path), by_folder=True).orderBy("ln").collect()]
+    assert got == ["a.txt", "part-10-x.c2.txt", "part-2-x.c10.txt", "part-2-x.c9.txt", "z.txt"]
+
+
 def test_value_lines_with_odd_white_space(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b" 1.5\t\r\n\x0b \n\n2\x0c3\x0b\x0b 4 \n\x1e\xc2\x855\n inf \n")
     (tmp_path / "b.txt").write_bytes(b"1\n\xc2\xa0\n2\n")
