@@ -12,7 +12,8 @@ sets link when their Jaccard similarity is at least 3/4, tested exactly on whole
    that allows links with nothing and goes. Per shingle left the least id is the hub, and everyone who
    has it joins the hub's group: each linked pair meets in a group. A shingle whose counter is at most
    ``COLD`` has at most that many holders, so a window finds its hub; for others the hub is a
-   partial aggregate joined back.
+   partial aggregate joined back. A set leaves the groups through which it shares so few shingles that it meets
+   all it links to in others.
 4. A group is a trie over ordered sets. A probe walks it sharing the overlap of common paths, and a
    subtree goes when the remaining lengths cannot reach the needed overlap or all of it
    is already connected to the probe. Groups above ``GROUP`` are dealt into blocks that all hold the
@@ -29,10 +30,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkrecon.llm.components import components
+from sparkrecon.llm.id_table import likely
 from sparkrecon.llm.words import Texts, chunks, column, mix, ngrams, texts_of
 from sparkrecon.plans.lineage import drop_scratch, scratch_path
 
@@ -345,19 +347,38 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
 def hub_groups(heads: DataFrame) -> DataFrame:
     """Distinct hub, doc pairs: doc shares a prefix shingle with hub, the least id that has it."""
+    spark = heads.sparkSession
     rows = heads.select(F.explode("head").alias("key"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"))
-    path = scratch_path(heads.sparkSession, "shared")
-    shared = _stored(shared_keys(rows).drop("hub"), path)
-    # the smallest partner has ceil(3n/4) shingles; which has to share that much
-    partner = F.floor((3 * F.col("n") + 3) / 4)
-    enough = F.col("c") >= 1 + F.floor(partner / EXTRA)
-    able = shared.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("c")).filter(enough)
-    left = shared.join(able.select("doc").distinct(), "doc", "left_semi").select("key", "doc")
-    groups = _stored(shared_keys(left).select("hub", "doc").distinct(), scratch_path(heads.sparkSession, "hubs"))
-    drop_scratch(heads.sparkSession, path)
+    paths = {label: scratch_path(spark, label) for label in ("shared", "met")}
+    shared = _stored(shared_keys(rows).drop("hub"), paths["shared"])
+    able = shared.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > _spare())
+    left = shared.join(able, ["doc", "n"], "left_semi").select("key", "doc", "n")
+    met = _stored(needed_hubs(shared_keys(left)), paths["met"])
+    # a hub that nobody else needs has no group
+    others = met.filter("hub <> doc").select("hub").distinct()
+    groups = _stored(met.join(others, "hub", "left_semi"), scratch_path(spark, "hubs"))
+    drop_scratch(spark, *paths.values())
     return groups
 
 
+def _spare() -> Column:
+    """One shingle less than a set of ``n`` and any it links to share: the smallest partner has ceil(3n/4) shingles."""
+    return F.floor(F.floor((3 * F.col("n") + 3) / 4) / EXTRA)
+
+
+def needed_hubs(rows: DataFrame) -> DataFrame:
+    """Distinct hub, doc pairs of ``rows`` (key, doc, n, hub), without hubs through which a doc shares few shingles.
+
+    A doc leaves its lightest groups as long as the keys it has there are no more than half of what it could spare. Both
+    sets of a linked pair then lose fewer keys than they share, so they still meet in a group. A hub stays in its own.
+    """
+    met = rows.groupBy("doc", "n", "hub").agg(F.count(F.lit(1)).alias("c"))
+    own = F.col("doc") == F.col("hub")
+    lightest = Window.partitionBy("doc", "n").orderBy(own, "c", "hub").rowsBetween(Window.unboundedPreceding, 0)
+    left = met.withColumn("least", F.sum("c").over(lightest))
+    return left.filter(own | (2 * F.col("least") > _spare())).select("hub", "doc").distinct()
+
+
 def _stored(df: DataFrame, path: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     df.write.parquet(path)
@@ -420,7 +441,8 @@ def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = trie.stars()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more = asked.unionByName(held).join(sets, "doc").groupBy("hub", "share", "at").applyInArrow(second, "a long, b long")
+    again = dealt.join(counted, "hub", "left_semi").select(F.col("doc").alias("id")).distinct()
+    more = asked.unionByName(held).join(likely(sets, "doc", again), "doc").groupBy("hub", "share", "at").applyInArrow(second, "a long, b long")
     return links.unionByName(more)
 
 
@@ -450,7 +472,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     members = groups.select(F.col("doc").alias("doc_id")).distinct()
     # merged at every size: a list of members grows with the table and is not to be broadcast
-    texts = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id", "left_semi")
+    some = likely(docs.select("doc_id", "text"), "doc_id", members.select(F.col("doc_id").alias("id")))
+    texts = some.join(members.hint("merge"), "doc_id", "left_semi")
     sets = _stored(texts.mapInArrow(full, "doc long, keys binary"), paths["members"])
     links = _stored(group_links(groups, sets), paths["seated"])
     drop_scratch(spark, paths["members"])

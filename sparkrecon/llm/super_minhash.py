@@ -27,14 +27,13 @@ each. Only ``doc_id`` and ``text`` are read, so further columns change nothing,
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrecon.llm.components import components
+from sparkrecon.llm.id_table import id_table, marked
 from sparkrecon.llm.ngram_join import shingles
 from sparkrecon.llm.words import Texts, chunks, column, mix, row_of, texts_of
 from sparkrecon.plans.lineage import scratch_path
@@ -47,7 +46,6 @@ GROUP = 512
 GROUP_SHINGLES = 1_000_000
 #: Permutation cells held at once.
 CELLS = 1 << 22
-LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 26, 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -164,56 +162,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def id_filter(ids: DataFrame, bits: int):
-    """A bit per hash of ``id``, set when some row has it; packed bytes, made in slices."""
-    size = 1 << bits
-    width = min(size, 1 << SLICE_BITS) // 8
-
-    def packed(slices: dict[int, np.ndarray]) -> pa.RecordBatch:
-        blobs = [zlib.compress(v.tobytes(), 1) for v in slices.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int32()), pa.array(blobs, pa.binary())], ["s", "c"])
-
-    def mark(batches):
-        seen = np.zeros(size, dtype=bool)
-        for batch in batches:
-            seen[_place(column(batch, "id"), bits)] = True
-        table = np.packbits(seen)
-        yield packed({i // width: table[i : i + width] for i in range(0, size // 8, width)})
-
-    def either(batches):
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, c in zip(column(batch, "s").to_pylist(), column(batch, "c").to_pylist()):
-                values = np.frombuffer(zlib.decompress(c), np.uint8)
-                found[s] = found[s] | values if s in found else values
-        yield packed(found)
-
-    parts = ids.mapInArrow(mark, "s int, c binary").repartition(size // 8 // width, "s").mapInArrow(either, "s int, c binary")
-    rows = {r["s"]: r["c"] for r in parts.collect()}  # size / 2 ** SLICE_BITS rows
-    table = np.zeros(size // 8, np.uint8)
-    for s, c in rows.items():
-        table[s * width : (s + 1) * width] = np.frombuffer(zlib.decompress(c), np.uint8)
-    return table
-
-
-def _place(ids: pa.Array, bits: int) -> np.ndarray:
-    h = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ _SEED)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and its sorted shingle hashes as bytes, for ``wanted`` (node, rep, h1, h2, n).
 
     A fixed-size bit table of ids keeps most other sets from being moved; the join decides.
     """
-    bits = min(max((16 * wanted.count()).bit_length(), LEAST_BITS), MOST_BITS)
-    table = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.col("rep").alias("id")), bits))
+    bits, table = id_table(wanted.select(F.col("rep").alias("id")))
 
     def run(batches):
         for batch in batches:
-            place = _place(column(batch, "doc_id"), bits)
-            hit = (table.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
-            for piece in chunks(batch.filter(pa.array(hit.astype(bool)))):
+            for piece in chunks(batch.filter(marked(column(batch, "doc_id"), table.value, bits))):
                 grams, at = set_hashes(texts_of(column(piece, "text")))
                 blobs = [grams[a:b].astype("<u8").tobytes() for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays(

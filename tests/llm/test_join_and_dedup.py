@@ -154,3 +154,20 @@ def test_probes_of_a_frozen_trie_equal_single_tests():
     for a in range(60):
         for b in range(60):
             assert (find(a) == find(b)) == (trie.find(a) == trie.find(b))
+
+
+def test_a_long_text_leaves_groups_of_short_passages(spark):
+    """Document 100 links with 101 and shares one shingle with each of six other linked pairs."""
+    n, keys = 400, lambda doc: [1000 * doc + k for k in range(120)]
+    heads = [(doc, n, keys(doc - doc % 2)) for doc in [*range(12), 100, 101]]
+    heads[-2] = (100, n, keys(100) + [1000 * doc for doc in range(0, 12, 2)])
+    groups = {tuple(r) for r in ngram_join.hub_groups(spark.createDataFrame(heads, "doc_id long, n long, head array<long>")).collect()}
+    assert groups == {(doc - doc % 2, doc) for doc in [*range(12), 100, 101]}
+
+
+def test_rows_of_other_ids_are_not_moved(spark):
+    from sparkrecon.llm.id_table import likely
+
+    ids = spark.range(0, 3000, 100)
+    left = {r["doc"] for r in likely(spark.range(3000).withColumnRenamed("id", "doc"), "doc", ids).collect()}
+    assert set(range(0, 3000, 100)) <= left and len(left) < 300
