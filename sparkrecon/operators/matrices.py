@@ -15,6 +15,7 @@ from sparkrecon.operators.vectors import _col
 from sparkrecon.plans.joins import grid_join, skew_join
 
 TILE = 256
+ROWS_PER_TASK = 500_000
 
 
 def matrix(df: DataFrame, i: str | Column, j: str | Column, v: str | Column) -> DataFrame:
@@ -123,17 +124,22 @@ def gemm(
     return _add(parts, ["i", "j"])
 
 
-def keyed_gemv(cases: DataFrame, a: DataFrame, x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+def keyed_gemv(
+    cases: DataFrame, a: DataFrame, x: DataFrame, y: DataFrame, keys: list[str], tasks: int | None = None
+) -> DataFrame:
     """alpha*op(A)*x + beta*y for many cases in one plan, as ``(keys, k, v)``.
 
     ``cases`` has one row per case: keys, alpha, beta, trans. The others are tables of matrices and
-    vectors with the same keys. A case with alpha zero does not read A, with beta zero not y.
+    vectors with the same keys. A case with alpha zero does not read A, with beta zero not y. ``tasks`` deals the factors over
+    so many tasks (:func:`tasks_for`): adaptive execution merges by bytes shuffled, and a task sorts and adds up many times those.
     """
     scale = cases.filter("alpha <> 0").select(*keys, "alpha", "trans")
     rows = a.join(scale, keys).select(
         *keys, *_flagged("trans", "k", "j"), (F.col("alpha") * F.col("v")).alias("v")
     )
-    products = rows.join(x.select(*keys, F.col("k").alias("j"), F.col("v").alias("w")), [*keys, "j"])
+    vec = x.select(*keys, F.col("k").alias("j"), F.col("v").alias("w"))
+    on = [*keys, "j"]
+    products = _dealt(rows, tasks, on).join(_dealt(vec, tasks, on), on)
     kept = y.join(cases.filter("beta <> 0").select(*keys, "beta"), keys)
     parts = [
         products.select(*keys, "k", (F.col("v") * F.col("w")).alias("v")),
@@ -142,24 +148,37 @@ def keyed_gemv(cases: DataFrame, a: DataFrame, x: DataFrame, y: DataFrame, keys:
     return _add(parts, [*keys, "k"])
 
 
-def keyed_gemm(cases: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame, keys: list[str]) -> DataFrame:
+def keyed_gemm(
+    cases: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame, keys: list[str], tasks: int | None = None
+) -> DataFrame:
     """alpha*op(A)*op(B) + beta*C for many cases in one plan, as ``(keys, i, j, v)``.
 
-    ``cases`` has one row per case: keys, alpha, beta, ta, tb; see :func:`keyed_gemv`.
+    ``cases`` has one row per case: keys, alpha, beta, ta, tb; see :func:`keyed_gemv`, also for ``tasks``.
     """
     scale = cases.filter("alpha <> 0")
     lefts = a.join(scale.select(*keys, "alpha", "ta"), keys).select(
         *keys, *_flagged("ta", "i", "k"), (F.col("alpha") * F.col("v")).alias("va")
     )
     rights = b.join(scale.select(*keys, "tb"), keys).select(*keys, *_flagged("tb", "k", "j"), F.col("v").alias("vb"))
+    on = [*keys, "k"]
+    met = _dealt(lefts, tasks, on).join(_dealt(rights, tasks, on), on)
     kept = c.join(cases.filter("beta <> 0").select(*keys, "beta"), keys)
     parts = [
-        lefts.join(rights, [*keys, "k"]).select(*keys, "i", "j", (F.col("va") * F.col("vb")).alias("v")),
+        met.select(*keys, "i", "j", (F.col("va") * F.col("vb")).alias("v")),
         kept.select(*keys, "i", "j", (F.col("beta") * F.col("v")).alias("v")),
     ]
     return _add(parts, [*keys, "i", "j"])
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for a factor of ``rows`` entries, ``ROWS_PER_TASK`` each."""
+    return 1 + rows // ROWS_PER_TASK
+
+
+def _dealt(df: DataFrame, tasks: int | None, on: list[str]) -> DataFrame:
+    return df if tasks is None else df.repartition(tasks, *on)
+
+
 def _flagged(flag: str, row: str, col: str) -> list[Column]:
     """Row and column index of op(A), where the flag is a column: N, T or C in either case."""
     plain = F.upper(flag) == "N"

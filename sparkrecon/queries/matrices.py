@@ -172,7 +172,8 @@ def case_vector(t, position):
 def keyed_gemv(t):
     cases = case_table(t).withColumnRenamed("ta", "trans")
     a = case_matrix(t, "l_orderkey", "l_partkey", 3)
-    return M.keyed_gemv(cases, a, case_vector(t, "l_partkey"), case_vector(t, "l_orderkey"), ["g"])
+    x, y = case_vector(t, "l_partkey"), case_vector(t, "l_orderkey")
+    return M.keyed_gemv(cases, a, x, y, ["g"], M.tasks_for(t.lineitem.count()))
 
 
 @query(
@@ -186,7 +187,7 @@ def keyed_gemm(t):
     a = case_matrix(t, "l_orderkey", "l_partkey", 3)
     b = case_matrix(t, "l_partkey", "l_linenumber", 5)
     c = case_matrix(t, "l_orderkey", "l_linenumber", 0)
-    return M.keyed_gemm(case_table(t), a, b, c, ["g"])
+    return M.keyed_gemm(case_table(t), a, b, c, ["g"], M.tasks_for(t.lineitem.count()))
 
 
 @query("transpose", f"SELECT j AS i, i AS j, v FROM {ORDER_PART}")

@@ -223,3 +223,13 @@ def test_flat_arrays_shuffle_no_zeros(spark):
     assert got == {"a": ["5.0", *zero[1:]], "b": [*zero[1:], "7.0"], None: [*zero[:3], "1.0", *zero[4:]]}
     plan = flat._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Generate" not in plan
+
+
+def test_keyed_products_in_given_tasks(spark, rows):
+    """A task of a keyed product has at most so many rows of a factor, however large the tables are."""
+    a = spark.createDataFrame([(g, i, j, 1.0 + i * j) for g in range(5) for i in range(4) for j in range(4)], "g long, i long, j long, v double")
+    x = spark.createDataFrame([(g, k, 2.0 + k) for g in range(5) for k in range(4)], "g long, k long, v double")
+    cases = spark.createDataFrame([(g, g - 1.0, g - 2.0, "tN"[g % 2], "N", "C"[: g + 1]) for g in range(5)], "g long, alpha double, beta double, trans string, ta string, tb string")
+    assert rows(M.keyed_gemv(cases, a, x, x, ["g"], tasks=6)) == rows(M.keyed_gemv(cases, a, x, x, ["g"]))
+    assert rows(M.keyed_gemm(cases.replace("", "N"), a, a, a, ["g"], tasks=6)) == rows(M.keyed_gemm(cases.replace("", "N"), a, a, a, ["g"]))
+    assert M._dealt(a, M.tasks_for(100 * M.ROWS_PER_TASK), ["g", "j"]).rdd.getNumPartitions() == 101
