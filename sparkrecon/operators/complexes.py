@@ -149,17 +149,19 @@ def zgemm(
     hot_rows: int | None = None,
     tile: int | None = None,
     split: int = 1,
+    tasks: int | None = None,
 ) -> DataFrame:
     """alpha*op(A)*op(B) + beta*C. ``c`` is not read when beta is zero.
 
     Entries are joined on the inner index; ``hot_rows`` spreads inner indices with more rows over a grid. With ``tile`` the
-    product is the real tiled one of twice the size: re and im are neighbouring rows of a factor with real entries.
+    product is the real tiled one of twice the size: re and im are neighbouring rows of a factor with real entries. Its
+    tiles are then put together in ``tasks`` tasks (``matrices.tasks_for``), or as many as Spark decides.
     """
     parts = []
     if alpha != 0:
         left, right = op(a, ta), op(b, tb)
         if tile is not None:
-            product = _tiled(left, right, tile, split)
+            product = _tiled(left, right, tile, split, tasks)
         else:
             if hot_rows is not None:
                 left, right = _add([left], ["i", "j"]), _add([right], ["i", "j"])
@@ -178,17 +180,31 @@ def zgemm(
     return _add(parts, ["i", "j"])
 
 
-def _tiled(a: DataFrame, b: DataFrame, tile: int, split: int) -> DataFrame:
-    """A*B by one real product: [re -im; im re] per entry of A times [re; im] per entry of B."""
+def _tiled(a: DataFrame, b: DataFrame, tile: int, split: int, tasks: int | None) -> DataFrame:
+    """A*B by one real product: [re -im; im re] per entry of A times [re; im] per entry of B.
 
-    def cells(df: DataFrame, entries: list[tuple[Column, Column, Column]]) -> DataFrame:
-        packed = F.array(*[F.struct(i.alias("i"), j.alias("j"), v.alias("v")) for i, j, v in entries])
-        return df.select(F.explode(packed).alias("e")).select("e.*")
-
-    i, j, re, im = (F.col(c) for c in ("i", "j", "re", "im"))
-    left = cells(a, [(2 * i, 2 * j, re), (2 * i, 2 * j + 1, -im), (2 * i + 1, 2 * j, im), (2 * i + 1, 2 * j + 1, re)])
-    right = cells(b, [(2 * i, j, re), (2 * i + 1, j, im)])
-    real = blocks.gemm(left, right, None, 1.0, 0.0, tile, split)
+    Entries are added up and brought to their tile as one row each, and only become real cells inside the tile's row; the
+    side is even, so the cells of an entry are in one tile.
+    """
+    side = tile + tile % 2
+    i, j, two = F.col("i"), F.col("j"), F.lit(2)
+
+    def tiles(df: DataFrame, wide: Column, cells) -> DataFrame:
+        placed = _add([df], ["i", "j"]).select(
+            F.floor(two * i / side).cast("long").alias("bi"),
+            F.floor(wide * j / side).cast("long").alias("bj"),
+            (F.pmod(two * i, F.lit(side)) * side + F.pmod(wide * j, F.lit(side))).cast("int").alias("at"),
+            *(F.col(c).cast("double") for c in ("re", "im")),
+        )
+        placed = placed if tasks is None else placed.repartition(tasks, "bi", "bj")
+        held = placed.groupBy("bi", "bj").agg(F.collect_list(F.struct("at", "re", "im")).alias("es"))
+        spread = lambda part: F.flatten(F.transform("es", lambda e: F.array(*[c[part] for c in cells(e)])))
+        return held.select("bi", "bj", spread(0).alias("at"), spread(1).alias("v"))
+
+    left = tiles(a, two, lambda e: [(e.at, e.re), (e.at + 1, -e.im), (e.at + side, e.im), (e.at + side + 1, e.re)])
+    right = tiles(b, F.lit(1), lambda e: [(e.at, e.re), (e.at + side, e.im)])
+    parts = blocks.product(left, right, side, side, side, 1.0, split)
+    real = blocks.entries(blocks.add_tiles(parts, side), side)
     odd = F.pmod(i, F.lit(2)) == 1
     return real.select(
         F.floor(i / 2).cast("long").alias("i"),

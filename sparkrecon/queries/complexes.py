@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkrecon.functions.rotations import rotg as rotation
 from sparkrecon.operators import complexes as C
+from sparkrecon.operators.matrices import tasks_for
 from sparkrecon.queries.registry import registrar, rounded
 
 QUERIES: dict = {}
@@ -44,8 +45,10 @@ def order_part(t):
     )
 
 
-def order_nation(t):
+def order_nation(t, tasks=None):
     joined = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    if tasks is not None:
+        joined = joined.select("l_orderkey", "s_nationkey", "l_quantity", "l_tax").repartition(tasks, "l_orderkey", "s_nationkey")
     keyed = joined.groupBy(F.col("l_orderkey").alias("i"), F.col("s_nationkey").cast("long").alias("j"))
     return keyed.agg(F.sum("l_quantity").alias("re"), F.sum("l_tax").alias("im"))
 
@@ -156,8 +159,9 @@ def zgemm_conjugate(t):
 
 @query("zgemm_tiles", f"SELECT i, j, round(re, 5) AS re, round(im, 5) AS im FROM {PRODUCT} p")
 def zgemm_tiles(t):
-    a = order_nation(t)
-    return rounded(C.zgemm(a, a, ta="C", tile=64), 5, "re", "im")
+    tasks = tasks_for(t.lineitem.count())
+    a = order_nation(t, tasks)
+    return rounded(C.zgemm(a, a, ta="C", tile=64, tasks=tasks), 5, "re", "im")
 
 
 @query(

@@ -93,3 +93,13 @@ def test_rotations(spark):
     by = {(r["a"], r["b"]): r["g"] for r in rows}
     assert by[0.0, 2.0]["z"] == 1.0 and by[2.0, 0.0]["z"] == 0.0 and tuple(by[0.0, 0.0]) == (0.0, 0.0, 1.0, 0.0)
     assert by[3.0, 4.0]["r"] == 5.0 and abs(by[3.0, 4.0]["z"] - 5 / 3) < 1e-12 and by[-5.0, 1.0]["r"] < 0
+
+
+def test_tiles_are_put_together_in_tasks(spark, rows):
+    """Repeated coordinates, an odd side and a given number of tasks; an entry is one row until it is in its tile."""
+    cells = [(i, j, float(i + 1), float(j - i)) for i in range(9) for j in range(0, 9, 2)]
+    a = spark.createDataFrame(cells + cells[::3], "i long, j long, re double, im double")
+    want = rows(C.zgemm(a, a, ta="C"))
+    for tile, tasks in ((5, 1), (4, 7), (5, None)):
+        got = rows(C.zgemm(a, a, ta="C", tile=tile, tasks=tasks))
+        assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want])
