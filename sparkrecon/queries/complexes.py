@@ -47,10 +47,10 @@ def order_part(t):
 
 def order_nation(t, tasks=None):
     joined = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    if tasks is not None:
-        joined = joined.select("l_orderkey", "s_nationkey", "l_quantity", "l_tax").repartition(tasks, "l_orderkey", "s_nationkey")
-    keyed = joined.groupBy(F.col("l_orderkey").alias("i"), F.col("s_nationkey").cast("long").alias("j"))
-    return keyed.agg(F.sum("l_quantity").alias("re"), F.sum("l_tax").alias("im"))
+    keyed = joined.select(F.col("l_orderkey").alias("i"), F.col("s_nationkey").cast("long").alias("j"), "l_quantity", "l_tax")
+    # the keys of the groups as they are, or Spark deals the rows anew
+    keyed = keyed if tasks is None else keyed.repartition(tasks, "i", "j")
+    return keyed.groupBy("i", "j").agg(F.sum("l_quantity").alias("re"), F.sum("l_tax").alias("im"))
 
 
 def parts(t):
