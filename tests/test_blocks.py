@@ -245,6 +245,34 @@ def test_products_over_a_short_inner_index(spark, rows, monkeypatch, ta, tb):
     assert M.gemm(args[0].limit(0), *args[1:2], ta=ta, tb=tb, tile=3, short=True).collect() == []
 
 
+def test_factors_of_a_short_product_are_stored_once(spark, rows, monkeypatch):
+    """However many blocks the product has: each tile is stored once, one mark a group, and nothing is dealt out after that."""
+    monkeypatch.setattr(B, "EDGE", 2)
+    stored = []
+    monkeypatch.setattr(B, "checkpoint", lambda df, keep=B.checkpoint: stored.append(keep(df)) or stored[-1])
+    a, b, c = (sparse(spark, holes(shape, 0.9)) for shape in ((60, 5), (5, 60), (60, 60)))
+    got = M.gemm(a, b, c, 2.0, -1.0, tile=3, short=True)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() >= B.TASKS
+    groups = sum(t.rdd.getNumPartitions() for t in stored)
+    assert sum(t.count() for t in stored) == sum(B.tiles(t, 3).count() for t in (a, b, c)) + groups
+    assert rows(got) == rows(M.gemm(a, b, c, 2.0, -1.0))
+
+
+@pytest.mark.parametrize("edge, rows_, tasks, bytes_", [(1, 1, 1, 1 << 26), (2, 3, 9, 1 << 26), (64, 128, 64, 500), (64, 128, 64, 1 << 26)])
+def test_short_products_of_odd_places(spark, rows, monkeypatch, edge, rows_, tasks, bytes_):
+    """Far apart and negative indices, inner indices on one side only, tiles of C where the product has none."""
+    for name, value in (("EDGE", edge), ("ROWS", rows_), ("TASKS", tasks), ("HELD_BYTES", bytes_), ("SLICE_BYTES", 1000)):
+        monkeypatch.setattr(B, name, value)
+    a = spark.createDataFrame([(-70, 1, 2.0), (-70, 9, 1.0), (5, 1, 3.0), (10**12, 40, 4.0), (6, 9, -1.0), (6, 9, 3.0)], "i long, j long, v double")
+    b = spark.createDataFrame([(1, -8, 5.0), (9, -8, -10.0), (9, 10**11, 1.0), (77, 3, 6.0), (2, 200, 1.0)], "i long, j long, v double")
+    c = spark.createDataFrame([(-70, -8, 1.0), (5, 900, 2.0), (12345, -8, 3.0), (12345, 67890, 4.0), (5, 900, 1.0)], "i long, j long, v double")
+    assert rows(M.gemm(a, b, c, 2.0, 3.0, tile=4, short=True)) == rows(M.gemm(a, b, c, 2.0, 3.0))
+    assert rows(M.gemm(a, b, tile=4, short=True)) == rows(M.gemm(a, b))
+    assert rows(M.gemm(a, b.limit(0), c, 2.0, 3.0, tile=4, short=True)) == rows(M.gemm(a, b.limit(0), c, 2.0, 3.0))
+    assert rows(M.gemm(a.limit(0), b, c, 2.0, 3.0, tile=4, short=True)) == rows(M.gemm(a.limit(0), b, c, 2.0, 3.0))
+
+
 def test_right_hand_sides_without_a_place(spark, rows):
     a = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0)], "i long, j long, v double")
     b = spark.createDataFrame([(0, 6.0), (None, 2.0)], "k long, v double")
